@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.llm.common import table, text_or_empty
 
@@ -153,7 +153,7 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
     source = df.select(*keep, text_or_empty(text).alias("__text"))
     schema = source.drop("__text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if ids:
-        schema = schema.add("token_ids", "array<int>").add("decoded", "string")
+        schema = schema.add("token_ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)

@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.bpe import op9_bpe
+from tessella.llm.langid import op8_language
 from tessella.llm.png import op7_png
 from tessella.llm.simhash import op5_simhash
+from tessella.llm.toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash": op5_simhash,
     "op7_png": op7_png,
+    "op8_language": op8_language,
     "op9_bpe": op9_bpe,
+    "op10_toxicity": op10_toxicity,
 }
 
 ORACLE_SQL: dict[str, str] = {}
