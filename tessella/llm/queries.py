@@ -8,11 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.bpe import op9_bpe
 from tessella.llm.langid import op8_language
+from tessella.llm.mixing import op2_mixing, op2_sql
 from tessella.llm.png import op7_png
+from tessella.llm.sharding import op1_sharding
 from tessella.llm.simhash import op5_simhash
 from tessella.llm.toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
+    "op2_mixing": op2_mixing,
     "op5_simhash": op5_simhash,
     "op7_png": op7_png,
     "op8_language": op8_language,
@@ -20,4 +24,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op2_mixing": op2_sql()}

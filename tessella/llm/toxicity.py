@@ -231,7 +231,7 @@ def score(df: DataFrame, field: Field | None, text: str = "text", keep: tuple[st
     source = df.select(*keep, text_or_empty(text).alias("__text"))
     schema = source.drop("__text").schema.add("score", "double")
     if offsets:
-        schema = schema.add("offending", T.ArrayType(T.StructType().add("start", "int").add("end", "int").add("p", "double")))
+        schema = schema.add("offending", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer").add("p", "double")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
