@@ -9,15 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from tessella.llm.bpe import op9_bpe
 from tessella.llm.langid import op8_language
 from tessella.llm.mixing import op2_mixing, op2_sql
+from tessella.llm.pii import op4_pii
 from tessella.llm.png import op7_png
 from tessella.llm.sharding import op1_sharding
 from tessella.llm.simhash import op5_simhash
+from tessella.llm.syncmers import op6_syncmers
 from tessella.llm.toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
+    "op4_pii": op4_pii,
     "op5_simhash": op5_simhash,
+    "op6_syncmers": op6_syncmers,
     "op7_png": op7_png,
     "op8_language": op8_language,
     "op9_bpe": op9_bpe,
