@@ -168,7 +168,7 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
                     decoded = b"".join([_word_bytes(path, w) for w in words]).decode("utf-8", errors="replace")
                     back.append(_sha(decoded.encode()))
                     if ids:
-                        lists.append([int(i) for i in joined.split(",")] if joined else [])
+                        lists.append(np.array(joined.split(","), dtype=np.int32) if joined else np.empty(0, np.int32))
                         whole.append(decoded)
                 more = [pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
                 if ids:

@@ -13,12 +13,14 @@ from tessella.llm.pii import op4_pii
 from tessella.llm.png import op7_png
 from tessella.llm.sharding import op1_sharding
 from tessella.llm.simhash import op5_simhash
+from tessella.llm.substrings import op3_substrings
 from tessella.llm.syncmers import op6_syncmers
 from tessella.llm.toxicity import op10_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
+    "op3_substrings": op3_substrings,
     "op4_pii": op4_pii,
     "op5_simhash": op5_simhash,
     "op6_syncmers": op6_syncmers,

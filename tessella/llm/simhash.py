@@ -24,11 +24,16 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.common import Scratch, table, text_or_empty
 
+
+def row_key(text: str = "text") -> Column:
+    return F.xxhash64(F.col("doc_id").cast("string"), text_or_empty(text))
+
+
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -50,14 +55,14 @@ def fingerprint(text: str, shingle: int = 3) -> int:
 
 
 def fingerprints(df: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
-    source = df.select("doc_id", text_or_empty(text).alias("__text"))
-    schema = source.select("doc_id").schema.add("fp", "long")
+    """doc_id, row (the same for rows with equal doc_id and text) and fp, the fingerprint as a signed long."""
+    source = df.select("doc_id", row_key(text).alias("row"), text_or_empty(text).alias("__text"))
+    schema = source.select("doc_id", "row").schema.add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(1)], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out)], names=schema.names)
+            out = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(2)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
@@ -165,7 +170,7 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
 
 def near_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id that is reachable over links) of each row."""
+    """doc_id, row, fp, component_id (the smallest doc_id that is reachable over links) and root (names the component) of each row."""
     work = Scratch(df.sparkSession, "simhash")
     marks = work.save(fingerprints(df, text))
     distinct = work.save(marks.groupBy("fp").agg(F.min("doc_id").alias("first")))
@@ -174,8 +179,16 @@ def near_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
     # tables of their own, so that the joins can split a component or fingerprint with very many rows
     named = work.save(named)
     least = work.save(named.groupBy("root").agg(F.min("first").alias("component_id")))
-    by_fp = work.save(named.join(least, "root").select(F.col("fp").alias("of"), "component_id"))
-    return marks.join(by_fp, F.col("fp") == F.col("of")).select("doc_id", "fp", "component_id")
+    by_fp = work.save(named.join(least, "root").select(F.col("fp").alias("of"), "component_id", "root"))
+    return marks.join(by_fp, F.col("fp") == F.col("of")).select("doc_id", "row", "fp", "component_id", "root")
+
+
+def one_of_each_group(df: DataFrame, text: str = "text") -> DataFrame:
+    """Of each component of near-duplicates, the row of the smallest doc_id (of equal ones one, by a hash of the text)."""
+    found = near_duplicates(df, text)
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
+    keep = Scratch(df.sparkSession, "simhash").save(found.groupBy("root").agg(F.min_by("row", order).alias("__row")).select("__row"))
+    return df.withColumn("__row", row_key(text)).join(keep, "__row", "left_semi").dropDuplicates(["__row"]).select(*df.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -226,10 +226,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, text: str = "text", toxi
     return [r[0] for r in rows], [r[1] for r in rows]
 
 
-def score(df: DataFrame, field: Field | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), offsets: bool = True) -> DataFrame:
-    """`keep` columns, score, and with `offsets` the array `offending` of {start, end, p}: the words whose marginal is over one half, in code points."""
+def score(df: DataFrame, field: Field | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), offsets: bool = True, out: str = "score") -> DataFrame:
+    """`keep` columns, the score as `out`, and with `offsets` the array `offending` of {start, end, p}: the words whose marginal is over one half, in code points."""
     source = df.select(*keep, text_or_empty(text).alias("__text"))
-    schema = source.drop("__text").schema.add("score", "double")
+    schema = source.drop("__text").schema.add(out, "double")
     if offsets:
         schema = schema.add("offending", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer").add("p", "double")))
 
