@@ -80,7 +80,7 @@ def query_vector(vectors: DataFrame) -> list[float]:
     "s AS (SELECT *, ((contains(path, 'on'))::INT + (contains(path, 'the'))::INT) / 2.0 sc FROM p), "
     "k AS (SELECT *, CASE WHEN sc > 0 THEN row_number() OVER (PARTITION BY sc > 0 ORDER BY sc DESC, place) END pr FROM s), "
     "z AS (SELECT id, path, place, coalesce(1.0::DOUBLE / (60 + vr), 0) + coalesce(1.0::DOUBLE / (60 + fr), 0) + coalesce(1.0::DOUBLE / (60 + pr), 0) score FROM k) "
-    "SELECT id, path, round(score, 12) score, row_number() OVER (ORDER BY score DESC, place) AS result_rank FROM z ORDER BY score DESC, place LIMIT 10"
+    "SELECT id, path, round(score, 12) score, (row_number() OVER (ORDER BY score DESC, place))::INTEGER AS result_rank FROM z ORDER BY score DESC, place LIMIT 10"
 )
 def hybrid_search(t):
     docs = t("documents").select(F.col("doc_id").alias("id"), "text", F.expr(DOC_PATH).alias("path"))
@@ -89,18 +89,18 @@ def hybrid_search(t):
     return found.select("id", "path", F.round("score", 12).alias("score"), "result_rank")
 
 
-@query(f"WITH {Q}, {VEC} SELECT id, distance, r AS rank FROM vr")
+@query(f"WITH {Q}, {VEC} SELECT id, distance, r::INTEGER AS rank FROM vr")
 def knn_l2(t):
     return search.nearest(t("embeddings").select(F.col("vec_id").alias("id"), "embedding"), query_vector(t("embeddings")), 20)
 
 
-@query(f"WITH {Q} SELECT id, distance, row_number() OVER (ORDER BY distance, id) AS rank FROM (SELECT vec_id id, round(list_cosine_distance(embedding::DOUBLE[], e), 9) distance FROM embeddings, q ORDER BY 2, 1 LIMIT 20)")
+@query(f"WITH {Q} SELECT id, distance, (row_number() OVER (ORDER BY distance, id))::INTEGER AS rank FROM (SELECT vec_id id, round(list_cosine_distance(embedding::DOUBLE[], e), 9) distance FROM embeddings, q ORDER BY 2, 1 LIMIT 20)")
 def knn_cosine(t):
     found = search.nearest(t("embeddings").select(F.col("vec_id").alias("id"), "embedding"), query_vector(t("embeddings")), 20, metric="cosine")
     return found.select("id", (F.col("distance") + 0.0).alias("distance"), "rank")
 
 
-@query(f"WITH {BM} SELECT id, tf, n_tokens, bm25, r AS rank FROM fr")
+@query(f"WITH {BM} SELECT id, tf, n_tokens, bm25, r::INTEGER AS rank FROM fr")
 def phrase_bm25(t):
     return search.phrase_bm25(t("documents").select(F.col("doc_id").alias("id"), "text"), PHRASE, 20).drop("text")
 
