@@ -11,9 +11,9 @@ from tessella.llm.langid import op8_language
 from tessella.llm.mixing import op2_mixing, op2_sql
 from tessella.llm.pii import op4_pii
 from tessella.llm.png import op7_png
-from tessella.llm.sharding import op1_sharding
+from tessella.llm.sharding import op1_sharding, op1_sql
 from tessella.llm.simhash import op5_simhash
-from tessella.llm.substrings import op3_substrings
+from tessella.llm.substrings import op3_sql, op3_substrings
 from tessella.llm.syncmers import op6_syncmers
 from tessella.llm.toxicity import op10_toxicity
 
@@ -30,4 +30,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_mixing": op2_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_sharding": op1_sql(), "op2_mixing": op2_sql(), "op3_substrings": op3_sql()}

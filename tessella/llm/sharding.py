@@ -127,3 +127,25 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = shard(docs.withColumn("text_crc32", F.crc32(text_or_empty())))
     return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def crc32_sql(blob: str) -> str:
+    """DuckDB SQL for the CRC-32 of a blob, byte by byte over a table made from the polynomial."""
+
+    def entry(i: int) -> int:
+        for _ in range(8):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        return i
+
+    steps = f"([{', '.join(str(entry(i)) for i in range(256))}]::BIGINT[])"
+    values = f"list_transform(regexp_extract_all(hex({blob}), '..'), lambda h: ('0x' || h)::BIGINT)"
+    return f"CASE WHEN octet_length({blob}) = 0 THEN 0 ELSE xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, {values}), lambda c, b: xor(c >> 8, {steps}[(xor(c, b) & 255) + 1]))) END"
+
+
+def op1_sql(shards: int = 16) -> str:
+    return (
+        f"WITH d AS (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT + 1 AS size, ({crc32_sql("encode(coalesce(text, ''))")})::BIGINT AS text_crc32, ('0x' || substr(md5(coalesce(text, '')), 1, {KEY_BITS // 4}))::BIGINT k, coalesce(doc_id, -9223372036854775808) i FROM documents), "
+        "c AS (SELECT *, sum(size) OVER (ORDER BY k, i) - sum(size) OVER (PARTITION BY k, i) below, sum(size) OVER () total FROM d), "
+        f"s AS (SELECT *, (below * {shards} // total)::INTEGER AS shard FROM c) "
+        "SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY k, i) - 1 AS slot, NULL::INTEGER AS grown_shard FROM s"
+    )

@@ -237,3 +237,15 @@ def remove_repeats(df: DataFrame, text: str = "text", window: int = WINDOW, phra
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = remove_repeats(table(spark, sf_dir, "documents"))
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op3_sql(window: int = WINDOW) -> str:
+    return (
+        "WITH d AS (SELECT row_number() OVER () r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') w FROM documents), "
+        "p AS (SELECT r, unnest(w) word, generate_subscripts(w, 1) i FROM d), "
+        f"s AS (SELECT r, i, md5(array_to_string(w[i : i + {window - 1}], ' ')) h FROM (SELECT r, w, unnest(range(1, len(w) - {window - 2})) i FROM d WHERE len(w) >= {window})), "
+        "x AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY h) c FROM s) WHERE c > 1), "
+        f"m AS (SELECT p.r, p.i, word, max(CASE WHEN x.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY p.r ORDER BY p.i ROWS {window - 1} PRECEDING) gone FROM p LEFT JOIN x ON p.r = x.r AND p.i = x.i), "
+        "k AS (SELECT r, sum(gone)::BIGINT gone, string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0) kept FROM m GROUP BY r) "
+        "SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(gone, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (r)"
+    )
