@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -13,3 +17,17 @@ def session(master: str | None = None, partitions: int | None = None, **conf: st
     if partitions:
         b = b.config("spark.sql.shuffle.partitions", str(partitions))
     return b.config(map=conf).getOrCreate() if conf else b.getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives executors this package, as --py-files does, once for each context."""
+    sc = spark.sparkContext
+    if getattr(sc, "_tessella_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp()) / "tessella.zip"
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    sc.addPyFile(str(at))
+    sc._tessella_shipped = True
