@@ -64,3 +64,15 @@ def test_scalars(spark):
     assert one(scalar.agent_class(F.lit("log"))) == "LogAgent"
     assert one(scalar.format_duration(F.lit(3725.0))) == "1h 2m"
     assert one(filters.critical_label(F.lit("x SEGFAULT at; Out of memory"))) == "oom"
+
+
+def test_parameters(spark):
+    from tessella.functions import validate
+
+    schema = {"type": "object", "properties": {"n": {"type": "integer"}, "all": {"type": "boolean"}, "how": {"enum": ["a", "b"]}}, "required": ["n"], "additionalProperties": False}
+    rows = [({"n": " 5 ", "all": "YES", "how": "a"},), ({"all": "maybe", "how": "c", "z": "1"},), ({"n": "x"},)]
+    df = spark.createDataFrame(rows, "p map<string,string>").select(validate.coerced(F.col("p"), schema).alias("p"))
+    got = [(r.p, r.e) for r in df.select("p", validate.errors(F.col("p"), schema).alias("e")).collect()]
+    assert got[0] == ({"n": "5", "all": "true", "how": "a"}, [])
+    assert got[1][1] == ["n: required", "how: not in enum", "z: unknown"] and got[1][0]["all"] == "false"
+    assert got[2][1] == ["n: not of type integer"]

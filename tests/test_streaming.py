@@ -68,3 +68,14 @@ def test_index_follows_stream(spark, tmp_path):
     out = f"file://{tmp_path}/idx"
     detectors.keep_index(as_stream(spark, df, tmp_path, "in6"), out, f"{tmp_path}/cp").awaitTermination()
     assert sorted(map(tuple, spark.read.parquet(out).collect())) == [("p", "new"), ("q", "q")]
+
+
+def test_monitor_swallows_and_counts_errors(spark, tmp_path):
+    from tessella.streaming.monitor import Monitor
+
+    df = spark.createDataFrame([("a", 95.0, 0), ("b", 10.0, 0), ("c", 99.0, 1)], "k string, v double, part int")
+    seen = []
+    m = Monitor({"high": lambda b: b.where("v > 90"), "broken": lambda b: b.select("nothing")}, lambda rows, _: seen.extend(tuple(r) for r in rows.collect()))
+    m.start(as_stream(spark, df, tmp_path, "in7"), f"{tmp_path}/cp7").awaitTermination()
+    assert sorted((r[0], r[2]) for r in seen) == [("a", "high"), ("c", "high")]
+    assert m.cycles == 2 and m.errors == {"broken": 2} and m.error_rate == 1.0
