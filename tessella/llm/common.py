@@ -24,6 +24,8 @@ def shared_dir(spark: SparkSession) -> str:
         at = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = at.get() if at.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.mkdtemp(prefix='tessella-')}"
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -53,6 +55,13 @@ def text_or_empty(text: str = "text"):
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like this one that df doesn't have."""
+    while name in df.columns:
+        name += "_"
+    return name
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import table
+from tessella.llm.common import table, unused
 
 #: Runs of letters.
 LETTERS = re.compile(r"[^\W\d_]+")
@@ -132,8 +132,8 @@ def training_sample(labelled: DataFrame, text: str = "text", lang: str = "lang",
 
 def identify(df: DataFrame, samples: dict[str, str], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns, lang_pred and score (the runner-up's share of the two least costs)."""
-    source = df.select(*keep, F.col(text).alias("__text"))
-    schema = source.drop("__text").schema.add("lang_pred", "string").add("score", "double")
+    source = df.select(*keep, F.col(text).alias(unused(df, "text")))
+    schema = df.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = Parser(samples)

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm.common import table, text_or_empty
+from tessella.llm.common import table, text_or_empty, unused
 
 #: The PNG signature, and channels by colour type.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -145,8 +145,8 @@ def text_samples(text: str) -> tuple[np.ndarray, int]:
 
 def text_media(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns, n_bytes and the binary column `media`: each text as a PNG."""
-    source = df.select(*keep, text_or_empty(text).alias("__text"))
-    schema = source.drop("__text").schema.add("n_bytes", "long").add("media", "binary")
+    source = df.select(*keep, text_or_empty(text).alias(unused(df, "text")))
+    schema = df.select(*keep).schema.add("n_bytes", "long").add("media", "binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
