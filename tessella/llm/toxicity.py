@@ -29,12 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import chunks, table, text_or_empty
+from tessella.llm.common import chunks, table, text_or_empty, unused
 
 HASH = 1 << 18
 LANES = 1024
 #: Words kept in a worker's table before it starts anew.
-TABLE = 400_000
+TABLE = 120_000
 STRIP = "\"'.,;:!?()[]{}<>*#-_=+/\\|~`$%&^@"
 
 
@@ -128,23 +128,35 @@ def one_of_each(texts: list[str]) -> list[int]:
     return out
 
 
-def token_forms(docs: list[list[str]], toxic: np.ndarray, ratio: float = 20, chance: float = 1e-5) -> set[str]:
-    """Word forms that are `ratio` times as frequent in toxic documents as in clean ones and in too many of them for chance; of forms that begin alike the most specific that explain them."""
-    clean_df: dict[str, int] = {}
-    where: dict[str, set[int]] = {}
-    for k, words in enumerate(docs):
-        for f in {f for w in set(words) for f in forms(w)}:
-            if toxic[k]:
-                where.setdefault(f, set()).add(k)
-            else:
-                clean_df[f] = clean_df.get(f, 0) + 1
+def token_forms(words: list[str], docs: list[np.ndarray], toxic: np.ndarray, ratio: float = 20, chance: float = 1e-5) -> set[str]:
+    """Word forms that are `ratio` times as frequent in toxic documents as in clean ones and in too many of them for chance; of forms that begin alike the most specific that explain them.
+
+    `docs` has the words of each document as places in `words`."""
     n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
     if not n_toxic or not n_clean:
         return set()
+    sets = [np.unique(d) for d in docs]
+    known: dict[str, int] = {}
+    of_word: list[list[int] | None] = [None] * len(words)
+    for d, t in zip(sets, toxic, strict=True):
+        for w in d.tolist() if t else ():
+            if of_word[w] is None:
+                of_word[w] = [known.setdefault(f, len(known)) for f in forms(words[w])]
+    for w, x in enumerate(of_word):  # of words of clean documents only those forms count that toxic ones have
+        if x is None:
+            of_word[w] = [known[f] for f in forms(words[w]) if f in known]
+    df = np.zeros((2, len(known)), dtype=np.int64)
+    for d, t in zip(sets, toxic, strict=True):
+        df[int(t), list({f for w in d.tolist() for f in of_word[w]})] += 1
     least = max(3, math.log(chance) / math.log(n_toxic / (n_toxic + n_clean)))
-    able = [f for f, at in where.items() if len(at) >= least and len(at) / n_toxic >= ratio * clean_df.get(f, 0) / n_clean]
+    able = (df[1] >= least) & (df[1] / n_toxic >= ratio * df[0] / n_clean)
+    where: dict[str, set[int]] = {f: set() for f, k in known.items() if able[k]}
+    name = {k: f for f, k in known.items() if able[k]}
+    for n, d in enumerate(sets):
+        for f in {f for w in d.tolist() for f in of_word[w] if able[f]} if toxic[n] else ():
+            where[name[f]].add(n)
     chosen: list[str] = []
-    for f in sorted(able, key=lambda f: (f[0] != "=", -len(f), f)):
+    for f in sorted(where, key=lambda f: (f[0] != "=", -len(f), f)):
         start = f.lstrip("=456^")
         explained = set().union(*(where[g] for g in chosen if g.lstrip("=456^").startswith(start)))
         if len(where[f] - explained) >= max(3, 0.1 * len(where[f])):
@@ -179,14 +191,13 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, rate: float = 0.4,
     y_doc = np.array(toxic, dtype=bool)
     if not len(y_doc) or y_doc.all() or not y_doc.any():
         return None
-    docs = [t.split() for t in texts]
-    own = one_of_each(texts)
-    chosen = token_forms([docs[k] for k in own], y_doc[own])
     vocab: dict[str, int] = {}
-    ids = [np.array([vocab.setdefault(w, len(vocab)) for w in d], dtype=np.int32) for d in docs]
-    sizes = np.array([len(d) for d in docs])
+    ids = [np.array([vocab.setdefault(w, len(vocab)) for w in t.split()], dtype=np.int32) for t in texts]
+    own = one_of_each(texts)
+    chosen = token_forms(list(vocab), [ids[k] for k in own], y_doc[own])
+    sizes = np.array([len(d) for d in ids])
     word = np.concatenate(ids)
-    feats = np.array([features(w) for w in vocab], dtype=np.int64)
+    feats = np.array([features(w) for w in vocab], dtype=np.int32)
     marked = np.array([any(f in chosen for f in forms(w)) for w in vocab])
     y = marked[word] & np.repeat(y_doc, sizes)
     ends = np.cumsum(sizes[sizes > 0])
@@ -214,7 +225,7 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, rate: float = 0.4,
     return Field(w.astype(np.float32), trans, _logistic(_summary(p, sizes), y_doc.astype(float)))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, text: str = "text", toxic_rows: int = 1200, clean_rows: int = 2000) -> tuple[list[str], list[int]]:
+def training_sample(docs: DataFrame, labels: DataFrame, text: str = "text", toxic_rows: int = 900, clean_rows: int = 1500) -> tuple[list[str], list[int]]:
     """About so many labelled rows of each kind at most, by a hash of doc_id. Labelled rows are those given; only their doc_ids are sent to the scan of the texts."""
     one = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     count = {int(r[0] > 0): r[1] for r in one.groupBy(F.col("toxic").alias("t")).count().collect()}
@@ -228,17 +239,19 @@ def training_sample(docs: DataFrame, labels: DataFrame, text: str = "text", toxi
 
 def score(df: DataFrame, field: Field | None, text: str = "text", keep: tuple[str, ...] = ("doc_id",), offsets: bool = True, out: str = "score") -> DataFrame:
     """`keep` columns, the score as `out`, and with `offsets` the array `offending` of {start, end, p}: the words whose marginal is over one half, in code points."""
-    source = df.select(*keep, text_or_empty(text).alias("__text"))
-    schema = source.drop("__text").schema.add(out, "double")
+    # a text column that is kept is read where it stands
+    at = keep.index(text) if text in keep else len(keep)
+    source = df.select(*keep) if text in keep else df.select(*keep, text_or_empty(text).alias(unused(df, "text")))
+    schema = df.select(*keep).schema.add(out, "double")
     if offsets:
         schema = schema.add("offending", T.ArrayType(T.StructType().add("start", "integer").add("end", "integer").add("p", "double")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
         for batch in batches:
-            col = batch.column(batch.num_columns - 1)
-            for lo, hi in chunks(len(col), pc.binary_length(col).to_pylist()):
-                texts = col.slice(lo, hi - lo).to_pylist()
+            for lo, hi in chunks(batch.num_rows, pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist(), 1 << 20):
+                part = batch.slice(lo, hi - lo)
+                texts = pc.fill_null(part.column(at), "").to_pylist()
                 if field is None:
                     values, found = np.zeros(len(texts)), [[] for _ in texts]
                 else:
@@ -246,7 +259,7 @@ def score(df: DataFrame, field: Field | None, text: str = "text", keep: tuple[st
                 more = [pa.array(values, pa.float64())]
                 if offsets:
                     more.append(pa.array(found, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))))
-                yield pa.RecordBatch.from_arrays([*(c.slice(lo, hi - lo) for c in batch.columns[:-1]), *more], names=schema.names)
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *more], names=schema.names)
 
     return source.mapInArrow(run, schema)
 
