@@ -24,12 +24,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from tessella.llm.common import table, text_or_empty
+from tessella.llm.common import table, text_or_empty, unused
 
 #: The public pre-tokenizing pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Words kept in a worker's table before it starts anew.
-TABLE = 250_000
+TABLE = 120_000
 
 
 def byte_letters() -> list[str]:
@@ -58,7 +58,8 @@ class ByteBPE:
         self.bytes |= {i: t.encode() for t, i in self.special.items()}
         self.split = regex.compile("|".join(f"({regex.escape(t)})" for t in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.words = regex.compile(PATTERN)
-        self.known: dict[str, str] = {}
+        self.known_ids: dict[str, str] = {}
+        self.known_bytes: dict[str, bytes] = {}
 
     def rounds(self, words: list[bytes]) -> list[np.ndarray]:
         """The ids of each word."""
@@ -113,20 +114,27 @@ class ByteBPE:
                 out += self.words.findall(part)
         return out
 
-    def encode(self, texts: list[str]) -> list[list[str]]:
-        """For each text, the ids of its words as decimal strings joined by commas."""
+    def encode(self, texts: list[str]) -> list[tuple[str, bytes]]:
+        """For each text its ids, as decimal numbers joined by commas, and the bytes that these ids stand for."""
         cut = [self.pieces(t) for t in texts]
-        known = self.known
-        if len(known) > TABLE:
-            known.clear()
-        if new := list({w for words in cut for w in words if w not in known}):
-            plain = [w for w in new if not (w[0] == "\0" and w[1:] in self.special)]
-            known.update({w: str(self.special[w[1:]]) for w in new if w[0] == "\0" and w[1:] in self.special})
-            for k in range(0, len(plain), 100_000):
-                some = plain[k : k + 100_000]
+        if len(self.known_ids) > TABLE:
+            self.known_ids.clear()
+            self.known_bytes.clear()
+        if new := list(set().union(*cut).difference(self.known_ids)):
+            special = [w for w in new if w[0] == "\0" and w[1:] in self.special]
+            for w in special:
+                self._learn(w, [self.special[w[1:]]])
+            plain = list(set(new).difference(special))
+            for k in range(0, len(plain), 20_000):
+                some = plain[k : k + 20_000]
                 for w, ids in zip(some, self.rounds([w.encode() for w in some]), strict=True):
-                    known[w] = ",".join(map(str, ids.tolist()))
-        return [[known[w] for w in words] for words in cut]
+                    self._learn(w, ids.tolist())
+        ids, raw = self.known_ids.__getitem__, self.known_bytes.__getitem__
+        return [(",".join(map(ids, words)), b"".join(map(raw, words))) for words in cut]
+
+    def _learn(self, word: str, ids: list[int]) -> None:
+        self.known_ids[word] = ",".join(map(str, ids))
+        self.known_bytes[word] = b"".join(map(self.bytes.__getitem__, ids))
 
     def decode(self, ids: list[int]) -> str:
         """As the library's decode(ids, skip_special_tokens=False)."""
@@ -138,20 +146,14 @@ def model(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
-@lru_cache(maxsize=TABLE)
-def _word_bytes(path: str, ids: str) -> bytes:
-    of = model(path).bytes
-    return b"".join([of[int(i)] for i in ids.split(",")])
-
-
 def _sha(x: bytes) -> str:
     return hashlib.sha256(x).hexdigest()
 
 
 def encode_decode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = False) -> DataFrame:
     """`keep` columns, n_tokens, ids_sha256 and decoded_sha256 of each row; with `ids`, also token_ids (array) and decoded (text)."""
-    source = df.select(*keep, text_or_empty(text).alias("__text"))
-    schema = source.drop("__text").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
+    source = df.select(*keep, text_or_empty(text).alias(unused(df, "text")))
+    schema = df.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if ids:
         schema = schema.add("token_ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
 
@@ -161,11 +163,10 @@ def encode_decode(df: DataFrame, path: str, text: str = "text", keep: tuple[str,
             for k in range(0, batch.num_rows, 128):
                 part = batch.slice(k, 128)
                 n, digest, back, lists, whole = [], [], [], [], []
-                for words in own.encode(part.column(part.num_columns - 1).to_pylist()):
-                    joined = ",".join(words)
+                for joined, raw in own.encode(part.column(part.num_columns - 1).to_pylist()):
                     n.append(joined.count(",") + 1 if joined else 0)
                     digest.append(_sha(joined.encode()))
-                    decoded = b"".join([_word_bytes(path, w) for w in words]).decode("utf-8", errors="replace")
+                    decoded = raw.decode("utf-8", errors="replace")
                     back.append(_sha(decoded.encode()))
                     if ids:
                         lists.append(np.array(joined.split(","), dtype=np.int32) if joined else np.empty(0, np.int32))
