@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, table, text_or_empty
+from tessella.llm.common import Scratch, partitions, table, text_or_empty, unused
 
 
 def row_key(text: str = "text") -> Column:
@@ -56,7 +56,7 @@ def fingerprint(text: str, shingle: int = 3) -> int:
 
 def fingerprints(df: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
     """doc_id, row (the same for rows with equal doc_id and text) and fp, the fingerprint as a signed long."""
-    source = df.select("doc_id", row_key(text).alias("row"), text_or_empty(text).alias("__text"))
+    source = df.select("doc_id", row_key(text).alias("row"), text_or_empty(text).alias(unused(df, "text")))
     schema = source.select("doc_id", "row").schema.add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +127,9 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """Links (a, b) that span the linked sets of distinct fingerprints (column fp)."""
     by = [sum(0xFF << 8 * (7 - p) for p in six) for six in SIX]
     signed = [m - (1 << 64) if m >> 63 else m for m in by]
-    keyed = distinct.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("six", "six_bytes"))
+    # dealt out anew: each row becomes 28, and a small table would be read by a task or two
+    spread = distinct.select("fp").repartition(partitions(distinct.sparkSession), "fp")
+    keyed = spread.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("six", "six_bytes"))
     lists = keyed.groupBy("six", "six_bytes").agg(F.count("*").alias("n"), F.collect_list("fp").alias("fps")).where("n > 1").select("fps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
