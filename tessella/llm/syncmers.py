@@ -66,7 +66,7 @@ def with_next(df: DataFrame, columns: list[str], text: str = "text") -> DataFram
     work = Scratch(spark, "syncmers")
     doc = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63)))
     ids = work.save(df.select(F.lit(0).cast("long").alias("k"), doc.alias("d"), row_size(text).alias("size")))
-    parts = min(PARTS, partitions(spark))
+    parts = min(PARTS, 4 * partitions(spark))  # several to a task, so that tasks are alike in size
     whole, top = ids.agg(F.sum("size"), F.max("d")).first()
     cuts, _, _ = splitters(ids, parts, (whole or 0) // (parts * 20))
     work.drop(ids)
