@@ -136,7 +136,9 @@ def _candidates(base: Column) -> Column:
     def mark(x: Column) -> Column:
         seed = F.get(F.filter(base, lambda b: b["s"] == x["s"]), F.lit(0))
         inside = F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-        return F.struct(x["pattern"].alias("pattern"), x["value"].alias("value"), x["s"].alias("s"), x["e"].alias("e"), seed["kind"].alias("kind"), inside.alias("inside"))
+        # a seed's value is all of its span, not its first word
+        value = F.when(seed.isNotNull(), F.substring(F.col("__t"), seed["s"] + 1, seed["e"] - seed["s"])).otherwise(x["value"])
+        return F.struct(x["pattern"].alias("pattern"), value.alias("value"), x["s"].alias("s"), x["e"].alias("e"), seed["kind"].alias("kind"), inside.alias("inside"))
 
     marked = F.transform(F.transform("__marked", one), mark)
     return F.filter(marked, lambda x: (x["pattern"] != "") & (x["value"] != "") & (x["kind"].isNotNull() | ~x["inside"]))
@@ -151,12 +153,12 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
     seen = work.save(seen)
     possible = work.save(seen.select("__row", F.explode("candidates").alias("c")).select("__row", "c.*"))
     seeds = possible.where("kind is not null").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
-    # how often each pattern of a seed stands before anything
+    # how often each pattern that may get support stands before anything
     words = F.explode(F.filter(F.split(text_or_empty(text), SPACE), lambda w: w != "")).alias("w")
     word = F.when(F.col("w").contains("=") | F.col("w").contains(":"), F.coalesce(F.nullif(F.regexp_extract("w", LABEL, 0), F.lit("")), F.col("w"))).otherwise(F.col("w"))
     counts = df.select(words).groupBy(F.lower(word).alias("pattern")).agg(F.count("*").alias("n"))
-    able = work.save(possible.where("kind is not null").groupBy("pattern", "kind").agg(F.countDistinct("value").alias("support")).where(F.col("support") >= SUPPORT))
-    total = work.save(counts.join(able.select("pattern").distinct(), "pattern", "left_semi"))
+    able = work.save(possible.groupBy("pattern").agg(F.countDistinct("value").alias("support")).where(F.col("support") >= SUPPORT).select("pattern"))
+    total = work.save(counts.join(able, "pattern", "left_semi"))
     accepted = None
     for _ in range(ROUNDS):
         scores = work.save(seeds)
