@@ -268,10 +268,22 @@ def merge_lines(t):
     _pack_sql(100, True, "' || chr(10) || chr(10) || '").replace("FROM documents)", "FROM documents WHERE len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S'))) > 1)")
 )
 def chunk_prose(t):
+    """Documents of several lines, as its SQL says; chunk_prose_all has the others too."""
     docs = t("documents").where(F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"\S"))) > 1)
     return _exploded(docs, chunk.prose(F.regexp_replace("text", "\n", "\n\n"), 100, 10))
 
 
+LINES_SQL = "len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\\S')))"
+
+
+@query(
+    f"SELECT * FROM ({ORACLE_SQL['chunk_prose']}) UNION ALL SELECT * FROM ({_fixed_sql(100, 10).replace('FROM documents)', f'FROM documents WHERE {LINES_SQL} <= 1)')})"
+)
+def chunk_prose_all(t):
+    """All documents: those of chunk_prose, which has only documents of several lines, and single paragraphs as windows."""
+    return _exploded(t("documents"), chunk.prose(F.regexp_replace("text", "\n", "\n\n"), 100, 10))
+
+
 @query(
     "WITH RECURSIVE a AS (SELECT doc_id, unnest(string_split(t, chr(10))) line, generate_subscripts(string_split(t, chr(10)), 1) i FROM (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') t FROM documents)), "
     "l AS (SELECT *, len(regexp_extract_all(line, '\\S+')) n FROM a), h AS (SELECT doc_id, line head, n hn FROM l WHERE i = 1), "

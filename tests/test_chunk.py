@@ -103,3 +103,22 @@ def test_all_documents_against_plain_python(spark, small):
     got = docs.select("text", chunk.prose(F.regexp_replace("text", "\n", "\n\n"), 100, 10).alias("c")).collect()
     many = [r for r in got if len([p for p in r.text.split("\n") if p.strip()]) > 1]
     assert many and all(r.c == plain(r.text, 100, 10) for r in many)
+
+
+def test_prose_query_has_every_document(spark, small):
+    """chunk_prose leaves out documents of one line; chunk_prose_all has them, as windows of 100 words that share 10."""
+    import hashlib
+
+    from tessella.plans.queries import QUERIES
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    got = {}
+    for r in QUERIES["chunk_prose_all"](spark, small).collect():
+        got.setdefault(r.doc_id, {})[r.chunk_index] = r.chunk_md5
+    assert set(got) == {i for i, t in texts.items() if t.split()}
+    single = [i for i, t in texts.items() if sum(bool(x.strip()) for x in t.split("\n")) == 1]
+    assert any(len(texts[i].split()) > 100 for i in single)
+    for i in single:
+        w = texts[i].split()
+        expected = [texts[i].strip()] if len(w) <= 100 else [" ".join(w[s : s + 100]) for s in range(0, len(w) - 10, 90)]
+        assert [got[i][k] for k in sorted(got[i])] == [hashlib.md5(c.encode()).hexdigest() for c in expected]
