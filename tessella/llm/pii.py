@@ -1,7 +1,7 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction that finds identifiers the patterns miss.
 
 Fixed patterns give the base spans of four kinds. They are the seeds: the words (or labels such as `mail:` and `key=`)
-that stand before seed values are lexical patterns, and every word with a digit is a possible identifier. Patterns and
+that stand before seed values are lexical patterns, and groups of digits and words with a mark (`MARKED`) are possible identifiers. Patterns and
 values form a graph that Spark scores in rounds: a pattern's confidence for a kind is the score of the values behind it
 over all its occurrences in the corpus (those before ordinary words count against it), a value's score is one minus the
 product of its patterns' doubts. Values behind patterns of high confidence, with enough different values as support,
@@ -33,8 +33,11 @@ EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.[A-Za-z
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9 -])[0-9](?=(?:[ -]?[0-9]){12})[0-9 -]++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-#: A word with a digit.
-MARKED = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9]*+[0-9][^\x20\x09-\x0D]*+"
+#: Groups of digits with blanks between; else a word with a digit, an @, a bracket, a low line or a dot before a letter.
+MARK = r"(?:[0-9@(\[{_]|\.(?=\p{L}))"
+GROUP = r"\(?[0-9][0-9()/-]*+"
+GROUPS = rf"(?:[\p{{L}}_-]++[=:])?+[+(]*+{GROUP}(?:\x20++{GROUP}(?=[\"')>\],.;:!?]*+(?:[\x20\x09-\x0D]|$)))++"
+MARKED = rf"(?<![^\x20\x09-\x0D])(?:{GROUPS}|[^\x20\x09-\x0D]*?{MARK}[^\x20\x09-\x0D]*+)"
 LABEL = r"^[\p{L}_-]+[=:]"
 
 
@@ -91,7 +94,7 @@ def _digits(m: Column) -> Column:
 
 
 def with_base_spans(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the columns __t (the text as read), __marked (its words with a digit), and for each kind an array of {s, e, m, rest}."""
+    """df with the columns __t (the text as read), __marked (its possible identifiers), and for each kind an array of {s, e, m, rest}."""
     t = F.col("__t")
     df = df.withColumn("__t", text_or_empty(text))
     df = df.withColumn("__t", F.when(t.contains(BEGIN) | t.contains(END), F.translate(t, BEGIN + END, "\ue002\ue002")).otherwise(t))
@@ -104,7 +107,7 @@ def with_base_spans(df: DataFrame, text: str = "text") -> DataFrame:
         "ip": F.when(t.rlike(r"[0-9]\.[0-9]++\.[0-9]"), cut(t, IP)),
         "card": F.when(t.rlike(r"[0-9](?:[ -]?[0-9]){12}"), cut(digits, CARD)),
         "phone": F.when(t.contains("+"), cut(t, PHONE)),
-        "marked": F.when(t.rlike("[0-9]"), cut(t, MARKED)),
+        "marked": F.when(t.rlike(MARK), cut(t, MARKED)),
     }
     df = df.withColumns({f"__p_{k}": v for k, v in parts.items()})
     small = lambda x: (F.length(F.ltrim(x, F.lit("0"))) <= 3) & (F.coalesce(F.ltrim(x, F.lit("0")).try_cast("int"), F.lit(0)) <= 255)
@@ -123,11 +126,12 @@ def base_spans(kind: str) -> Column:
 
 
 def _candidates(base: Column) -> Column:
-    """Words with a digit that don't overlap a base span, or begin with one: {pattern, value, s, e, kind}; kind is null unless it is a seed."""
+    """Marked words that don't overlap a base span, or begin with one: {pattern, value, s, e, kind}; kind is null unless it is a seed."""
 
-    def one(x: Column) -> Column:
+    def one(x: Column, i: Column) -> Column:
         label = F.regexp_extract(x["m"], LABEL, 0)
-        before = F.lower(F.regexp_extract(x["rest"], r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++$", 1))
+        tail = F.concat(F.coalesce(F.get("__marked", i - 1)["m"], F.lit("")), x["rest"])  # the word before may be marked itself
+        before = F.lower(F.regexp_extract(tail, r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++$", 1))
         value = F.regexp_replace(F.substring(x["m"], F.length(label) + 1, F.length(x["m"])), r"^[\"'(<\[]+", "")
         start = x["e"] - F.length(value)
         value = F.regexp_replace(value, r"(?<![\"')>\],.;:!?])[\"')>\],.;:!?]++$", "")

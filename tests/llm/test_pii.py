@@ -85,3 +85,28 @@ def test_overlapping_spans_are_redacted_once(spark):
     df = spark.createDataFrame([(1, "call +4111111111111111 or 4111 1111 1111 1111 ok")], "doc_id long, text string")
     text = pii.redact(df).first().text
     assert "4111" not in text and text.endswith(" ok")
+
+
+NAMES = ["anna", "bert", "cora", "dirk", "elsa", "fred"]
+
+
+def added(spark, texts):
+    found = pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("size(added) > 0")
+    return {r.doc_id: [(x.kind, texts[r.doc_id][x.s : x.e]) for x in r.added] for r in found.collect()}
+
+
+def test_seeds_and_identifiers_without_digits(spark):
+    texts = [f"write contactmail {n}@example.com now" for n in NAMES] + ["write contactmail gina(at)example.com, now"]
+    assert added(spark, texts) == {6: [("email", "gina(at)example.com")]}
+
+
+def test_added_spans_hold_all_digit_groups(spark):
+    texts = [f"x tel=+1 555 000 {1000 + i} y" for i in range(6)] + ["x tel=030 1234 5678, or 9 y"]
+    assert added(spark, texts) == {6: [("phone", "030 1234 5678")]}
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id: r.text for r in pii.redact(df).collect()}[6] == "x tel=[PHONE], or 9 y"
+
+
+def test_pattern_words_may_hold_digits(spark):
+    texts = [f"at ipv4 10.0.0.{i} up" for i in range(6)] + ["at ipv4 10-0-0-77 up"]
+    assert added(spark, texts) == {6: [("ip", "10-0-0-77")]}
