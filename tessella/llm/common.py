@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import gc
+import json
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word of the contracts: a longest run of characters other than ASCII white space.
@@ -45,16 +47,35 @@ class Scratch:
         out._tessella_at = at
         return out
 
-    def drop(self, df: DataFrame) -> None:
-        """Deletes a table that no later plan reads."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(df._tessella_at)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that no later plan reads."""
+        for df in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._tessella_at)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def free(self) -> None:
+        """Lets Spark delete the shuffle files of jobs whose results are saved; else they stay until the driver happens to collect garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
 
-def text_or_empty(text: str = "text"):
+
+def text_or_empty(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit(""))
 
 
+def row_key(text: str = "text") -> Column:
+    """128 bits that name a row by its doc_id and text; rows with both equal share it."""
+    return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text_or_empty(text))))
+
+
+def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A small table from the driver's values, without Python workers: its rows stand in the plan as one JSON text."""
+    names = [x.split()[0] for x in schema.split(", ")]
+    text = json.dumps([dict(zip(names, r, strict=True)) for r in rows])
+    fields = ", ".join(":".join(x.split(" ", 1)) for x in schema.split(", "))
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{fields}>>")))
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name like this one that df doesn't have."""
     while name in df.columns:
