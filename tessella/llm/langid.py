@@ -1,34 +1,40 @@
 """Language identification by cross-parsing entropy.
 
-A suffix automaton of labelled text stands for each language. A word is cut into phrases, each the longest match that the
-automaton allows; a text costs a language as many phrases as its words need there, times the bits that point into the
-labelled text. The language of least cost wins. Phrases end with their word, so that the phrases of a word are counted
-once and kept in a bounded table of the worker.
+A suffix automaton of labelled text stands for each language. A text is cross-parsed against each: from left to right into
+phrases, each the longest match that the automaton allows, across words and as long as the text goes. It costs a language
+as many phrases as it needs there, times the bits that point into the labelled text. The language of least cost wins.
 
-Only text and language of labelled rows are learned from, of about `rows` rows a language at most, drawn by a hash of
-doc_id, and of `chars` characters a language at most; all texts are parsed whole.
+Only text and language of labelled rows are learned from. The sample is bounded by parameters: the `langs` most frequent
+languages, and of each whole texts in the order of a hash until `rows` of them, or `chars` characters, are full (texts
+longer than `chars` are passed over). All texts are parsed whole.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; without labelled rows every text is `und`;
-of languages with equal costs the first by name wins; rows without language are not learned from; repeated rows give
-repeated rows; an empty table gives an empty result.
+of languages with equal costs the first by name wins; rows without language are not learned from; a text that repeats is
+learned from once; repeated rows give repeated rows; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessella.llm.common import table, unused
 
 #: Runs of letters.
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Words kept in a worker's table before it starts anew.
-TABLE = 300_000
+
+
+def letters_of(text: str) -> str:
+    """Lower-cased runs of letters, with single spaces around each; empty without any."""
+    words = LETTERS.findall(text.lower())
+    return f" {' '.join(words)} " if words else ""
 
 
 def suffix_automaton(text: str) -> list[dict[str, int]]:
@@ -61,19 +67,20 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
     return step
 
 
-def phrases(word: str, step: list[dict[str, int]]) -> int:
-    """Longest matches, one after another, that a word takes; a letter that never occurs is a phrase of its own."""
-    n, at, root = 1, 0, step[0]
-    for c in word:
-        to = step[at].get(c)
+def phrases(text: str, step: list[dict[str, int]]) -> int:
+    """Longest matches, one after another, that a text takes; a letter that never occurs is a phrase of its own."""
+    n, at = 0, (root := step[0])
+    for c in text:
+        to = at.get(c)
         if to is None:
-            n += at != 0
-            at = root.get(c, 0)
-            if not at:
+            n += at is not root  # the phrase before ends
+            to = root.get(c)
+            if to is None:
                 n += 1
-        else:
-            at = to
-    return n - (at == 0 and n > 1)
+                at = root
+                continue
+        at = step[to]
+    return n + (at is not root)
 
 
 class Parser:
@@ -81,32 +88,16 @@ class Parser:
         self.langs = sorted(samples)
         self.steps = [suffix_automaton(samples[x]) for x in self.langs]
         self.bits = np.array([np.log2(2 + len(samples[x])) for x in self.langs])
-        self.known: dict[str, int] = {}
-        self.costs = np.zeros((1024, len(self.langs)))
-
-    def ids(self, words: list[str]) -> list[int]:
-        known = self.known
-        for w in set(words):
-            if w not in known:
-                k = known[w] = len(known)
-                if k == len(self.costs):
-                    self.costs = np.vstack([self.costs, np.zeros_like(self.costs)])
-                spaced = f" {w} "
-                self.costs[k] = [phrases(spaced, s) for s in self.steps]
-        return [known[w] for w in words]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        if len(self.known) > TABLE:
-            self.known.clear()
         langs, scores = [], []
         for t in texts:
-            words = LETTERS.findall(t.lower()) if t and self.langs else []
-            if not words:
+            own = letters_of(t) if t and self.langs else ""
+            if not own:
                 langs.append("und")
                 scores.append(0.0)
                 continue
-            at = np.array(self.ids(words))  # may enlarge the table
-            cost = self.costs[at].sum(axis=0) * self.bits
+            cost = np.array([phrases(own, s) for s in self.steps]) * self.bits
             order = np.argsort(cost, kind="stable")
             best = float(cost[order[0]])
             other = float(cost[order[1]]) if len(order) > 1 else 0.0
@@ -115,32 +106,46 @@ class Parser:
         return langs, scores
 
 
-def training_sample(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = 120, chars: int = 80_000) -> dict[str, str]:
-    """Labelled text of each language: lower-cased words with single spaces between them."""
-    own = labelled.select("doc_id", F.col(text).alias("text"), F.col(lang).alias("lang")).where("text is not null and lang is not null")
-    share = {r[0]: min(1 << 30, int(rows / r[1] * (1 << 30))) for r in own.groupBy("lang").count().collect()}
-    if not share:
+@lru_cache(maxsize=1)
+def parser(samples: tuple[tuple[str, str], ...]) -> Parser:
+    """Made once in a worker, whatever the number of its tasks."""
+    return Parser(dict(samples))
+
+
+def training_sample(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = 120, chars: int = 80_000, langs: int = 64) -> dict[str, str]:
+    """Labelled text of each language, of at most so many rows and characters."""
+    own = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
+    own = own.where(F.char_length("text") <= chars).withColumn("h", F.xxhash64("text", F.lit(8)))
+    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()
+    if not counts:
         return {}
-    bound = F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang"))
-    per_row = 4 * chars // rows
-    drawn = own.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(1 << 30)) < bound).select("doc_id", "lang", F.left("text", F.lit(per_row)).alias("text"))
+    # a hash below a share of all hashes first, so that only about twice the wanted rows are ranked
+    span = 1 << 62
+    share = {r.lang: min(span, int(2 * rows / r["count"] * span)) for r in counts}
+    drawn = own.where(F.shiftrightunsigned("h", 2) < F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang")))
+    keys = drawn.groupBy("lang", "h").agg(F.max(F.char_length("text")).alias("n"))
+    order = W.partitionBy("lang").orderBy("h")
+    keys = keys.withColumns({"place": F.row_number().over(order), "sum": F.sum("n").over(order)}).where((F.col("place") <= rows) & ((F.col("sum") <= chars) | (F.col("place") == 1)))
+    # at most rows x langs keys
+    some = own.join(F.broadcast(keys.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     out: dict[str, list[str]] = {}
-    for r in sorted(drawn.collect(), key=lambda r: (r.lang, r.doc_id is None, r.doc_id, r.text)):
-        out.setdefault(r.lang, []).append(" ".join(LETTERS.findall(r.text.lower())))
-    return {k: f" {' '.join(v)} "[:chars] for k, v in out.items()}
+    for r in sorted(some.collect(), key=lambda r: (r.lang, r.h)):
+        out.setdefault(r.lang, []).append(letters_of(r.text).strip())
+    return {k: f" {' '.join(v)} " for k, v in out.items() if any(v)}
 
 
 def identify(df: DataFrame, samples: dict[str, str], text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`keep` columns, lang_pred and score (the runner-up's share of the two least costs)."""
     source = df.select(*keep, F.col(text).alias(unused(df, "text")))
     schema = df.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    known = tuple(samples.items())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parser = Parser(samples)
+        own = parser(known)
         for batch in batches:
             for k in range(0, batch.num_rows, 256):
                 part = batch.slice(k, 256)
-                langs, scores = parser.predict(part.column(part.num_columns - 1).to_pylist())
+                langs, scores = own.predict(part.column(part.num_columns - 1).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
 
     return source.mapInArrow(run, schema)

@@ -1,5 +1,7 @@
+import random
 import zlib
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tessella.llm import langid
@@ -43,6 +45,39 @@ def test_odd_rows(spark, odd, nothing):
     assert set(langid.training_sample(odd)) <= {"en", "de", "fr", "es"}
 
 
+def test_sample_takes_whole_texts(spark):
+    rows = [(1, f"text number {'abcdefgh'[i % 8] * (i % 50 + 1)} ends{i}", "en") for i in range(500)] + [(1, "the same", "de")] * 300 + [(2, "word " * 5000, "fr"), (3, "ok", "fr")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.training_sample(docs, rows=40, chars=2_000)
+    assert got["de"] == " the same " and got["fr"] == " ok "
+    assert 800 < len(got["en"]) <= 2_000
+    whole = {langid.letters_of(t).strip() for _, t, g in rows if g == "en"}
+    assert all(part.strip() in {w.removeprefix("text number").strip() for w in whole} for part in got["en"].split("text number") if part.strip())
+    assert set(langid.training_sample(docs, langs=1)) == {"en"}
+
+
+def test_phrases_cross_words():
+    step = langid.suffix_automaton(" good morning to you all ")
+    assert langid.phrases(" good morning to ", step) == 1 and langid.phrases(" morning good ", step) > 1
+
+
+def test_result_equals_brute_force():
+    """Predictions by longest matches that are searched for in the labelled text itself."""
+    rng = random.Random(3)
+    samples = {g: " " + " ".join("".join(rng.choices(a, k=rng.randint(1, 6))) for _ in range(60)) + " " for g, a in (("x", "abcd"), ("y", "cdef"))}
+    texts = [" ".join("".join(rng.choices("abcdefg", k=rng.randint(1, 5))) for _ in range(rng.randint(1, 9))) for _ in range(60)]
+
+    def cost(t, sample):
+        n, t = 0, langid.letters_of(t)
+        while t:
+            k = max((k for k in range(1, len(t) + 1) if t[:k] in sample), default=1)
+            n, t = n + 1, t[k:]
+        return n * np.log2(2 + len(sample))
+
+    expected = [min(sorted(samples), key=lambda g: cost(t, samples[g])) for t in texts]
+    assert langid.Parser(samples).predict(texts)[0] == expected
+
+
 def test_ties_go_by_name():
     langs, scores = langid.Parser({"b": " x y ", "a": " x y "}).predict(["x", None, "1"])
     assert langs == ["a", "und", "und"] and scores == [0.5, 0.0, 0.0]
