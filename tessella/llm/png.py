@@ -5,7 +5,8 @@ the line filters with numpy, and `cosine_hash` takes the signs of low-frequency
 
 Defined results: a null text counts as empty; the payload is the text's UTF-8 padded with zero bytes to a positive
 multiple of 64; equal texts give equal values; repeated rows give repeated rows; an empty table gives an empty result.
-Damaged images raise ValueError in `decode_png`.
+Damaged images, whatever the damage, raise ValueError in `decode_png`; `media_features` gives null payloads, digests and
+features for them, and for null images all but the size beside them is null.
 """
 
 from __future__ import annotations
@@ -84,7 +85,7 @@ def _unfilter(lines: np.ndarray, kinds: np.ndarray, bpp: int) -> np.ndarray:
 
 
 def decode_png(data: bytes) -> tuple[np.ndarray, dict]:
-    """Samples (rows, width x channels) of an 8-bit, not interlaced PNG, and what its header says."""
+    """Samples (rows, width x channels) of an 8-bit, not interlaced PNG, and what its header says. Raises ValueError for anything else."""
     if data[:8] != SIGNATURE:
         raise ValueError("not a PNG")
     at, head, packed, ended = 8, None, [], False
@@ -93,9 +94,11 @@ def decode_png(data: bytes) -> tuple[np.ndarray, dict]:
             raise ValueError("a chunk is cut short")
         (size,), kind = struct.unpack_from(">I", data, at), data[at + 4 : at + 8]
         body = data[at + 8 : at + 8 + size]
-        if len(body) != size or struct.unpack_from(">I", data, at + 8 + size)[0] != zlib.crc32(body, zlib.crc32(kind)):
+        if at + 12 + size > len(data) or struct.unpack_from(">I", data, at + 8 + size)[0] != zlib.crc32(body, zlib.crc32(kind)):
             raise ValueError(f"chunk {kind!r} fails its checksum")
         if kind == b"IHDR":
+            if size != 13:
+                raise ValueError("a header of the wrong size")
             head = struct.unpack(">IIBBBBB", body)
         elif kind == b"IDAT":
             packed.append(body)
@@ -103,12 +106,17 @@ def decode_png(data: bytes) -> tuple[np.ndarray, dict]:
         at += 12 + size
     if not head or not ended:
         raise ValueError("no header or no end")
-    width, rows, depth, colour, _, _, interlaced = head
-    if depth != 8 or interlaced or colour not in CHANNELS:
+    width, rows, depth, colour, method, filters, interlaced = head
+    if depth != 8 or interlaced or method or filters or colour not in CHANNELS or not width or not rows:
         raise ValueError("only 8-bit images without interlacing are read")
     bpp = CHANNELS[colour]
-    raw = np.frombuffer(zlib.decompress(b"".join(packed)), dtype=np.uint8)
-    if raw.size != rows * (width * bpp + 1):
+    want = rows * (width * bpp + 1)
+    inflate = zlib.decompressobj()
+    try:
+        raw = np.frombuffer(inflate.decompress(b"".join(packed), want + 1), dtype=np.uint8)  # never more than the header says
+    except zlib.error as e:
+        raise ValueError(f"the samples can't be inflated: {e}") from None
+    if raw.size != want or not inflate.eof:
         raise ValueError("the samples don't fit the header")
     lines = raw.reshape(rows, width * bpp + 1)
     return _unfilter(lines[:, 1:], lines[:, 0], bpp), {"width": width, "rows": rows, "channels": bpp}
@@ -165,8 +173,13 @@ def media_features(df: DataFrame, media: str = "media", size: str = "n_bytes", k
     for name, kind in (("payload_bytes", "long"), ("payload_sha256", "string"), ("tail_crc32", "long"), ("media_bytes", "long"), ("media_sha256", "string"), ("feature", "string")):
         schema = schema.add(name, kind)
 
-    def row(data: bytes) -> tuple:
-        samples, _ = decode_png(data)
+    def row(data: bytes | None) -> tuple:
+        if data is None:
+            return (None,) * 6
+        try:
+            samples, _ = decode_png(data)
+        except ValueError:
+            return None, None, None, len(data), hashlib.sha256(data).hexdigest(), None
         payload = samples.tobytes()
         return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), cosine_hash(samples)
 

@@ -60,6 +60,39 @@ def test_damage_is_seen():
         png.decode_png(bytes(data[:-12]))
 
 
+def test_all_damage_is_one_error():
+    """Short headers, bad compressed data, cut files, changed bytes: ValueError or, where the change is harmless, the image."""
+    good, rng = png.encode_png(np.arange(128, dtype=np.uint8).reshape(2, 64)), np.random.default_rng(8)
+    chunk = lambda *x: png.SIGNATURE + b"".join(png._chunk(k, d) for k, d in x)
+    head = struct.pack(">IIBBBBB", 64, 2, 8, 0, 0, 0, 0)
+    bad = [b"", b"x", png.SIGNATURE, good[:20], chunk((b"IHDR", b"short"), (b"IEND", b"")), chunk((b"IHDR", head), (b"IEND", b""))]
+    bad += [chunk((b"IHDR", head), (b"IDAT", d), (b"IEND", b"")) for d in (b"", b"not zlib", zlib.compress(b"few"), zlib.compress(b"x" * 10_000), zlib.compress(bytes([9]) * 130), zlib.compress(b"0" * 130)[:-4])]
+    bad += [good[:k] for k in range(len(good))] + [rng.integers(0, 256, 200, dtype=np.uint8).tobytes()]
+    for data in bad:
+        with pytest.raises(ValueError):
+            png.decode_png(data)
+
+
+def test_null_and_damaged_images_in_a_column(spark):
+    good = png.encode_png(np.zeros((1, 64), np.uint8))
+    rows = [(1, 0, good), (2, 5, None), (3, 5, b"junk"), (4, 5, good[:30])]
+    got = {r.doc_id: r for r in png.media_features(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert got[1].payload_bytes == 64 and len(got[1].feature) == 16
+    assert [(got[i].media_bytes, got[i].payload_bytes, got[i].feature) for i in (2, 3, 4)] == [(None, None, None), (4, None, None), (30, None, None)]
+    assert got[2].media_sha256 is None and got[3].media_sha256 == hashlib.sha256(b"junk").hexdigest()
+
+
+def test_hash_by_definition():
+    """The cosine sums written out, and means of equal shares of rows and columns."""
+    a = np.random.default_rng(2).integers(0, 256, (70, 64)).astype(np.uint8)
+    cut = lambda n: [(k * n // 32, (k + 1) * n // 32) for k in range(32)]
+    small = np.array([[a[y0:y1, x0:x1].mean() for x0, x1 in cut(64)] for y0, y1 in cut(70)])
+    wave = lambda u, x: np.cos(np.pi * (2 * x + 1) * u / 64)
+    f = np.array([sum(small[y, x] * wave(u, y) * wave(v, x) for y in range(32) for x in range(32)) for u in range(8) for v in range(8)])
+    bits = "".join("1" if x > np.median(f[1:]) else "0" for x in f)
+    assert png.cosine_hash(a) == f"{int(bits, 2):016x}"
+
+
 def test_hash_follows_low_frequencies():
     y, x = np.mgrid[0:64, 0:64]
     a = (127 + 100 * np.cos(x / 9) * np.sin(y / 14)).astype(np.uint8)
