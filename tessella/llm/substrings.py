@@ -1,15 +1,19 @@
-"""Substring deduplication by relative Lempel-Ziv parsing, spread over reference blocks.
+"""Substring deduplication by relative Lempel-Ziv parsing against reference blocks.
 
-Every text is a reference for every other. Its blocks are not scanned one by one: the least hash of the short phrases
-(`PHRASE` words) in a window of `WINDOW` words is the window's anchor, equal windows have equal anchors, and all passages
-with one anchor form a reference block. Each document is parsed greedily, from left to right, into factors: the longest
-runs of windows with one anchor. A factor whose whole passage stands elsewhere in its block is a duplicate at once. Where a
-block holds different passages, the factors' boundaries are checked: the windows of each different passage are looked up
-one by one among those of the block. What remains are exactly the windows whose word sequence starts anywhere else.
+Every text is a reference for every other. The least hash of the short phrases (`PHRASE` words) in a window of `WINDOW` words
+is the window's anchor; equal windows have equal anchors. Texts are cut into passages, runs of windows with one anchor, and
+the different passages with one anchor are an indexed reference block: whatever a passage shares for a window's length with
+any text of the corpus stands in its own block, so parsing it against that block is parsing it against all of them.
 
-Blocks may be large (a passage that a third of all documents share): passages are counted with map-side sums, each
-different one is expanded once, and the joins back run between tables in the shared folder, so that Spark can split them.
-Sequences are compared by anchor and a second hash, 64 bits each.
+Each passage is factored greedily against its block: a factor is the longest sequence of words from where it begins that
+also starts at another place of the block (`longest_matches`: the block's suffixes are sorted by doubling, and of all of them
+a neighbour in that order shares most). A factor of a window's length or more is a duplicate span; the windows that cross the end
+of a factor are checked by the longest match from their own first word. A passage that stands elsewhere as a whole needs
+no factors: all its windows are duplicates.
+
+Blocks may be large (a passage that a third of all documents share): passages are counted with map-side sums and each
+different one is indexed once. Where a block has more than `BLOCK` different passages, its windows are counted by an
+aggregation over all of them instead, which gives the same spans with any number of tasks.
 
 Defined results: a null text counts as empty; a text with fewer words than a window keeps all; rows that repeat doc_id and
 text count as occurrences of their windows, and so lose them; an empty table gives an empty result. Only doc_id and the
@@ -18,7 +22,6 @@ text column are read.
 
 from __future__ import annotations
 
-import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,11 +30,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, chunks, table, text_or_empty
+from tessella.llm.common import Scratch, chunks, partitions, row_key, table, text_or_empty
 
 WINDOW, PHRASE = 35, 8
 #: Windows of a factor at most; longer runs are parted.
 LONGEST = 28
+#: Different passages of a block that one task indexes at most.
+BLOCK = 4096
 U = np.uint64
 
 
@@ -99,8 +104,8 @@ def windows_of(words: np.ndarray, of: np.ndarray, powers: Powers, window: int, p
     return start, _mix(_spans_hash(words, start, start + window, powers)), least[start]
 
 
-def factors(words: np.ndarray, of: np.ndarray, powers: Powers, window: int = WINDOW, phrase: int = PHRASE) -> dict[str, np.ndarray]:
-    """The greedy parse: anchor, passage hash, text, first window (by word in the text), number of windows, and whether a window repeats inside."""
+def passages_of(words: np.ndarray, of: np.ndarray, powers: Powers, window: int = WINDOW, phrase: int = PHRASE) -> dict[str, np.ndarray]:
+    """Runs of windows with one anchor: anchor, passage hash, text, first window (by word in the text), number of windows, and whether a window repeats inside."""
     start, hashes, anchor = windows_of(words, of, powers, window, phrase)
     if not len(start):
         return {k: np.empty(0, d) for k, d in (("anchor", U), ("passage", U), ("of", np.int64), ("start", np.int64), ("n", np.int64), ("inner", bool))}
@@ -129,22 +134,69 @@ def _raw(col: pa.Array) -> list[bytes]:
 
 
 def parse(docs: DataFrame, window: int, phrase: int) -> DataFrame:
-    """Factors of (row, text): anchor, passage, row, start, n, inner."""
+    """Passages of (row, text): anchor, passage, row, start, n, inner."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
         for batch in batches:
-            row = batch.column(0).to_numpy()
+            row = batch.column(0)
             for lo, hi in chunks(batch.num_rows, pc.binary_length(batch.column(1)).to_pylist(), 1 << 20):
-                f = factors(*word_hashes(_raw(batch.column(1).slice(lo, hi - lo)), powers), powers, window, phrase)
-                cols = [_signed(f["anchor"]), _signed(f["passage"]), pa.array(row[lo:hi][f["of"]]), pa.array(f["start"].astype(np.int32)), pa.array(f["n"].astype(np.int32)), pa.array(f["inner"])]
+                f = passages_of(*word_hashes(_raw(batch.column(1).slice(lo, hi - lo)), powers), powers, window, phrase)
+                cols = [_signed(f["anchor"]), _signed(f["passage"]), row.slice(lo, hi - lo).take(pa.array(f["of"])), pa.array(f["start"].astype(np.int32)), pa.array(f["n"].astype(np.int32)), pa.array(f["inner"])]
                 yield pa.RecordBatch.from_arrays(cols, names=["anchor", "passage", "row", "start", "n", "inner"])
 
-    return docs.mapInArrow(run, "anchor long, passage long, row long, start int, n int, inner boolean")
-
-
-def expand(passages: DataFrame, window: int) -> DataFrame:
-    """The windows of passages, from (text, list of {anchor, id, start, n, count}): anchor, hash, id, place and count of each."""
+    return docs.mapInArrow(run, "anchor long, passage long, row binary, start int, n int, inner boolean")
+
+
+def longest_matches(words: np.ndarray, block: np.ndarray, end: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """For each place the length of the longest sequence of words from there that starts at another place of its block too.
+
+    `end` is where a place's passage ends, which no sequence crosses; a place counts `weight` times."""
+    n = len(words)
+    if not n:
+        return np.empty(0, dtype=np.int64)
+    here = np.arange(n)
+    rank = lambda high, low: np.unique(high << 32 | low, return_inverse=True)[1].astype(np.int64)
+    number = lambda x: np.unique(x, return_inverse=True)[1].astype(np.int64)
+    # ranks[j] orders the sequences of 2 ** j words, cut at their passage's end; the last one orders all suffixes
+    ranks = [rank(number(block), number(words))]
+    while 1 << len(ranks) - 1 < int((end - here).max()):
+        half = 1 << len(ranks) - 1
+        after = np.zeros(n, dtype=np.int64)
+        at = np.flatnonzero(here + half < end)
+        after[at] = ranks[-1][at + half] + 1
+        ranks.append(rank(ranks[-1], after))
+    order = np.argsort(ranks[-1], kind="stable")
+    # of all suffixes of a block, a neighbour in this order shares most
+    p, q = order[:-1], order[1:]
+    same = np.zeros(n - 1, dtype=np.int64)
+    for j in range(len(ranks) - 1, -1, -1):
+        at = np.flatnonzero((p + same + (1 << j) <= end[p]) & (q + same + (1 << j) <= end[q]))
+        at = at[ranks[j][p[at] + same[at]] == ranks[j][q[at] + same[at]]]
+        same[at] += 1 << j
+    length = np.zeros(n, dtype=np.int64)
+    length[order] = np.maximum(np.append(0, same), np.append(same, 0))
+    return np.where(weight > 1, end - here, length)
+
+
+def duplicate_windows(lists: list[np.ndarray], block: np.ndarray, count: np.ndarray, window: int) -> list[int]:
+    """Of passages (their words, the block and how often each stands in the corpus): a bit for each window that starts elsewhere too."""
+    sizes = np.array([len(x) for x in lists])
+    ends = np.cumsum(sizes)
+    of = np.repeat(np.arange(len(lists)), sizes)
+    length = longest_matches(np.concatenate(lists), block[of], ends[of], count[of])
+    hit = np.flatnonzero(length >= window)
+    place = hit - (ends - sizes)[of[hit]]
+    masks = np.zeros(len(lists), dtype=np.int64)
+    np.bitwise_or.at(masks, of[hit], np.int64(1) << place)
+    return masks.tolist()
+
+
+PASSAGE = "anchor long, id long, count int, n int, different long, words array<long>"
+
+
+def index_passages(chosen: DataFrame, window: int) -> DataFrame:
+    """The reference blocks: from (text, list of {anchor, id, start, n, count, different}) the words' hashes of each passage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = Powers()
@@ -152,43 +204,98 @@ def expand(passages: DataFrame, window: int) -> DataFrame:
             for k in range(batch.num_rows):
                 words, _ = word_hashes(_raw(batch.column(0).slice(k, 1)), powers)
                 items = batch.column(1).slice(k, 1).flatten()
-                anchor, id_, start, n, count = (items.field(i).to_numpy() for i in range(5))
-                at = np.repeat(np.arange(len(n)), n)
-                place = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-                s = start[at] + place
-                h = _mix(_spans_hash(words, s, s + window, powers))
-                yield pa.RecordBatch.from_arrays([pa.array(anchor[at]), _signed(h), pa.array(id_[at]), pa.array(place.astype(np.int32)), pa.array(count[at])], names=["anchor", "hash", "id", "place", "count"])
+                anchor, id_, start, n, count, different = (items.field(i) for i in range(6))
+                s, e = start.to_numpy(), start.to_numpy() + n.to_numpy() + window - 1
+                for lo, hi in chunks(len(s), (8 * (e - s)).tolist()):
+                    lists = [words[x:y].view(np.int64) for x, y in zip(s[lo:hi], e[lo:hi], strict=True)]
+                    own = [x.slice(lo, hi - lo) for x in (anchor, id_, count, n, different)]
+                    yield pa.RecordBatch.from_arrays([*own, pa.array(lists, pa.list_(pa.int64()))], names=["anchor", "id", "count", "n", "different", "words"])
+
+    return chosen.mapInArrow(run, PASSAGE)
+
+
+def factor_blocks(index: DataFrame, window: int) -> DataFrame:
+    """Masks (anchor, id, mask) of the passages of blocks that come whole and together to a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left: pa.Table | None = None
+
+        def out(t: pa.Table) -> Iterator[pa.RecordBatch]:
+            # some whole blocks at a time
+            anchor = t["anchor"].to_numpy()
+            cuts = np.append(np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])), len(anchor))
+            sizes = np.diff(cuts)
+            for lo, hi in chunks(len(sizes), sizes.tolist(), 8192):
+                part = t.slice(cuts[lo], cuts[hi] - cuts[lo]).combine_chunks()
+                words = part["words"].chunk(0)
+                lists = np.split(words.flatten().to_numpy().view(np.uint64), np.cumsum(pc.list_value_length(words).to_numpy())[:-1])
+                masks = duplicate_windows(lists, part["anchor"].to_numpy(), np.minimum(part["count"].to_numpy(), 2), window)
+                yield pa.RecordBatch.from_arrays([part["anchor"].chunk(0), part["id"].chunk(0), pa.array(masks, pa.int64())], names=["anchor", "id", "mask"])
 
-    return passages.mapInArrow(run, "anchor long, hash long, id long, place int, count int")
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            left = t if left is None else pa.concat_tables([left, t])
+            if not left.num_rows:
+                continue
+            # the last block may go on in the next batch
+            whole = int(np.searchsorted(left["anchor"].to_numpy(), left["anchor"][-1].as_py()))
+            if whole:
+                yield from out(left.slice(0, whole))
+                left = left.slice(whole)
+        if left is not None and left.num_rows:
+            yield from out(left)
+
+    dealt = index.repartition(partitions(index.sparkSession), "anchor").sortWithinPartitions("anchor")
+    return dealt.mapInArrow(run, "anchor long, id long, mask long")
 
 
-def repeated_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+def count_windows(index: DataFrame, window: int) -> DataFrame:
+    """The same masks, by counting all windows of a block: for blocks of any size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = Powers()
+        for batch in batches:
+            anchor, id_, count, n = (batch.column(i).to_numpy() for i in range(4))
+            words = batch.column(5)
+            flat, size = words.flatten().to_numpy().view(np.uint64), pc.list_value_length(words).to_numpy()
+            first = np.cumsum(size) - size
+            at = np.repeat(np.arange(len(n)), n)
+            place = np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+            s = first[at] + place
+            h = [_signed(_mix(_spans_hash(x, s, s + window, powers))) for x in (flat, _mix(flat))]
+            yield pa.RecordBatch.from_arrays([pa.array(anchor[at]), pa.array(id_[at]), *h, pa.array(place.astype(np.int32)), pa.array(count[at])], names=["anchor", "id", "h1", "h2", "place", "count"])
+
+    windows = index.mapInArrow(run, "anchor long, id long, h1 long, h2 long, place int, count int")
+    twice = windows.groupBy("anchor", "h1", "h2").agg(F.sum("count").alias("count")).where("count > 1").drop("count")
+    return windows.join(twice, ["anchor", "h1", "h2"]).groupBy("anchor", "id").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("mask"))
+
+
+def repeated_windows(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE, block: int = BLOCK) -> DataFrame:
     """Of (row, text): row and a list of {start, n, mask}: those of the n windows from start whose bit is set also start elsewhere."""
-    spark = docs.sparkSession
-    work = Scratch(spark, "substrings")
+    work = Scratch(docs.sparkSession, "substrings")
     units = work.save(parse(docs, window, phrase))
     blocks = work.save(units.groupBy("anchor").agg(F.count("*").alias("size"), F.max("inner").alias("any_inner")).where("size > 1 or any_inner").select("anchor"))
-    shared = work.save(units.join(blocks, "anchor").withColumn("id", F.xxhash64("anchor", "passage")))
-    work.drop(units)
+    shared = work.save(units.join(blocks, "anchor").withColumnRenamed("passage", "id"))
+    work.drop(units, blocks)
     passages = work.save(shared.groupBy("anchor", "id").agg(F.count("*").alias("count"), F.max("inner").alias("inner"), F.min(F.struct("row", "start", "n")).alias("at")))
-    mixed = work.save(passages.groupBy("anchor").agg(F.count("*").alias("different"), F.max("inner").alias("inner")).where("different > 1 or inner").select("anchor"))
-    # one occurrence of each different passage of a mixed block is expanded, by way of its text
-    chosen = passages.join(mixed, "anchor").select(F.col("at.row").alias("row"), F.struct("anchor", "id", "at.start", "at.n", F.least("count", F.lit(2)).cast("int").alias("count")).alias("x"))
+    mixed = work.save(passages.groupBy("anchor").agg(F.count("*").alias("different"), F.max("inner").alias("inner")).where("different > 1 or inner").select("anchor", "different"))
+    # one occurrence of each different passage of a mixed block is indexed, by way of its text
+    chosen = passages.join(mixed, "anchor").select(F.col("at.row").alias("row"), F.struct("anchor", "id", "at.start", "at.n", F.least("count", F.lit(2)).cast("int").alias("count"), "different").alias("x"))
     lists = chosen.groupBy("row").agg(F.collect_list("x").alias("xs"))
-    windows = work.save(expand(docs.join(lists.withColumnRenamed("row", "of"), F.col("row") == F.col("of")).select("text", "xs"), window))
-    _free(spark)
-    twice = work.save(windows.groupBy("anchor", "hash").agg(F.sum("count").alias("count")).where("count > 1").select("anchor", "hash"))
-    masks = work.save(windows.join(twice, ["anchor", "hash"]).groupBy("id").agg(F.bit_or(F.expr("shiftleft(1, place)")).alias("mask")))
-    whole = shared.join(mixed, "anchor", "left_anti").withColumn("mask", F.expr("shiftleft(1, n) - 1"))
-    part = shared.join(masks, "id")
+    once = docs.join(lists.withColumnRenamed("row", "of"), F.col("row") == F.col("of")).dropDuplicates(["row"])
+    index = work.save(index_passages(once.select("text", "xs"), window))
+    work.drop(passages)
+    work.free()
+    found = factor_blocks(index.where(F.col("different") <= block), window).unionByName(count_windows(index.where(F.col("different") > block), window))
+    masks = work.save(found.where("mask <> 0"))
+    work.drop(index)
+    whole = shared.join(mixed, "anchor", "left_anti").withColumn("mask", F.expr("shiftleft(1L, n) - 1"))
+    part = shared.join(masks, ["anchor", "id"])
     marks = whole.select("row", "start", "n", "mask").unionByName(part.select("row", "start", "n", "mask"))
-    return work.save(marks.distinct().groupBy("row").agg(F.collect_list(F.struct("start", "n", "mask")).alias("marks")))
-
-
-def _free(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of jobs whose results are saved; else they stay until the driver happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    out = work.save(marks.distinct().groupBy("row").agg(F.collect_list(F.struct("start", "n", "mask")).alias("marks")))
+    work.drop(shared, mixed, masks)
+    work.free()
+    return out
 
 
 def removed_words(n_words: int, marks: list[tuple[np.ndarray, ...]] | None, window: int) -> np.ndarray:
@@ -205,13 +312,12 @@ def removed_words(n_words: int, marks: list[tuple[np.ndarray, ...]] | None, wind
     return np.cumsum(cover[:-1]) > 0
 
 
-def remove_repeats(df: DataFrame, text: str = "text", window: int = WINDOW, phrase: int = PHRASE) -> DataFrame:
+def remove_repeats(df: DataFrame, text: str = "text", window: int = WINDOW, phrase: int = PHRASE, block: int = BLOCK) -> DataFrame:
     """doc_id, n_words, n_removed and kept (the words that no repeated window covers, joined by single spaces) of each row."""
     if not phrase <= window:
         raise ValueError("a phrase is no longer than a window")
-    docs = df.select("doc_id", F.xxhash64(F.col("doc_id").cast("string"), text_or_empty(text)).alias("row"), text_or_empty(text).alias("text"))
-    marks = repeated_windows(docs.select("row", "text"), window, phrase)
-    _free(df.sparkSession)
+    docs = df.select("doc_id", row_key(text).alias("row"), text_or_empty(text).alias("text"))
+    marks = repeated_windows(docs.select("row", "text"), window, phrase, block)
     joined = docs.join(marks.withColumnRenamed("row", "of"), F.col("row") == F.col("of"), "left").select("doc_id", "text", "marks")
     schema = docs.select("doc_id").schema.add("n_words", "long").add("n_removed", "long").add("kept", "string")
 

@@ -3,6 +3,9 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+
+from tessella.llm import substrings
 from tessella.llm.substrings import op3_substrings, remove_repeats
 
 
@@ -41,6 +44,48 @@ def test_random_texts(spark):
     assert result(spark.createDataFrame(rows, "doc_id long, text string")) == brute(rows)
 
 
+def plain_longest(lists, block, count):
+    """Longest matches by comparing every two places of a block, word by word."""
+    out = []
+    for a, x in enumerate(lists):
+        for s in range(len(x)):
+            best = len(x) - s if count[a] > 1 else 0
+            for b, y in enumerate(lists):
+                if block[b] == block[a]:
+                    for t in range(len(y)):
+                        if (a, s) != (b, t):
+                            k = 0
+                            while s + k < len(x) and t + k < len(y) and x[s + k] == y[t + k]:
+                                k += 1
+                            best = max(best, k)
+            out.append(best)
+    return out
+
+
+def test_factors_are_longest():
+    rng = np.random.default_rng(9)
+    for letters in (2, 3, 9):
+        lists = [rng.integers(1, letters, rng.integers(1, 40)).astype(np.uint64) for _ in range(14)]
+        block, count = rng.integers(0, 3, 14), rng.integers(1, 3, 14)
+        sizes = np.array([len(x) for x in lists])
+        of, ends = np.repeat(np.arange(14), sizes), np.cumsum(sizes)
+        got = substrings.longest_matches(np.concatenate(lists), block[of], ends[of], count[of])
+        expected = plain_longest(lists, block, count)
+        assert got.tolist() == expected
+        masks = substrings.duplicate_windows(lists, block, count, 4)
+        for k, m in enumerate(masks):
+            mine = expected[ends[k] - sizes[k] : ends[k]]
+            assert m == sum(1 << i for i, n in enumerate(mine) if n >= 4)
+
+
+def test_large_blocks_give_the_same(spark):
+    """Blocks above and below the limit: the same spans by factors and by counting."""
+    passage = " ".join(f"p{i}" for i in range(30))
+    rows = [(i, f"a{i % 7} b{i % 5} " * 20 + passage + f" c{i % 3}" * 30) for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert result(df, block=1) == result(df, block=5) == result(df) == brute(rows)
+
+
 def test_small_windows(spark):
     rows = [(1, "a b c d"), (2, "x a b c"), (3, "a a a a a"), (4, "q")]
     assert result(spark.createDataFrame(rows, "doc_id long, text string"), window=3, phrase=2) == brute(rows, 3)
