@@ -1,11 +1,12 @@
 """SimHash near-duplicates by a byte-position inverted index with count filtering.
 
 Fingerprints of 64 bits are eight bytes at eight positions. Two of them that differ in at most two bits differ in at most
-two bytes, so they share six (position, byte) postings at least. The index holds each distinct fingerprint under its
-28 combinations of six positional bytes: two fingerprints meet in a posting list exactly if their tally of shared
-positional bytes reaches the guaranteed six. Within a list only two bytes vary, so a list holds 65,536 fingerprints at
-most whatever the corpus, and its links are verified bit by bit without forming all pairs: by comparing neighbours at a
-growing distance while lists are short, by trying all changes of up to two bits in long ones.
+two bytes, so they share six (position, byte) postings at least, and of the four quarters (two positions each) two at least.
+The index posts each distinct fingerprint under the bytes of any two quarters, six times: single bytes would give lists that
+grow with the corpus over 256. Within a list the positional bytes that each pair shares are tallied, pairs that reach the
+guaranteed six are retained and verified bit by bit. Lists of more than `LONG` fingerprints are split: their members are
+posted again under two more bytes each, so that six are shared by all of a list and only two vary; such a list has 65,536
+members at most, and links are found by trying all changes of up to two bits.
 
 Verified links (a star for each linked set of a list) feed connected components by alternating star contraction on
 tables in the shared folder; nothing is collected.
@@ -27,11 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, partitions, table, text_or_empty, unused
-
-
-def row_key(text: str = "text") -> Column:
-    return F.xxhash64(F.col("doc_id").cast("string"), text_or_empty(text))
+from tessella.llm.common import Scratch, partitions, row_key, table, text_or_empty, unused
 
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -67,11 +64,25 @@ def fingerprints(df: DataFrame, text: str = "text", shingle: int = 3) -> DataFra
     return source.mapInArrow(run, schema)
 
 
-SIX = list(combinations(range(8), 6))
-#: Lists up to this length compare neighbours; longer ones try all changes.
+def _mask(positions: tuple[int, ...]) -> int:
+    m = sum(0xFF << 8 * (7 - p) for p in positions)
+    return m - (1 << 64) if m >> 63 else m
+
+
+#: Positions of the bytes that a list shares: any two quarters, and for long lists any two of the other positions too.
+FOUR = [(2 * a, 2 * a + 1, 2 * b, 2 * b + 1) for a, b in combinations(range(4), 2)]
+SIX = [[(*four, *two) for two in combinations([p for p in range(8) if p not in four], 2)] for four in FOUR]
+#: Longer lists are split by two more bytes.
+LONG = 4096
+#: Lists up to this length compare all members; longer ones try all changes.
 SHORT = 64
 
 
+def shared_bytes(x: np.ndarray) -> np.ndarray:
+    """How many positional bytes two fingerprints share, from their differing bits."""
+    return (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+
+
 def _roots(parent: np.ndarray) -> np.ndarray:
     while True:
         up = parent[parent]
@@ -91,7 +102,10 @@ def list_links(fp: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarra
         live = at[:-d][short[:-d] & (group[:-d] == group[d:])] if d < n else at[:0]
         if not len(live):
             break
-        near = live[np.bitwise_count(fp[live] ^ fp[live + d]) <= 2]
+        x = fp[live] ^ fp[live + d]
+        enough = shared_bytes(x) >= 6
+        live, x = live[enough], x[enough]
+        near = live[np.bitwise_count(x) <= 2]
         a.append(near)
         b.append(near + d)
     for g in np.flatnonzero(size > SHORT):
@@ -123,14 +137,17 @@ def list_links(fp: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return fp[child], fp[parent[child]]
 
 
-def fingerprint_links(distinct: DataFrame) -> DataFrame:
+def fingerprint_links(distinct: DataFrame, long: int = LONG) -> DataFrame:
     """Links (a, b) that span the linked sets of distinct fingerprints (column fp)."""
-    by = [sum(0xFF << 8 * (7 - p) for p in six) for six in SIX]
-    signed = [m - (1 << 64) if m >> 63 else m for m in by]
-    # dealt out anew: each row becomes 28, and a small table would be read by a task or two
+    # dealt out anew: each row becomes several, and a small table would be read by a task or two
     spread = distinct.select("fp").repartition(partitions(distinct.sparkSession), "fp")
-    keyed = spread.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in signed])).alias("six", "six_bytes"))
-    lists = keyed.groupBy("six", "six_bytes").agg(F.count("*").alias("n"), F.collect_list("fp").alias("fps")).where("n > 1").select("fps")
+    posted = spread.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(_mask(m))) for m in FOUR])).alias("four", "four_bytes"))
+    # a table of its own, so that the joins can be made with whatever its size calls for
+    hot = Scratch(distinct.sparkSession, "postings").save(posted.groupBy("four", "four_bytes").count().where(F.col("count") > long).select("four", "four_bytes"))
+    few = posted.join(hot, ["four", "four_bytes"], "left_anti").select("fp", F.col("four").alias("list"), F.col("four_bytes").alias("bytes"))
+    more = F.array(*[F.array(*[F.struct(F.lit(6 * (k + 1) + j).alias("list"), F.col("fp").bitwiseAND(F.lit(_mask(m))).alias("bytes")) for j, m in enumerate(six)]) for k, six in enumerate(SIX)])
+    many = posted.join(hot, ["four", "four_bytes"]).select("fp", F.explode(F.get(more, F.col("four"))).alias("x")).select("fp", "x.list", "x.bytes")
+    lists = few.unionByName(many).groupBy("list", "bytes").agg(F.count("*").alias("n"), F.collect_list("fp").alias("fps")).where("n > 1").select("fps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,10 +188,10 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"components: still changing after {rounds} rounds")
 
 
-def near_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
     """doc_id, row, fp, component_id (the smallest doc_id that is reachable over links) and root (names the component) of each row."""
     work = Scratch(df.sparkSession, "simhash")
-    marks = work.save(fingerprints(df, text))
+    marks = work.save(fingerprints(df, text, shingle))
     distinct = work.save(marks.groupBy("fp").agg(F.min("doc_id").alias("first")))
     roots = components(fingerprint_links(distinct.select("fp")))
     named = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
@@ -185,11 +202,20 @@ def near_duplicates(df: DataFrame, text: str = "text") -> DataFrame:
     return marks.join(by_fp, F.col("fp") == F.col("of")).select("doc_id", "row", "fp", "component_id", "root")
 
 
-def one_of_each_group(df: DataFrame, text: str = "text") -> DataFrame:
-    """Of each component of near-duplicates, the row of the smallest doc_id (of equal ones one, by a hash of the text)."""
-    found = near_duplicates(df, text)
+def one_of_each_group(df: DataFrame, text: str = "text", shingle: int = 3, likeness: float | None = None) -> DataFrame:
+    """Of each component of near-duplicates, the row of the smallest doc_id (of equal ones one, by a hash of the text).
+
+    Links are those of `near_duplicates`, or with `likeness` a Jaccard index of shingles of at least that much: such texts
+    differ in more bits than positional bytes can vouch for, so `tessella.llm.overlap` finds them by the shingles themselves
+    and uses fingerprints only to tell apart texts that share a passage."""
+    if likeness is not None:
+        from tessella.llm import overlap
+
+        return overlap.one_of_each_group(df, text, shingle, likeness)
+    work = Scratch(df.sparkSession, "simhash")
+    found = near_duplicates(df, text, shingle)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row")
-    keep = Scratch(df.sparkSession, "simhash").save(found.groupBy("root").agg(F.min_by("row", order).alias("__row")).select("__row"))
+    keep = work.save(found.groupBy("root").agg(F.min_by("row", order).alias("__row")).select("__row"))
     return df.withColumn("__row", row_key(text)).join(keep, "__row", "left_semi").dropDuplicates(["__row"]).select(*df.columns)
 
 

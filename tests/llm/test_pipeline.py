@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_bpe import expected
 from test_pii import base
-from test_simhash import groups, mark
+from test_overlap import least, shingle_set
 from tokenizers import Tokenizer
 
 from tessella.llm import bpe
@@ -39,7 +39,7 @@ def test_toxic_go_and_clean_stay(spark, small, stages):
 
 def test_one_of_each_group(stages):
     rows = sorted((r.doc_id, r.text) for r in stages[0].collect())
-    roots = groups([mark(t) for _, t in rows])
+    roots = least([shingle_set(t) for _, t in rows])
     assert sorted(r.doc_id for r in stages[1].collect()) == sorted(rows[k][0] for k in set(roots))
 
 

@@ -42,8 +42,8 @@ def test_query_equals_brute_force(spark, small, docs):
     assert got == {docs[n][0]: (f"{marks[n]:016x}", docs[roots[n]][0]) for n in range(len(docs))}
 
 
-@pytest.mark.parametrize("spread", [64, 12, 20])
-def test_links_of_given_fingerprints(spark, spread):
+@pytest.mark.parametrize(("spread", "long"), [(64, 4096), (64, 3), (12, 4096), (20, 100)])
+def test_links_of_given_fingerprints(spark, spread, long):
     """Chains, balls and noise; with few varied bits posting lists grow long."""
     rng = random.Random(spread)
     marks = {rng.getrandbits(64) for _ in range(50)}
@@ -55,7 +55,7 @@ def test_links_of_given_fingerprints(spark, spread):
         marks.add(chain)
     marks = sorted(marks)
     signed = np.array(marks, dtype=np.uint64).view(np.int64).tolist()
-    roots = simhash.components(simhash.fingerprint_links(spark.createDataFrame([(x,) for x in signed], "fp long")))
+    roots = simhash.components(simhash.fingerprint_links(spark.createDataFrame([(x,) for x in signed], "fp long"), long))
     found = {r.node: r.root for r in roots.collect()}
     expected = groups(marks)
     name = {}
@@ -64,6 +64,14 @@ def test_links_of_given_fingerprints(spark, spread):
     assert len(set(name.values())) == len(set(expected))
 
 
+def test_every_pair_of_two_bits_meets_in_a_list():
+    for a in range(64):
+        for b in range(a, 64):
+            off = {7 - a // 8, 7 - b // 8}
+            lists = [k for k, four in enumerate(simhash.FOUR) if not off & set(four)]
+            assert lists and all(any(not off & set(six) for six in simhash.SIX[k]) for k in lists)
+
+
 def test_long_lists_equal_short_ones():
     fp = np.unique(np.random.default_rng(1).integers(0, 1 << 11, 900, dtype=np.uint64)) << np.uint64(7)
     group = np.zeros(len(fp), dtype=np.int64)
