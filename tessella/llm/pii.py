@@ -1,17 +1,23 @@
 """Personal data: fixed patterns, and bootstrapped contextual extraction that finds identifiers the patterns miss.
 
-Fixed patterns give the base spans of four kinds. They are the seeds: the words (or labels such as `mail:` and `key=`)
-that stand before seed values are lexical patterns, and groups of digits and words with a mark (`MARKED`) are possible identifiers. Patterns and
-values form a graph that Spark scores in rounds: a pattern's confidence for a kind is the score of the values behind it
-over all its occurrences in the corpus (those before ordinary words count against it), a value's score is one minus the
-product of its patterns' doubts. Values behind patterns of high confidence, with enough different values as support,
-become spans of that kind, and seeds of the next round. Base spans always stay.
+Fixed patterns give the base spans of four kinds, and these are the seeds. Lexical patterns are what stands around a seed: the
+word before it, the two words before it, the word before with the word after it, or a label of its own word such as `mail:`
+and `key=`. Patterns and values form a graph that Spark scores in rounds: a pattern's confidence for a kind is the score of
+the values it stands around over all its occurrences in the corpus (those around anything else count against it); a value's
+score is one minus the product of the doubts of its patterns, of those with one word before the most confident. Values of
+confident patterns with enough different values as support become spans of that kind and raise the scores of the next round.
+A value with a mark (a digit, an @, a bracket, a low line, an inner dot) needs a score of `CONFIDENT`, a plain word one of
+`PLAIN`. Base spans always stay.
+
+Words are looked at in segments of about `SEGMENT` characters, so that what a task holds of a text is bounded; patterns don't
+reach over a segment's end. Seeds stand in these segments as masks: private characters that say their kind and a hash of
+their value, so that no list of spans is searched for each word.
 
 All is built-in functions. The fixed patterns are written so that Java's matcher takes linear time and no recursion on any
 text; where that needs a text prepared, characters are replaced one by one, so places stay.
 
 Defined results: a null text counts as empty; repeated rows get the same spans; spans are in code points, end exclusive;
-texts that hold the marks U+E000 or U+E001 are read with U+E002 in their place; an empty table gives an empty result.
+private characters (U+E000 to U+F8FF) of a text are read as U+E002; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,17 +25,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import SPACE, Scratch, table, text_or_empty
+from tessella.llm.common import Scratch, row_key, table, text_or_empty
 
 KINDS = ["email", "ip", "card", "phone"]
 SPANS = "array<struct<kind:string,s:int,e:int>>"
-#: Rounds of scoring; confidence and number of different values that a pattern needs.
-ROUNDS, CONFIDENT, SUPPORT = 3, 0.5, 3
+#: Rounds of scoring; confidence and number of different values that a pattern needs; score that a plain word needs.
+ROUNDS, CONFIDENT, SUPPORT, PLAIN = 3, 0.5, 3, 0.75
+SEGMENT = 30_000
 
-#: Marks around matches.
+#: Marks around matches; what stands for characters that can't belong to a match (a dot; a space and a hyphen).
 BEGIN, END = "\ue000", "\ue001"
+DOT, GAP, DASH = "\ue004", "\ue005", "\ue006"
+#: Masks of base spans: four characters for a hash of the value, then one for each kind.
+CODES = "".join(chr(0xE100 + i) for i in range(16))
+FILL = {k: chr(0xE010 + i) for i, k in enumerate(KINDS)}
+MASK = "[\ue010-\ue013\ue100-\ue10f]"
 
-EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++\.[A-Za-z0-9.-]++"
+EMAIL = rf"(?:(?<![A-Za-z0-9._%+{DOT}-])|\G)[A-Za-z0-9._%+{DOT}-]++@[A-Za-z0-9-]++\.[A-Za-z0-9.-]++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"(?<![0-9 -])[0-9](?=(?:[ -]?[0-9]){12})[0-9 -]++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
@@ -37,8 +49,10 @@ PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
 MARK = r"(?:[0-9@(\[{_]|\.(?=\p{L}))"
 GROUP = r"\(?[0-9][0-9()/-]*+"
 GROUPS = rf"(?:[\p{{L}}_-]++[=:])?+[+(]*+{GROUP}(?:\x20++{GROUP}(?=[\"')>\],.;:!?]*+(?:[\x20\x09-\x0D]|$)))++"
-MARKED = rf"(?<![^\x20\x09-\x0D])(?:{GROUPS}|[^\x20\x09-\x0D]*?{MARK}[^\x20\x09-\x0D]*+)"
+#: What counts as a word: groups of digits together, else anything between white space.
+ITEM = rf"(?<![^\x20\x09-\x0D])(?:{GROUPS}|[^\x20\x09-\x0D]++)"
 LABEL = r"^[\p{L}_-]+[=:]"
+OPEN, CLOSE = r"^[\"'(<\[]+", r"(?<![\"')>\],.;:!?])[\"')>\],.;:!?]++$"
 
 
 MATCHES = "array<struct<s:int,e:int,m:string,rest:string>>"
@@ -93,95 +107,171 @@ def _digits(m: Column) -> Column:
     return F.length(F.regexp_replace(m, "[^0-9]", ""))
 
 
-def with_base_spans(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with the columns __t (the text as read), __marked (its possible identifiers), and for each kind an array of {s, e, m, rest}."""
-    t = F.col("__t")
-    df = df.withColumn("__t", text_or_empty(text))
-    df = df.withColumn("__t", F.when(t.contains(BEGIN) | t.contains(END), F.translate(t, BEGIN + END, "\ue002\ue002")).otherwise(t))
-    # dots that can't part two labels read as %, which an address may hold before the @ as well, but never after it
-    dots = F.regexp_replace(t, r"\.(?![A-Za-z0-9-])|(?<![A-Za-z0-9-])\.", "%")
-    # spaces and hyphens that don't part two digits end a number
-    digits = F.regexp_replace(t, r"(?<![0-9])[ -]|[ -](?![0-9])", "\x01")
-    parts = {
-        "email": F.when(t.contains("@"), cut(dots, EMAIL)),
-        "ip": F.when(t.rlike(r"[0-9]\.[0-9]++\.[0-9]"), cut(t, IP)),
-        "card": F.when(t.rlike(r"[0-9](?:[ -]?[0-9]){12}"), cut(digits, CARD)),
-        "phone": F.when(t.contains("+"), cut(t, PHONE)),
-        "marked": F.when(t.rlike(MARK), cut(t, MARKED)),
-    }
-    df = df.withColumns({f"__p_{k}": v for k, v in parts.items()})
-    small = lambda x: (F.length(F.ltrim(x, F.lit("0"))) <= 3) & (F.coalesce(F.ltrim(x, F.lit("0")).try_cast("int"), F.lit(0)) <= 255)
-    test = {
-        "email": lambda x: F.lit(True),
-        "ip": lambda x: F.forall(F.split(x["m"], r"\."), small),
-        "card": lambda x: _digits(x["m"]).between(13, 19) & _luhn(x["m"]),
-        "phone": lambda x: _digits(x["m"]).between(9, 15),
-    }
-    df = df.withColumns({f"__{k}": F.filter(matches(f"__p_{k}"), v) for k, v in test.items()} | {"__marked": matches("__p_marked")})
-    return df.drop(*[f"__p_{k}" for k in parts])
+def _small(x: Column) -> Column:
+    digits = F.ltrim(x, F.lit("0"))
+    return (F.length(digits) <= 3) & (F.coalesce(digits.try_cast("int"), F.lit(0)) <= 255)
 
 
-def base_spans(kind: str) -> Column:
-    return F.transform(f"__{kind}", lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
+#: Which matches count.
+TESTS = {
+    "email": lambda m: F.lit(True),
+    "ip": lambda m: F.forall(F.split(m, r"\."), _small),
+    "card": lambda m: _digits(m).between(13, 19) & _luhn(m),
+    "phone": lambda m: _digits(m).between(9, 15),
+}
+
+
+def _parts(kind: str, t: Column) -> Column:
+    """A text parted before the matches of a kind; null if it can't have any."""
+    if kind == "email":
+        # dots that can't part two labels are others, which an address may hold before the @ as well, but never after it
+        return F.when(t.contains("@"), cut(F.regexp_replace(t, r"\.(?![A-Za-z0-9-])|(?<![A-Za-z0-9-])\.", DOT), EMAIL))
+    if kind == "ip":
+        return F.when(t.rlike(r"[0-9]\.[0-9]++\.[0-9]"), cut(t, IP))
+    if kind == "card":
+        # spaces and hyphens that don't part two digits end a number
+        spaces = F.regexp_replace(t, "(?<![0-9]) | (?![0-9])", GAP)
+        return F.when(t.rlike(r"[0-9](?:[ -]?[0-9]){12}"), cut(F.regexp_replace(spaces, "(?<![0-9])-|-(?![0-9])", DASH), CARD))
+    return F.when(t.contains("+"), cut(t, PHONE))
+
+
+def _masked(kind: str, parts: Column, before: Column) -> Column:
+    """The text of `parts` with the matches that count masked; each character keeps its place."""
+
+    def one(x: Column) -> Column:
+        m = F.substring_index(x, END, 1)
+        code = F.translate(F.substring(F.md5(m), 1, 4), "0123456789abcdef", CODES)
+        own = F.when(TESTS[kind](m), F.concat(code, F.repeat(F.lit(FILL[kind]), F.length(m) - 4))).otherwise(m)
+        return F.when(x.contains(END), F.concat(own, F.substring(x, F.length(m) + 2, F.length(x)))).otherwise(x)
 
+    whole = F.translate(F.array_join(F.transform(parts, one), ""), DOT + GAP + DASH, ". -")
+    return F.when(F.size(parts) > 1, whole).otherwise(before)
 
-def _candidates(base: Column) -> Column:
-    """Marked words that don't overlap a base span, or begin with one: {pattern, value, s, e, kind}; kind is null unless it is a seed."""
 
-    def one(x: Column, i: Column) -> Column:
-        label = F.regexp_extract(x["m"], LABEL, 0)
-        tail = F.concat(F.coalesce(F.get("__marked", i - 1)["m"], F.lit("")), x["rest"])  # the word before may be marked itself
-        before = F.lower(F.regexp_extract(tail, r"(?<![^\x20\x09-\x0D])([^\x20\x09-\x0D]++)[\x20\x09-\x0D]++$", 1))
-        value = F.regexp_replace(F.substring(x["m"], F.length(label) + 1, F.length(x["m"])), r"^[\"'(<\[]+", "")
-        start = x["e"] - F.length(value)
-        value = F.regexp_replace(value, r"(?<![\"')>\],.;:!?])[\"')>\],.;:!?]++$", "")
-        return F.struct(F.when(label != "", F.lower(label)).otherwise(before).alias("pattern"), value.alias("value"), start.alias("s"), (start + F.length(value)).alias("e"))
+def _counting(kind: str) -> Column:
+    return F.filter(matches(f"__p_{kind}"), lambda x: TESTS[kind](x["m"]))
+
+
+def with_base_spans(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with an array of {s, e, m, rest} for each kind, and __m: the text with masks for base spans (of overlapping ones that of the first kind)."""
+    t = text_or_empty(text)
+    df = df.withColumn("__t", F.when(t.rlike("[\ue000-\uf8ff]"), F.regexp_replace(t, "[\ue000-\uf8ff]", "\ue002")).otherwise(t)).withColumn("__m", F.col("__t"))
+    for k in KINDS:
+        df = df.withColumns({f"__p_{k}": _parts(k, F.col("__t")), "__q": _parts(k, F.col("__m"))})
+        df = df.withColumns({f"__{k}": _counting(k), "__m": _masked(k, F.col("__q"), F.col("__m"))})
+    return df.drop("__t", "__q", *[f"__p_{k}" for k in KINDS])
+
+
+def base_spans(kind: str) -> Column:
+    return F.transform(f"__{kind}", lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
 
-    def mark(x: Column) -> Column:
-        seed = F.get(F.filter(base, lambda b: b["s"] == x["s"]), F.lit(0))
-        inside = F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-        # a seed's value is all of its span, not its first word
-        value = F.when(seed.isNotNull(), F.substring(F.col("__t"), seed["s"] + 1, seed["e"] - seed["s"])).otherwise(x["value"])
-        return F.struct(x["pattern"].alias("pattern"), value.alias("value"), x["s"].alias("s"), x["e"].alias("e"), seed["kind"].alias("kind"), inside.alias("inside"))
 
-    marked = F.transform(F.transform("__marked", one), mark)
-    return F.filter(marked, lambda x: (x["pattern"] != "") & (x["value"] != "") & (x["kind"].isNotNull() | ~x["inside"]))
+def segments(seen: DataFrame) -> DataFrame:
+    """Of rows with __row and __m: __row, seg, at (where the segment begins) and w (its words)."""
+    parts = F.regexp_extract_all("__m", F.lit(rf"(?s)(.{{1,{SEGMENT}}}[^\x20\x09-\x0D]*+)"), F.lit(1))
+    whole = F.when(F.length("__m") <= SEGMENT, F.array("__m")).otherwise(parts)
+    cut_ = seen.where("__m <> ''").select("__row", whole.alias("__s")).select("__row", "__s", F.posexplode("__s").alias("seg", "part"))
+    at = F.aggregate(F.slice("__s", F.lit(1), F.col("seg")), F.lit(0), lambda a, x: a + F.length(x))
+    return cut_.select("__row", "seg", at.alias("at"), "part", F.regexp_extract_all("part", F.lit(f"({ITEM})"), F.lit(1)).alias("w"))
+
+
+def _context(w: Column, i: Column) -> Column:
+    x = F.get(w, i)
+    return F.lower(F.regexp_replace(x, f"{MASK}++", "#"))
+
+
+def patterns_at(w: Column, i: Column) -> Column:
+    """{head, pattern} of word i: head is the label or the word before, which all patterns of a place share."""
+    label = F.lower(F.regexp_extract(F.get(w, i), LABEL, 0))
+    one, two, after = _context(w, i - 1), _context(w, i - 2), _context(w, i + 1)
+    named = lambda *x: F.struct(F.coalesce(one, label).alias("head"), F.concat(*x).alias("pattern"))
+    around = F.array(named(F.lit("1 "), one), named(F.lit("2 "), two, F.lit(" "), one), named(F.lit("3 "), one, F.lit(" _ "), after))
+    own = F.array(F.struct(label.alias("head"), F.concat(F.lit("= "), label).alias("pattern")))
+    return F.filter(F.when(label != "", own).otherwise(around), lambda x: x["pattern"].isNotNull())
+
+
+def _value(word: Column) -> Column:
+    """What a word holds behind its label and between quotes, brackets and punctuation."""
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(word, LABEL, ""), OPEN, ""), CLOSE, "")
+
+
+def _kind(word: Column) -> Column:
+    return F.coalesce(*[F.when(word.contains(f), F.lit(k)) for k, f in FILL.items()])
+
+
+def _places(parts: DataFrame, which) -> DataFrame:
+    """A row for each word that `which` says: __row, seg, i, kind (of seeds), value and its patterns."""
+    w = F.col("w")
+    all_ = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
+    at = F.filter(all_, lambda i: which(F.get(w, i)))
+
+    def one(i: Column) -> Column:
+        x = F.get(w, i)
+        value = F.when(_kind(x).isNotNull(), F.regexp_extract(x, f"[{CODES}]+", 0)).otherwise(_value(x))
+        return F.struct(i.alias("i"), _kind(x).alias("kind"), value.alias("value"), patterns_at(w, i).alias("ps"))
+
+    rows = parts.select("__row", "seg", F.explode(F.transform(at, one)).alias("x")).select("__row", "seg", "x.*")
+    return rows.select("__row", "seg", "i", "kind", "value", F.explode("ps").alias("p")).select("__row", "seg", "i", "kind", "value", "p.*")
+
+
+def extract(seen: DataFrame) -> DataFrame:
+    """Of rows with __row and __m: __row and `added`, the spans that patterns add, as far as there are any."""
+    spark = seen.sparkSession
+    work, parts = Scratch(spark, "contexts"), segments(seen)
+    seeds = _places(parts, lambda x: x.rlike(MASK)).groupBy("pattern", "kind").agg(F.count("*").alias("mass"), F.countDistinct("value").alias("support"))
+    seeds = work.save(seeds)
+    plain = lambda x: ~x.rlike(MASK) & x.rlike(r"[\p{L}\p{N}]")
+    known, values, accepted = work.save(spark.range(0).select(F.lit("").alias("pattern"), F.col("id").alias("n"))), None, None
+    for k in range(ROUNDS):
+        mass = seeds.select("pattern", "kind", F.col("mass").cast("double").alias("mass"), "support")
+        if values is not None:
+            edges = _places(parts, plain).drop("kind").join(values, "value").groupBy("pattern", "kind")
+            mass = mass.unionByName(edges.agg(F.sum("score").alias("mass"), F.countDistinct("value").alias("support")))
+        mass = mass.groupBy("pattern", "kind").agg(F.sum("mass").alias("mass"), F.sum("support").alias("support"))
+        mass = work.save(mass.where(F.col("support") >= SUPPORT))
+        # how often patterns with support stand around anything; each is counted once
+        new = work.save(mass.select("pattern").distinct().join(known, "pattern", "left_anti"))
+        if not new.isEmpty():
+            counts = _places(parts, lambda x: F.lit(True)).select("pattern").join(new, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("n"))
+            known = work.save(known.unionByName(counts))
+        sure = mass.join(known, "pattern").select("pattern", "kind", (F.col("mass") / (F.col("n") + 1)).alias("confidence")).where(F.col("confidence") >= CONFIDENT)
+        sure = work.save(sure)
+        if sure.isEmpty():
+            break
+        hits = _places(parts, plain).drop("kind").join(sure, "pattern")
+        hits = work.save(hits.groupBy("__row", "seg", "i", "value", "head", "kind").agg(F.max("confidence").alias("confidence")))
+        doubt = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9))))
+        scores = hits.groupBy("value", "kind", "head").agg(F.max("confidence").alias("confidence")).groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score"))
+        enough = F.when(F.col("value").rlike(MARK), CONFIDENT).otherwise(PLAIN)
+        scores = work.save(scores.where((F.col("value") != "") & (F.col("score") >= enough)))
+        accepted = (hits, scores)
+        if scores.isEmpty() or k == ROUNDS - 1:
+            break
+        values = scores
+    if accepted is None:
+        return seen.select("__row", F.array().cast(SPANS).alias("added")).limit(0)
+    hits, scores = accepted
+    best = hits.join(scores, ["value", "kind"]).groupBy("__row", "seg", "i").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
+    # places are counted only in the segments that hold a span
+    found = parts.select("__row", "seg", "at", "part").join(best.groupBy("__row", "seg").agg(F.collect_set(F.struct("i", "kind")).alias("xs")), ["__row", "seg"])
+    found = found.withColumn("__cut", cut(F.col("part"), ITEM)).withColumn("__items", matches("__cut"))
+
+    def span(x: Column) -> Column:
+        item = F.get("__items", x["i"])
+        open_ = F.regexp_replace(F.regexp_replace(item["m"], LABEL, ""), OPEN, "")
+        start = F.col("at") + item["e"] - F.length(open_)
+        return F.struct(x["kind"].alias("kind"), start.alias("s"), (start + F.length(_value(item["m"]))).alias("e"))
+
+    spans = found.select("__row", F.explode(F.transform("xs", span)).alias("x"))
+    return work.save(spans.groupBy("__row").agg(F.sort_array(F.collect_set("x")).alias("added")))
 
 
 def find(df: DataFrame, text: str = "text") -> DataFrame:
     """For each row doc_id, __row (its key), the base spans as columns of their kinds, and `added`, the spans that the method adds."""
     work = Scratch(df.sparkSession, "pii")
     found = with_base_spans(df.select("doc_id", text), text)
-    spans = F.concat(*[base_spans(k) for k in KINDS])
-    seen = found.select("doc_id", row_key(text).alias("__row"), *[base_spans(k).alias(k) for k in KINDS], _candidates(spans).alias("candidates"))
-    seen = work.save(seen)
-    possible = work.save(seen.select("__row", F.explode("candidates").alias("c")).select("__row", "c.*"))
-    seeds = possible.where("kind is not null").select("value", "kind").distinct().withColumn("score", F.lit(1.0))
-    # how often each pattern that may get support stands before anything
-    words = F.explode(F.filter(F.split(text_or_empty(text), SPACE), lambda w: w != "")).alias("w")
-    word = F.when(F.col("w").contains("=") | F.col("w").contains(":"), F.coalesce(F.nullif(F.regexp_extract("w", LABEL, 0), F.lit("")), F.col("w"))).otherwise(F.col("w"))
-    counts = df.select(words).groupBy(F.lower(word).alias("pattern")).agg(F.count("*").alias("n"))
-    able = work.save(possible.groupBy("pattern").agg(F.countDistinct("value").alias("support")).where(F.col("support") >= SUPPORT).select("pattern"))
-    total = work.save(counts.join(able, "pattern", "left_semi"))
-    accepted = None
-    for _ in range(ROUNDS):
-        scores = work.save(seeds)
-        edges = possible.drop("kind").join(scores, "value")
-        pattern = edges.groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.countDistinct("value").alias("support"))
-        pattern = pattern.where(F.col("support") >= SUPPORT).join(total, "pattern").select("pattern", "kind", (F.col("mass") / (F.col("n") + 1)).alias("confidence"))
-        pattern = work.save(pattern.where(F.col("confidence") >= CONFIDENT))
-        accepted = possible.where("kind is null").drop("kind").join(pattern, "pattern")
-        doubt = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9))))
-        new = accepted.select("value", "kind", "pattern", "confidence").distinct().groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score"))
-        seeds = scores.unionByName(new).groupBy("value", "kind").agg(F.max("score").alias("score"))
-    best = accepted.groupBy("__row", "s", "e").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
-    added = work.save(best.groupBy("__row").agg(F.sort_array(F.collect_list(F.struct("kind", "s", "e"))).alias("added")))
-    return seen.drop("candidates").join(added, "__row", "left").withColumn("added", F.coalesce("added", F.array().cast(SPANS)))
-
-
-def row_key(text: str = "text") -> Column:
-    """Rows with equal doc_id and text have equal spans."""
-    return F.xxhash64(F.col("doc_id").cast("string"), text_or_empty(text))
+    seen = work.save(found.select("doc_id", row_key(text).alias("__row"), "__m", *[base_spans(k).alias(k) for k in KINDS]))
+    return seen.drop("__m").join(extract(seen), "__row", "left").withColumn("added", F.coalesce("added", F.array().cast(SPANS)))
 
 
 def span_string(spans: Column) -> Column:
@@ -194,21 +284,44 @@ def ordered(spans: Column) -> Column:
     return F.transform(F.sort_array(keyed), lambda x: F.struct(x["kind"].alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
 
 
-def redact(df: DataFrame, text: str = "text") -> DataFrame:
-    """df with each span of `text` replaced by its kind in brackets; of overlapping spans the first counts, as far as they reach together."""
-    found = find(df, text).select("__row", F.concat(*KINDS, "added").alias("__spans")).where(F.size("__spans") > 0).dropDuplicates(["__row"])
-    found = Scratch(df.sparkSession, "pii").save(found)
-    joined = df.withColumn("__row", row_key(text)).join(found, "__row", "left")
-    by_start = F.sort_array(F.transform("__spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
+#: Texts with more spans are redacted in pieces of so many characters.
+FEW, SHORT = 64, 1000
+
+
+def _redacted(text: Column, spans: Column, begin: Column) -> Column:
+    """A text that begins at a place of a whole one, with each span replaced by its kind in brackets where it starts."""
+    by_start = F.sort_array(F.transform(spans, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
 
     def add(acc: Column, x: Column) -> Column:
-        kept = F.substring(F.col(text), acc["at"] + 1, x["s"] - acc["at"])
+        kept = F.substring(text, acc["at"] - begin + 1, x["s"] - acc["at"])
         new = F.struct(x["e"].alias("at"), F.concat(acc["out"], kept, F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("out"))
         over = F.struct(F.greatest(acc["at"], x["e"]).alias("at"), acc["out"].alias("out"))
-        return F.when(x["s"] >= acc["at"], new).otherwise(over)
+        return F.when(x["s"] >= acc["at"], new).otherwise(over)  # also of one that began before this text
+
+    return F.aggregate(by_start, F.struct(begin.alias("at"), F.lit("").alias("out")), add, lambda a: F.concat(a["out"], F.substring(text, a["at"] - begin + 1, F.length(text))))
 
-    clean = F.aggregate(by_start, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add, lambda a: F.concat(a["out"], F.substring(F.col(text), a["at"] + 1, F.length(text))))
-    return joined.withColumn(text, F.when(F.col("__spans").isNotNull(), clean).otherwise(F.col(text))).select(*df.columns)
+
+def redact(df: DataFrame, text: str = "text") -> DataFrame:
+    """df with each span of `text` replaced by its kind in brackets; of overlapping spans the first counts, as far as they reach together."""
+    work = Scratch(df.sparkSession, "pii")
+    found = find(df, text).select("__row", F.concat(*KINDS, "added").alias("__spans")).where(F.size("__spans") > 0).dropDuplicates(["__row"])
+    found = work.save(found)
+    keyed = df.withColumn("__row", row_key(text))
+    # long lists of spans are dealt over pieces of their text, so that no text is copied for each of its spans
+    many = found.where(F.size("__spans") > FEW)
+    texts = keyed.select("__row", F.col(text).alias("__text")).join(many.select("__row"), "__row").dropDuplicates(["__row"])
+    pieces = texts.select("__row", F.posexplode(F.regexp_extract_all("__text", F.lit(f"(?s)(.{{1,{SHORT}}})"), F.lit(1))).alias("p", "piece"))
+    spans = many.select("__row", F.explode("__spans").alias("x"))
+    spans = spans.select("__row", "x", F.explode(F.sequence(F.expr(f"x.s div {SHORT}").cast("int"), F.expr(f"(x.e - 1) div {SHORT}").cast("int"))).alias("p"))
+    spans = spans.groupBy("__row", "p").agg(F.collect_list("x").alias("xs"))
+    clean = F.when(F.col("xs").isNotNull(), _redacted(F.col("piece"), F.col("xs"), F.col("p") * SHORT)).otherwise(F.col("piece"))
+    done = pieces.join(spans, ["__row", "p"], "left").select("__row", "p", clean.alias("out")).groupBy("__row")
+    done = done.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "out"))), lambda x: x["out"]), "").alias("__clean"))
+    few = found.where(F.size("__spans") <= FEW).withColumn("__clean", F.lit(None).cast("string"))
+    both = work.save(few.unionByName(done.withColumn("__spans", F.lit(None).cast(SPANS))))
+    joined = keyed.join(both, "__row", "left")
+    own = F.when(F.col("__spans").isNotNull(), _redacted(F.col(text), F.col("__spans"), F.lit(0))).otherwise(F.col(text))
+    return joined.withColumn(text, F.coalesce("__clean", own)).select(*df.columns)
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
