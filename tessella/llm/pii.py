@@ -167,27 +167,29 @@ def base_spans(kind: str) -> Column:
 
 
 def segments(seen: DataFrame) -> DataFrame:
-    """Of rows with __row and __m: __row, seg, at (where the segment begins) and w (its words)."""
+    """Of rows with __row and __m: __row, seg, at (where the segment begins), part (its text), w (its words) and c (these as contexts: lower-cased, seeds as #)."""
     parts = F.regexp_extract_all("__m", F.lit(rf"(?s)(.{{1,{SEGMENT}}}[^\x20\x09-\x0D]*+)"), F.lit(1))
     whole = F.when(F.length("__m") <= SEGMENT, F.array("__m")).otherwise(parts)
     cut_ = seen.where("__m <> ''").select("__row", whole.alias("__s")).select("__row", "__s", F.posexplode("__s").alias("seg", "part"))
     at = F.aggregate(F.slice("__s", F.lit(1), F.col("seg")), F.lit(0), lambda a, x: a + F.length(x))
-    return cut_.select("__row", "seg", at.alias("at"), "part", F.regexp_extract_all("part", F.lit(f"({ITEM})"), F.lit(1)).alias("w"))
+    words = lambda t: F.regexp_extract_all(t, F.lit(f"({ITEM})"), F.lit(1))
+    return cut_.select("__row", "seg", at.alias("at"), "part", words(F.col("part")).alias("w"), words(F.lower(F.regexp_replace("part", f"{MASK}++", "#"))).alias("c"))
 
 
-def _context(w: Column, i: Column) -> Column:
-    x = F.get(w, i)
-    return F.lower(F.regexp_replace(x, f"{MASK}++", "#"))
+def _indexes() -> Column:
+    return F.when(F.size("c") > 0, F.sequence(F.lit(0), F.size("c") - 1)).otherwise(F.array().cast("array<int>"))
 
 
-def patterns_at(w: Column, i: Column) -> Column:
-    """{head, pattern} of word i: head is the label or the word before, which all patterns of a place share."""
-    label = F.lower(F.regexp_extract(F.get(w, i), LABEL, 0))
-    one, two, after = _context(w, i - 1), _context(w, i - 2), _context(w, i + 1)
-    named = lambda *x: F.struct(F.coalesce(one, label).alias("head"), F.concat(*x).alias("pattern"))
-    around = F.array(named(F.lit("1 "), one), named(F.lit("2 "), two, F.lit(" "), one), named(F.lit("3 "), one, F.lit(" _ "), after))
-    own = F.array(F.struct(label.alias("head"), F.concat(F.lit("= "), label).alias("pattern")))
-    return F.filter(F.when(label != "", own).otherwise(around), lambda x: x["pattern"].isNotNull())
+def _label(i: Column) -> Column:
+    x = F.get("c", i)
+    return F.when(x.contains("=") | x.contains(":"), F.regexp_extract(x, LABEL, 0)).otherwise("")
+
+
+def patterns_at(i: Column) -> Column:
+    """The patterns of word i of a segment, as texts: its label, or what stands around it."""
+    one, label = F.get("c", i - 1), _label(i)
+    around = F.array(F.concat(F.lit("1 "), one), F.concat(F.lit("2 "), F.get("c", i - 2), F.lit(" "), one), F.concat(F.lit("3 "), one, F.lit(" _ "), F.get("c", i + 1)))
+    return F.when(label != "", F.array(F.concat(F.lit("= "), label))).otherwise(around)
 
 
 def _value(word: Column) -> Column:
@@ -199,51 +201,57 @@ def _kind(word: Column) -> Column:
     return F.coalesce(*[F.when(word.contains(f), F.lit(k)) for k, f in FILL.items()])
 
 
-def _places(parts: DataFrame, which) -> DataFrame:
-    """A row for each word that `which` says: __row, seg, i, kind (of seeds), value and its patterns."""
-    w = F.col("w")
-    all_ = F.when(F.size(w) > 0, F.sequence(F.lit(0), F.size(w) - 1)).otherwise(F.array().cast("array<int>"))
-    at = F.filter(all_, lambda i: which(F.get(w, i)))
+def _plain(word: Column) -> Column:
+    return ~word.rlike(MASK) & word.rlike(r"[\p{L}\p{N}]")
 
-    def one(i: Column) -> Column:
-        x = F.get(w, i)
-        value = F.when(_kind(x).isNotNull(), F.regexp_extract(x, f"[{CODES}]+", 0)).otherwise(_value(x))
-        return F.struct(i.alias("i"), _kind(x).alias("kind"), value.alias("value"), patterns_at(w, i).alias("ps"))
 
-    rows = parts.select("__row", "seg", F.explode(F.transform(at, one)).alias("x")).select("__row", "seg", "x.*")
-    return rows.select("__row", "seg", "i", "kind", "value", F.explode("ps").alias("p")).select("__row", "seg", "i", "kind", "value", "p.*")
+def _looked_up(parts: DataFrame, places: DataFrame, **more) -> DataFrame:
+    """Places (__row, seg, i, ...) with columns made from their index; only segments that hold a place are read on."""
+    own = [c for c in places.columns if c not in ("__row", "seg")]
+    lists = places.groupBy("__row", "seg").agg(F.collect_set(F.struct(*own)).alias("__xs"))
+    both = parts.join(lists, ["__row", "seg"])
+    one = lambda x: F.struct(*[x[c].alias(c) for c in own], *[f(x["i"]).alias(c) for c, f in more.items()])
+    return both.select("__row", "seg", F.explode(F.transform("__xs", one)).alias("__x")).select("__row", "seg", "__x.*")
 
 
 def extract(seen: DataFrame) -> DataFrame:
     """Of rows with __row and __m: __row and `added`, the spans that patterns add, as far as there are any."""
     spark = seen.sparkSession
     work, parts = Scratch(spark, "contexts"), segments(seen)
-    seeds = _places(parts, lambda x: x.rlike(MASK)).groupBy("pattern", "kind").agg(F.count("*").alias("mass"), F.countDistinct("value").alias("support"))
+    head = lambda i: F.when(_label(i) != "", _label(i)).otherwise(F.get("c", i - 1))
+    at = F.filter(_indexes(), lambda i: F.get("c", i).contains("#") & F.get("w", i).rlike(MASK))
+    one = lambda i: F.struct(_kind(F.get("w", i)).alias("kind"), F.regexp_extract(F.get("w", i), f"[{CODES}]+", 0).alias("value"), patterns_at(i).alias("ps"))
+    found = parts.where(F.col("part").rlike(MASK)).select(F.explode(F.transform(at, one)).alias("x")).select("x.kind", "x.value", F.explode("x.ps").alias("pattern"))
+    seeds = found.where("pattern is not null").groupBy("pattern", "kind").agg(F.count("*").cast("double").alias("mass"), F.countDistinct("value").alias("support"))
     seeds = work.save(seeds)
-    plain = lambda x: ~x.rlike(MASK) & x.rlike(r"[\p{L}\p{N}]")
-    known, values, accepted = work.save(spark.range(0).select(F.lit("").alias("pattern"), F.col("id").alias("n"))), None, None
+    known, values, accepted = spark.range(0).select(F.lit("").alias("pattern"), F.col("id").alias("n")), None, None
     for k in range(ROUNDS):
-        mass = seeds.select("pattern", "kind", F.col("mass").cast("double").alias("mass"), "support")
+        mass = seeds
         if values is not None:
-            edges = _places(parts, plain).drop("kind").join(values, "value").groupBy("pattern", "kind")
-            mass = mass.unionByName(edges.agg(F.sum("score").alias("mass"), F.countDistinct("value").alias("support")))
+            candidates = F.transform(F.filter(_indexes(), lambda i: _plain(F.get("w", i))), lambda i: F.struct(i.alias("i"), _value(F.get("w", i)).alias("value")))
+            places = parts.select("__row", "seg", F.explode(candidates).alias("x")).select("__row", "seg", "x.*").join(values, "value")
+            edges = _looked_up(parts, places, ps=patterns_at).select("value", "kind", "score", F.explode("ps").alias("pattern")).where("pattern is not null")
+            mass = mass.unionByName(edges.groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.countDistinct("value").alias("support")))
         mass = mass.groupBy("pattern", "kind").agg(F.sum("mass").alias("mass"), F.sum("support").alias("support"))
         mass = work.save(mass.where(F.col("support") >= SUPPORT))
         # how often patterns with support stand around anything; each is counted once
         new = work.save(mass.select("pattern").distinct().join(known, "pattern", "left_anti"))
         if not new.isEmpty():
-            counts = _places(parts, lambda x: F.lit(True)).select("pattern").join(new, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("n"))
+            everywhere = parts.select(F.explode(F.flatten(F.transform(_indexes(), patterns_at))).alias("pattern"))
+            counts = everywhere.join(new, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("n"))
             known = work.save(known.unionByName(counts))
         sure = mass.join(known, "pattern").select("pattern", "kind", (F.col("mass") / (F.col("n") + 1)).alias("confidence")).where(F.col("confidence") >= CONFIDENT)
         sure = work.save(sure)
         if sure.isEmpty():
             break
-        hits = _places(parts, plain).drop("kind").join(sure, "pattern")
-        hits = work.save(hits.groupBy("__row", "seg", "i", "value", "head", "kind").agg(F.max("confidence").alias("confidence")))
+        around = F.transform(F.filter(_indexes(), lambda i: _plain(F.get("w", i))), lambda i: F.struct(i.alias("i"), patterns_at(i).alias("ps")))
+        hits = parts.select("__row", "seg", F.explode(around).alias("x")).select("__row", "seg", "x.i", F.explode("x.ps").alias("pattern")).join(sure, "pattern")
+        hits = hits.groupBy("__row", "seg", "i", "kind").agg(F.max("confidence").alias("confidence"))
+        hits = work.save(_looked_up(parts, hits, value=lambda i: _value(F.get("w", i)), head=head).where("value <> ''"))
         doubt = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9))))
         scores = hits.groupBy("value", "kind", "head").agg(F.max("confidence").alias("confidence")).groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score"))
         enough = F.when(F.col("value").rlike(MARK), CONFIDENT).otherwise(PLAIN)
-        scores = work.save(scores.where((F.col("value") != "") & (F.col("score") >= enough)))
+        scores = work.save(scores.where(F.col("score") >= enough))
         accepted = (hits, scores)
         if scores.isEmpty() or k == ROUNDS - 1:
             break
