@@ -240,15 +240,18 @@ register([".csv", ".tsv"], csv)
 def chunk_text(df: DataFrame, text: str = "text", path: str = "path", size: int = 512, overlap: int = 50) -> DataFrame:
     """df's rows by chunk: chunk_index, chunk_text and token_count replace the text. The suffix picks the chunker; what finds nothing gets fixed windows."""
     _check(size, overlap)
-    kind, own = suffix(path), F.col(text)
-    picked = F.array().cast("array<string>")
+    out, own = df.where(strip(text) != "").withColumn("__kind", suffix(path)), F.col(text)
     by: dict[Callable, list[str]] = {}
     for s, c in CHUNKERS.items():
         by.setdefault(c, []).append(s)
-    for chunker, suffixes in by.items():
-        picked = F.when(kind.isin(suffixes), chunker(own, size, overlap)).otherwise(picked)
-    out = df.where(strip(text) != "").withColumn("__picked", picked)
+    # a column for each chunker, which is given null for rows of other types: Python parsers run before any CASE is decided
+    picked = F.lit(None).cast("array<string>")
+    for k, (chunker, suffixes) in enumerate(by.items()):
+        out = out.withColumn(f"__c{k}", chunker(F.when(F.col("__kind").isin(suffixes), own), size, overlap))
+        picked = F.when(F.col("__kind").isin(suffixes), F.col(f"__c{k}")).otherwise(picked)
+    out = out.withColumn("__picked", picked)
     out = out.withColumn("__chunks", F.when(F.size("__picked") > 0, F.col("__picked")).otherwise(fixed(own, size, overlap)))
     rest = [c for c in df.columns if c != text]
-    out = out.select(*rest, F.posexplode("__chunks").alias("chunk_index", "chunk_text"))
+    # outer, since a filter on the array's size would make every chunker run twice
+    out = out.select(*rest, F.posexplode_outer("__chunks").alias("chunk_index", "chunk_text")).where("chunk_text is not null")
     return out.withColumn("token_count", token_count("chunk_text"))

@@ -180,3 +180,12 @@ def signature(code: Column | str, language: Column) -> Column:
     first = F.get(lines, F.lit(0))
     plain = F.get(F.filter(lines, lambda x: ~x.startswith("@")), F.lit(0))
     return F.when((language == "python") & first.startswith("@"), F.coalesce(plain, first)).otherwise(first)
+
+
+#: How many characters of a text alerts and reports keep, by what it is.
+KEPT = {"message": 200, "line": 500, "output": 1000, "log": 2000, "backtrace": 3000}
+
+
+def truncated(text: Column | str, what: str = "message") -> Column:
+    """The first characters of a text, as many as its kind may have."""
+    return F.left(_c(text), F.lit(KEPT[what]))

@@ -1,14 +1,18 @@
 """Detectors over ordered rows: rates, baselines, spikes, trends, runs, set changes, limiters.
 
-Each works within a key (`by`) and orders by time, then id, so results don't depend on the order of rows. Window frames
-bound what is held; folds (`ewma`, `restart_limiter`) gather the rows of one key and day bucket they are given, and have a
-streaming form in `tessella.streaming` for keys that grow without end.
+Each works within a key (`by`) and orders by time, then id, so results don't depend on the order of rows. Folds (`ewma`,
+`baselines`, `restart_limiter`) go through rows that Spark has sorted by key and order (sorts spill), batch by batch, and
+carry one small state a key, so a key may have any number of rows; a streaming form is in `tessella.streaming`.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 #: Ports that may listen without alert.
@@ -16,31 +20,44 @@ EXPECTED_PORTS = [22, 53, 80, 443, 631, 5353, 8080]
 ALPHA_RATE, ALPHA_RESOURCE = 0.1, 0.2
 
 
-def ewma_step(alpha: float, before: Column, value: Column) -> Column:
-    """A baseline after one more value; a baseline of 0 counts as unset."""
-    return F.when(before == 0, value).otherwise(F.lit(alpha) * value + F.lit(1 - alpha) * before)
+def _fold(df: DataFrame, by: list[str], order: list[str], item: str, step: Callable, start: Callable, kinds: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
+    """Rows (by, order, item, and what each step gives) with each key's rows in order; step(state, item) gives the next state and the new columns' values."""
+    source = df.select(*by, *order, item).repartition(*[F.col(c) for c in by]).sortWithinPartitions(*by, *order)
+    schema = T.StructType(list(source.schema))
+    for name, (kind, _) in kinds.items():
+        schema = schema.add(name, kind)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, start()
+        for batch in batches:
+            out: list[list] = [[] for _ in kinds]
+            keys = zip(*[batch.column(i).to_pylist() for i in range(len(by))], strict=True)
+            for k, x in zip(keys, batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+                if k != key:
+                    key, state = k, start()
+                state, made = step(state, x)
+                for column, v in zip(out, made, strict=True):
+                    column.append(v)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, (_, t) in zip(out, kinds.values(), strict=True))], names=schema.names)
 
-def ewma(df: DataFrame, value: str, alpha: float, by: list[str], order: list[str]) -> DataFrame:
-    """The last baseline of each key."""
-    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("__v")))).alias("__xs"), F.count("*").alias("n"))
-    return rows.select(*by, "n", F.aggregate("__xs", F.lit(0.0), lambda a, x: ewma_step(alpha, a, x["__v"])).alias("ewma"))
+    return source.mapInArrow(run, schema)
 
 
 def baselines(df: DataFrame, value: str, alpha: float, by: list[str], order: list[str]) -> DataFrame:
-    """Each row with the baseline before it (0 for the first) and after it."""
-    item = F.struct(*order, F.col(value).cast("double").alias("v"))
-    kind = "array<struct<" + ",".join(f"{o}:{dict(df.dtypes)[o]}" for o in order) + ",v:double,before:double,after:double>>"
-    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("__xs"))
-    start = F.struct(F.lit(0.0).alias("b"), F.array().cast(kind).alias("out"))
+    """Each row with the baseline before it (0 for the first) and after it; a baseline of 0 counts as unset, a null value leaves it as it is."""
+
+    def step(before: float, v: float | None) -> tuple:
+        after = before if v is None else v if before == 0 else alpha * v + (1 - alpha) * before
+        return after, (before, after)
 
-    def add(acc: Column, x: Column) -> Column:
-        after = ewma_step(alpha, acc["b"], x["v"])
-        one = F.struct(*[x[o].alias(o) for o in order], x["v"].alias("v"), acc["b"].alias("before"), after.alias("after"))
-        return F.struct(after.alias("b"), F.concat(acc["out"], F.array(one)).alias("out"))
+    two = {"before": ("double", pa.float64()), "after": ("double", pa.float64())}
+    return _fold(df.withColumn(value, F.col(value).cast("double")), by, order, value, step, float, two)
 
-    out = rows.select(*by, F.explode(F.aggregate("__xs", start, add, lambda a: a["out"])).alias("x"))
-    return out.select(*by, *[f"x.{o}" for o in order], F.col("x.v").alias(value), "x.before", "x.after")
+
+def ewma(df: DataFrame, value: str, alpha: float, by: list[str], order: list[str]) -> DataFrame:
+    """The last baseline of each key, and how many rows it has."""
+    each = baselines(df, value, alpha, by, order)
+    return each.groupBy(*by).agg(F.count("*").alias("n"), F.max_by("after", F.struct(*order)).alias("ewma"))
 
 
 def spikes(df: DataFrame, value: str, by: list[str], order: list[str], threshold: float, alpha: float = ALPHA_RATE) -> DataFrame:
@@ -50,15 +67,23 @@ def spikes(df: DataFrame, value: str, by: list[str], order: list[str], threshold
 
 
 def rate_per_minute(df: DataFrame, ts: str, by: list[str], seconds: int = 300, most: int = 1000) -> DataFrame:
-    """Each row with the rate over the window that ends with it: rows strictly newer than `seconds` ago, the newest `most` at most; 0 below two rows."""
-    at = F.unix_micros(F.col(ts).cast("timestamp"))
-    df = df.withColumn("__at", at)
-    near = W.partitionBy(*by).orderBy("__at").rangeBetween(-seconds * 1_000_000 + 1, 0)
-    newest = W.partitionBy(*by).orderBy("__at").rowsBetween(-(most - 1), 0)
-    df = df.withColumns({"__n": F.least(F.count("*").over(near), F.lit(most)), "__from": F.greatest(F.min("__at").over(near), F.min("__at").over(newest))})
+    """Each row with the rate over the window that ends with it: rows strictly newer than `seconds` ago, the newest `most` at most; 0 below two rows.
+
+    Each row also stands a second time where it leaves the window; sums that only grow then give each window's count, and the
+    next row to leave its oldest member, so the work doesn't depend on how many rows a window holds."""
+    span_us = seconds * 1_000_000
+    rows = df.withColumn("__at", F.unix_micros(F.col(ts).cast("timestamp")))
+    rows = rows.withColumn("__newest", F.lag("__at", most - 1).over(W.partitionBy(*by).orderBy("__at"))).withColumn("__come", F.lit(1))
+    gone = rows.select(*by, (F.col("__at") + span_us).alias("__at"), F.lit(-1).alias("__come"))
+    both = rows.unionByName(gone, allowMissingColumns=True)
+    so_far = W.partitionBy(*by).orderBy("__at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    later = W.partitionBy(*by).orderBy(F.desc("__at")).rangeBetween(W.unboundedPreceding, -1)
+    leaves = F.last(F.when(F.col("__come") < 0, F.col("__at") - span_us), ignorenulls=True)
+    both = both.withColumns({"__n": F.sum("__come").over(so_far), "__oldest": leaves.over(later)})
+    done = both.where("__come > 0").withColumns({"__n": F.least("__n", F.lit(most)), "__from": F.greatest("__oldest", "__newest")})
     span = (F.col("__at") - F.col("__from")) / F.lit(60e6)
     rate = F.when((F.col("__n") < 2) | (span == 0), F.lit(0.0)).otherwise(F.col("__n") / span)
-    return df.withColumn("rate", rate).drop("__at", "__n", "__from")
+    return done.withColumn("rate", rate).select(*df.columns, "rate")
 
 
 def new_members(df: DataFrame, members: str, by: list[str], order: str, expected: list) -> DataFrame:
@@ -94,19 +119,15 @@ def sustained(df: DataFrame, value: str, ts: str, by: list[str], order: list[str
 
 def restart_limiter(df: DataFrame, ts: str, by: list[str], id_: str, most: int = 5, seconds: float = 60) -> DataFrame:
     """Each attempt with `allowed`: whether fewer than `most` allowed ones lie within `seconds` before it. Attempts that were denied don't count."""
-    at = F.unix_micros(F.col(ts).cast("timestamp")).alias("at")
-    rows = df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(at, F.col(id_).alias("id")))).alias("xs"))
-    kind = f"array<struct<at:bigint,id:{dict(df.dtypes)[id_]},allowed:boolean>>"
-    start = F.struct(F.array().cast("array<bigint>").alias("held"), F.array().cast(kind).alias("out"))
+    period = int(seconds * 1_000_000)
 
-    def add(acc: Column, x: Column) -> Column:
-        held = F.filter(acc["held"], lambda t: x["at"] - t <= int(seconds * 1_000_000))
-        ok = F.size(held) < most
-        one = F.struct(x["at"].alias("at"), x["id"].alias("id"), ok.alias("allowed"))
-        return F.struct(F.when(ok, F.concat(held, F.array(x["at"]))).otherwise(held).alias("held"), F.concat(acc["out"], F.array(one)).alias("out"))
+    def step(held: list[int], at: int) -> tuple:
+        held = [t for t in held if at - t <= period]
+        ok = len(held) < most
+        return [*held, at] if ok else held, (ok,)
 
-    out = rows.select(*by, F.explode(F.aggregate("xs", start, add, lambda a: a["out"])).alias("x"))
-    return out.select(*by, F.col("x.id").alias(id_), F.col("x.allowed").alias("allowed"))
+    rows = df.select(*by, F.unix_micros(F.col(ts).cast("timestamp")).alias("__at"), id_).withColumn("__time", F.col("__at"))
+    return _fold(rows, by, ["__at", id_], "__time", step, list, {"allowed": ("boolean", pa.bool_())}).select(*by, id_, "allowed")
 
 
 def last_unseen(df: DataFrame, seen: DataFrame, id_: str, n: int, *order: Column) -> DataFrame:
@@ -139,8 +160,8 @@ def service_action(state: Column) -> Column:
 
 def after(df: DataFrame, failed: str, name: str = "name", order: str = "start_order") -> DataFrame:
     """The failed one and those started after it, with the order to stop them in (last first) and to start them in."""
-    at = df.where(F.col(name) == failed).select(F.col(order).alias("__from"))
-    # one row
+    at = df.where(F.col(name) == failed).agg(F.min(order).alias("__from"))
+    # one row, made by an aggregation; without the failed one no place is after it
     rest = df.crossJoin(F.broadcast(at)).where(F.col(order) >= F.col("__from")).drop("__from")
     return rest.withColumns({"stop_place": F.row_number().over(W.orderBy(F.desc(order))), "start_place": F.row_number().over(W.orderBy(order))})
 

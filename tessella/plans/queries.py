@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import chunk, embed, ignore, scalar
 from tessella.operators import capacity, detect, filters, index, search, stats
+from tessella.sources import system
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -294,7 +295,16 @@ def chunk_csv(t):
     return _exploded(t("documents"), chunk.csv(F.col("text"), 200))
 
 
-@query()
+HEADING_SQL = "(?m)^(#{1,6})\\s+(.+)$"
+
+
+@query(
+    "WITH m AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 5 = 0 THEN '# ' || x ELSE x END), chr(10)) t FROM documents), "
+    f"s AS (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(t, '{HEADING_SQL}', chr(57344) || '\\0', 'g'), chr(57344)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') s FROM m), "
+    "u AS (SELECT doc_id, unnest(s) x, generate_subscripts(s, 1) k FROM s), w AS (SELECT *, regexp_extract_all(x, '\\S+') w, regexp_extract(x, '^(#{1,6}\\s+[^\\n]+)', 1) h FROM u), "
+    "c AS (SELECT *, unnest(range(0, CASE WHEN len(w) <= 60 THEN 1 ELSE ceil((len(w) - 60) / 50.0)::BIGINT * 50 + 1 END, 50)) b FROM w) "
+    "SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k, b) - 1)::INTEGER AS chunk_index, md5(CASE WHEN len(w) <= 60 THEN x ELSE CASE WHEN b > 0 AND h <> '' THEN h || chr(10) ELSE '' END || array_to_string(w[b + 1 : b + 60], ' ') END) AS chunk_md5 FROM c"
+)
 def chunk_markdown(t):
     lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("# "), x)).otherwise(x))
     return _exploded(t("documents"), chunk.markdown(F.array_join(lines, "\n"), 60, 10))
@@ -305,6 +315,99 @@ def json_flatten(t):
     return _exploded(t("events").select(F.col("event_id").alias("doc_id"), "props"), chunk.json_chunks(F.col("props")))
 
 
+LINE_SQL = "unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) i"
+
+
+@query("WITH l AS (SELECT event_id AS doc_id, 'a: ' || user_id AS a, 'b[0]: ' || event_type AS b, 'c.d: ' || (props->>'k') AS c FROM events) SELECT doc_id, 0 AS chunk_index, md5('kind: ' || 'event' || chr(10) || a || chr(10) || b || chr(10) || c) AS chunk_md5 FROM l")
+def chunk_json_nested(t):
+    """Nested objects and lists as lines."""
+    nested = F.to_json(F.struct(F.lit("event").alias("kind"), F.col("user_id").alias("a"), F.array("event_type").alias("b"), F.struct(F.get_json_object("props", "$.k").alias("d")).alias("c")))
+    return _exploded(t("events").select(F.col("event_id").alias("doc_id"), nested.alias("j")), chunk.json_chunks(F.col("j")))
+
+
+@query("SELECT event_id AS doc_id, 0 AS chunk_index, md5('- ' || event_type || ':' || chr(10) || '[' || user_id || chr(10) || 'tail') AS chunk_md5 FROM events")
+def chunk_yaml(t):
+    """Text that no YAML reader takes: sections by what starts a line."""
+    text = F.concat(F.lit("- "), F.col("event_type"), F.lit(":\n["), F.col("user_id"), F.lit("\ntail"))
+    return _exploded(t("events").select(F.col("event_id").alias("doc_id"), text.alias("y")), chunk.yaml_chunks(F.col("y")))
+
+
+@query(
+    "WITH p AS (SELECT conv_id, turn, regexp_replace(text, '^\\s+|\\s+$', '', 'g') x FROM conversations WHERE regexp_matches(text, '\\S')), w AS (SELECT *, regexp_extract_all(x, '\\S+') w, count(*) OVER (PARTITION BY conv_id) pages FROM p), "
+    "c AS (SELECT *, unnest(range(0, CASE WHEN len(w) <= 40 THEN 1 ELSE ceil((len(w) - 40) / 30.0)::BIGINT * 30 + 1 END, 30)) b FROM w) "
+    "SELECT conv_id AS doc_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, b) - 1)::INTEGER AS chunk_index, md5(CASE WHEN len(w) <= 40 THEN x ELSE array_to_string(w[b + 1 : b + 40], ' ') END) AS chunk_md5 FROM c"
+)
+def chunk_document(t):
+    """The turns of a conversation as the pages of a document."""
+    turns = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"])
+    docs = t("conversations").groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_join(turns, "\f").alias("text"))
+    return _exploded(docs, chunk.document(F.col("text"), 40, 10))
+
+
+@query(
+    "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'def f' || doc_id || '():' ELSE '@cached' END AS signature FROM documents"
+)
+def code_signature(t):
+    code = F.concat(F.lit("\n  @cached\n  def f"), F.col("doc_id").cast("string"), F.lit("():\n    return 1\n"))
+    return t("documents").select("doc_id", scalar.signature(code, F.expr("CASE WHEN doc_id % 2 = 0 THEN 'python' ELSE 'rust' END")).alias("signature"))
+
+
+@query("SELECT doc_id, md5(substr(text, 1, 200)) AS message, md5(substr(text, 1, 500)) AS line, md5(substr(text, 1, 1000)) AS output, md5(substr(text, 1, 2000)) AS log, md5(substr(text, 1, 3000)) AS backtrace FROM documents")
+def truncations(t):
+    return t("documents").select("doc_id", *[F.md5(scalar.truncated("text", k)).alias(k) for k in scalar.KEPT])
+
+
+@query("SELECT conv_id, turn FROM conversations WHERE regexp_matches(CASE WHEN turn % 3 = 0 THEN ' ' || chr(10) || ' ' ELSE text END, '\\S')")
+def blank_texts(t):
+    own = F.when(F.col("turn") % 3 == 0, F.lit(" \n ")).otherwise(F.col("text"))
+    return t("conversations").withColumn("own", own).where(filters.not_blank(F.col("own"))).select("conv_id", "turn")
+
+
+@query("SELECT doc_id, NOT (source IN ('node_modules', '.git') OR doc_id % 6 IN (1, 4) OR source = 'src3') AS entered FROM documents")
+def dirs_entered(t):
+    """Directories that a walk goes into: ignored names and patterns prune it."""
+    name = F.expr("CASE doc_id % 6 WHEN 1 THEN 'node_modules' WHEN 4 THEN '__pycache__' WHEN 2 THEN '.config' ELSE 'docs' END")
+    return t("documents").select("doc_id", filters.dir_allowed(F.concat_ws("/", "source", name), ["src3/"]).alias("entered"))
+
+
+@query(
+    "SELECT event_id, CASE event_id % 11 WHEN 1 THEN 'oom' WHEN 2 THEN 'oom' WHEN 3 THEN 'segfault' WHEN 4 THEN 'kernel_panic' WHEN 5 THEN 'connection_refused' WHEN 6 THEN 'permission_denied' WHEN 7 THEN 'service_failed' WHEN 8 THEN 'disk_full' WHEN 9 THEN 'disk_full' END AS label FROM events"
+)
+def critical_defaults(t):
+    """The nine messages that are critical by themselves, in any case, within other text."""
+    said = F.get(F.array(*[F.lit(x) for x in ["all is well", *[m.upper() if k % 2 else m for k, (m, _) in enumerate(filters.CRITICAL)], "disk is fine"]]), F.expr("cast(event_id % 11 as int)"))
+    return t("events").select("event_id", filters.critical_label(F.concat(F.col("event_type"), F.lit(": "), said, F.lit(" at "), F.col("user_id"))).alias("label"))
+
+
+@query("SELECT CASE WHEN event_id % 4 = 0 THEN 'unknown' ELSE event_type || '.service' END AS unit, CASE WHEN event_id % 5 = 0 THEN '' ELSE 'value ' || user_id END AS message, CASE WHEN event_id % 3 = 0 THEN 6 ELSE (event_id % 8)::INTEGER END AS priority, event_id::VARCHAR AS timestamp FROM events WHERE event_id % 7 > 0")
+def journal_entries(t):
+    """Journal lines, some without a unit, message or priority; lines that aren't JSON give defaults and are left out here."""
+    fields = {
+        "_SYSTEMD_UNIT": F.expr("CASE WHEN event_id % 4 > 0 THEN concat(event_type, '.service') END"),
+        "MESSAGE": F.expr("CASE WHEN event_id % 5 > 0 THEN concat('value ', user_id) END"),
+        "PRIORITY": F.expr("CASE event_id % 3 WHEN 0 THEN CASE WHEN event_id % 2 = 0 THEN 'high' END ELSE cast(event_id % 8 as string) END"),
+        "__REALTIME_TIMESTAMP": F.col("event_id").cast("string"),
+    }
+    lines = t("events").select(F.when(F.col("event_id") % 7 > 0, F.to_json(F.struct(*[v.alias(k) for k, v in fields.items()]))).otherwise("-- reboot --").alias("value"))
+    return system.journal(lines).where("timestamp <> ''")
+
+
+@query("SELECT (user_id % 65536)::INTEGER AS local_port, (event_id % 65536)::INTEGER AS remote_port, CASE event_id % 3 WHEN 0 THEN 'ESTABLISHED' WHEN 1 THEN 'LISTEN' ELSE 'UNKNOWN' END AS state FROM events WHERE event_id % 5 > 0")
+def socket_table(t):
+    """Lines of the kernel's socket table, with a header and short lines between."""
+    port = lambda x: F.concat(F.lit("0100007F:"), F.lpad(F.hex(F.expr(f"{x} % 65536")), 4, "0"))
+    line = F.concat_ws(" ", F.lit("  0:"), port("user_id"), port("event_id"), F.expr("CASE event_id % 3 WHEN 0 THEN '01' WHEN 1 THEN '0A' ELSE 'FF' END"), F.lit("00000000:00000000 00:00000000"))
+    header = F.expr("CASE WHEN event_id % 2 = 0 THEN 'sl local_address rem_address st' ELSE 'x 1' END")
+    return system.sockets(t("events").select(F.when(F.col("event_id") % 5 > 0, line).otherwise(header).alias("value")))
+
+
+@query("SELECT user_id AS pid, CASE event_id % 3 WHEN 0 THEN event_type WHEN 1 THEN 'c' || event_id ELSE 'unknown' END AS exe, CASE WHEN event_id % 2 = 0 THEN '11' ELSE 'unknown' END AS signal, event_id::VARCHAR AS timestamp FROM events")
+def core_dump_rows(t):
+    """JSON arrays of dumps; names and signals fall back."""
+    one = F.struct(F.col("user_id").alias("pid"), F.expr("CASE WHEN event_id % 3 = 0 THEN event_type END").alias("exe"), F.expr("CASE WHEN event_id % 3 < 2 THEN concat('c', event_id) END").alias("comm"), F.expr("CASE WHEN event_id % 2 = 0 THEN '11' END").alias("sig"), F.col("event_id").cast("string").alias("timestamp"))
+    return system.core_dumps(t("events").select(F.to_json(F.array(one)).alias("value")))
+
+
 @query()
 def chunk_by_type(t):
     docs = t("documents").select("doc_id", F.expr(PATH_SQL).alias("path"), "text")
@@ -520,6 +623,15 @@ def rate_per_min(t):
     return detect.rate_per_minute(t("events"), "ts", ["event_type"], seconds=86400, most=100000).select("event_id", "event_type", F.round("rate", 9).alias("rate"))
 
 
+@query(
+    "WITH a AS (SELECT event_id, user_id, epoch_us(ts) us FROM events), n AS (SELECT *, count(*) OVER w c, min(us) OVER w f, min(us) OVER (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW) g FROM a WINDOW w AS (PARTITION BY user_id ORDER BY us RANGE BETWEEN 431999999999 PRECEDING AND CURRENT ROW)) "
+    "SELECT event_id, round(CASE WHEN least(c, 10) < 2 OR us = greatest(f, g) THEN 0.0 ELSE least(c, 10) / ((us - greatest(f, g)) / 60e6) END, 9) AS rate FROM n"
+)
+def rate_of_newest(t):
+    """The rule of the newest rows: ten here, which windows of five days exceed."""
+    return detect.rate_per_minute(t("events"), "ts", ["user_id"], seconds=5 * 86400, most=10).select("event_id", F.round("rate", 9).alias("rate"))
+
+
 def _daily(t) -> DataFrame:
     return t("events").groupBy("event_type", F.to_date("ts").alias("day")).agg(F.count("*").cast("double").alias("n"))
 
@@ -567,7 +679,11 @@ def sustained_high(t):
     return detect.sustained(t("events"), "value", "ts", ["user_id"], ["ts", "event_id"], 150, 3600).select("event_id", "user_id", "sustained_sec")
 
 
-@query()
+@query(
+    f"WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) i FROM events WHERE event_type = 'error'), "
+    "r AS (SELECT user_id, event_id, i, [us] held, TRUE allowed FROM e WHERE i = 1 UNION ALL SELECT user_id, event_id, i, CASE WHEN len(h) < 2 THEN list_append(h, us) ELSE h END, len(h) < 2 FROM "
+    f"(SELECT e.*, list_filter(r.held, lambda t: e.us - t <= {86400 * 5 * 10**6}) h FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1)) SELECT user_id, event_id, allowed FROM r"
+)
 def restart_limiter(t):
     return detect.restart_limiter(t("events").where("event_type = 'error'"), "ts", ["user_id"], "event_id", most=2, seconds=86400 * 5)
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessella.operators.index import swap_snapshot, upsert
+from tessella.operators.index import read_snapshot, swap_snapshot, upsert
 
 
 def debounce(events: DataFrame, ts: str = "ts", path: str = "path", kind: str = "kind", quiet: str = "1500 milliseconds", late: str = "10 seconds") -> DataFrame:
@@ -65,14 +65,15 @@ def restart_limiter(attempts: DataFrame, by: str, ts_us: str, id_: str, most: in
     return attempts.groupBy(by).applyInPandasWithState(step, f"{by} {kinds[by]}, {id_} {kinds[id_]}, allowed boolean", "held array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
-def keep_index(new_rows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None):
-    """A query that replaces, batch by batch, the rows of the paths that came."""
+def keep_index(new_rows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, version: str | None = None):
+    """A query that replaces, batch by batch, the rows of the paths that came. With `version`, a column that tells versions of a path apart, only the rows of the greatest one in a batch count."""
 
     def write(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
-        jvm = spark._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
-        swap_snapshot(spark, upsert(spark.read.parquet(path), batch) if there else batch, path)
+        if version:
+            last = batch.groupBy("path").agg(F.max(version).alias("__last"))
+            batch = batch.join(last, "path").where(F.col(version).eqNullSafe(F.col("__last"))).select(*batch.columns)
+        before = read_snapshot(spark, path)
+        swap_snapshot(spark, batch if before is None else upsert(before, batch), path)
 
     return new_rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -121,3 +121,36 @@ def test_capacity(spark):
 def test_join_tokens_stops_at_done(spark):
     df = spark.createDataFrame([("s", 1, "Hello", False), ("s", 2, " from", False), ("s", 3, "x", True), ("s", 4, "y", False)], "s string, i int, token string, done boolean")
     assert stats.join_tokens(df, ["s"], "i", done=F.col("done")).first().text == "Hello from"
+
+
+def test_a_swap_that_died_loses_nothing(spark, tmp_path):
+    """Between the renames, after them, and while the new snapshot was written."""
+    import shutil
+
+    at, rows = f"{tmp_path}/index", lambda v: spark.createDataFrame([("a", v), ("b", v)], "path string, v int")
+    values = lambda: {r.v for r in index.read_snapshot(spark, at).collect()}
+    assert index.read_snapshot(spark, at) is None
+    index.swap_snapshot(spark, rows(1), at)
+    rows(2).write.parquet(f"{at}.new")
+    shutil.move(at, f"{at}.old")  # died with the old one away and the new one not in place
+    assert values() == {2}
+    index.swap_snapshot(spark, rows(3), at)
+    assert values() == {3}
+    rows(4).write.parquet(f"{at}.new")
+    (tmp_path / "index.new" / "_SUCCESS").unlink()  # died while writing
+    assert values() == {3}
+    shutil.move(at, f"{at}.old")
+    assert values() == {3}
+    index.swap_snapshot(spark, index.upsert(index.read_snapshot(spark, at), spark.createDataFrame([("b", 9)], "path string, v int")), at)
+    assert values() == {3, 9}
+
+
+def test_folds_go_through_keys_of_any_size(spark):
+    """One key with most rows, nulls among values; the same as a loop."""
+    rows = [("hot", i, float(i * 7919 % 101) if i % 50 else None) for i in range(25_000)] + [(None, 1, 5.0), ("x", 2, 1.0)]
+    df = spark.createDataFrame(rows, "k string, ts long, v double")
+    base = 0.0
+    for _, _, v in rows[:25_000]:
+        base = base if v is None else v if base == 0 else 0.1 * v + 0.9 * base
+    got = {r.k: (r.n, r.ewma) for r in detect.ewma(df, "v", 0.1, ["k"], ["ts"]).collect()}
+    assert got["hot"] == (25_000, base) and got[None] == (1, 5.0) and got["x"] == (1, 1.0)
