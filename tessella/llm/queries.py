@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.bpe import op9_bpe
 from tessella.llm.langid import op8_language
+from tessella.llm.merkle import op11_merkle, op11_sql
 from tessella.llm.mixing import op2_mixing, op2_sql
 from tessella.llm.pii import op4_pii
 from tessella.llm.png import op7_png
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_language": op8_language,
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
+    "op11_merkle": op11_merkle,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_sharding": op1_sql(), "op2_mixing": op2_sql(), "op3_substrings": op3_sql()}
+ORACLE_SQL: dict[str, str] = {"op1_sharding": op1_sql(), "op2_mixing": op2_sql(), "op3_substrings": op3_sql(), "op11_merkle": op11_sql()}
