@@ -12,6 +12,7 @@ from tessella.llm.merkle import op11_merkle, op11_sql
 from tessella.llm.mixing import op2_mixing, op2_sql
 from tessella.llm.pii import op4_pii
 from tessella.llm.png import op7_png
+from tessella.llm.setsketch import op12_minhash
 from tessella.llm.sharding import op1_sharding, op1_sql
 from tessella.llm.simhash import op5_simhash
 from tessella.llm.substrings import op3_sql, op3_substrings
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_toxicity": op10_toxicity,
     "op11_merkle": op11_merkle,
+    "op12_minhash": op12_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {"op1_sharding": op1_sql(), "op2_mixing": op2_sql(), "op3_substrings": op3_sql(), "op11_merkle": op11_sql()}
