@@ -10,6 +10,7 @@ from tessella.llm.bpe import op9_bpe
 from tessella.llm.langid import op8_language
 from tessella.llm.merkle import op11_merkle, op11_sql
 from tessella.llm.mixing import op2_mixing, op2_sql
+from tessella.llm.phrases import op13_collocations, op13_sql
 from tessella.llm.pii import op4_pii
 from tessella.llm.png import op7_png
 from tessella.llm.setsketch import op12_minhash
@@ -32,6 +33,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
     "op11_merkle": op11_merkle,
     "op12_minhash": op12_minhash,
+    "op13_collocations": op13_collocations,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_sharding": op1_sql(), "op2_mixing": op2_sql(), "op3_substrings": op3_sql(), "op11_merkle": op11_sql()}
+ORACLE_SQL: dict[str, str] = {
+    "op1_sharding": op1_sql(),
+    "op2_mixing": op2_sql(),
+    "op3_substrings": op3_sql(),
+    "op11_merkle": op11_sql(),
+    "op13_collocations": op13_sql(),
+}

@@ -21,4 +21,4 @@ def test_same_as_sql(name, spark, small):
 
 
 def test_names():
-    assert [sum(n.startswith(f"op{k}_") for n in QUERIES) for k in range(1, 11)] == [1] * 10
+    assert [sum(n.startswith(f"op{k}_") for n in QUERIES) for k in range(1, 14)] == [1] * 13
