@@ -6,12 +6,14 @@ spaced scale, truncated to 16 bits. Registers of a union are the maxima of regis
 with a probability of about the Jaccard index, so they are locality-sensitive.
 
 Bands of four registers each are posted. Sets with an index of 0.8 or more share none of the `BANDS` bands with a probability of
-(1 - 0.8 ** 4) ** 48 = 1e-11 at most. Candidates of a band's bucket first meet its least member only, a pair a member; buckets whose
-members are then linked with one another, over whatever way, are done, and only what is in different linked sets of a bucket is
-paired on. So copies by the thousand cost a pair each, no pair of different linked sets goes untried, and nothing is
-capped. Pairs are dropped if sizes alone rule them out, or if the registers' joint likelihood (how many are greater,
-less and equal, given both sizes) is lower by `DOUBT` at the threshold than at its best, which a pair at the threshold meets
-with a probability of about 1e-11; all others are confirmed on their whole sets.
+(1 - 0.8 ** 4) ** 48 = 1e-11 at most. In two rounds the members of a band's bucket meet one of them only, that which shares buckets with
+most others, a pair a member. Pairs are dropped if sizes alone rule them out, or if the registers' joint likelihood (how many are
+greater, less and equal, given both sizes) is lower by `DOUBT` at the threshold than at its best, which a pair at the threshold
+meets with a probability of about 1e-11; all others are confirmed on their whole sets. Buckets whose members are then linked
+with one another, over whatever way, are done. Of each other one, all members outside of its largest linked set are queries against
+the members of other linked sets: both are dealt into cells of bounded size, whole sets are compared within a cell, and a cell
+gives one link at most for each linked set that it joins. So no pair that is not linked already goes untried, nothing is capped, and
+what is written grows with the members, not with their pairs.
 
 Defined results: ASCII letters count without case; with fewer words than a shingle has, the whole sequence is the shingle; a null or
 empty text, and one without words, has an empty set and is linked with nothing, not even with another one; repeated shingles
@@ -29,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, row_key, table, text_or_empty
+from tessella.llm.common import Scratch, partitions, row_key, table, text_or_empty
 from tessella.llm.simhash import LOWER, components
 
 #: Words of a shingle, and the least Jaccard index of a link in percent.
@@ -39,6 +41,8 @@ BANDS, ROWS = 48, 4
 REGISTERS = BANDS * ROWS
 #: The scale: base, rate, greatest register.
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
+#: Shingles that the queries and the members of a cell have, about.
+CELL = 1 << 19
 #: Nats by which the likelihood at the threshold may fall short of the best.
 DOUBT = 25.0
 
@@ -118,6 +122,33 @@ def alike(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def cell_links(queries: list[tuple], members: list[tuple], percent: int = PERCENT) -> list[tuple[int, int]]:
+    """Links (query, member) between (id, root, set) of different roots, one at most for each two linked sets that they join."""
+    roots = np.unique([r for _, r, _ in [*queries, *members]])
+    name = np.arange(len(roots))
+    of_query, of_member = (np.searchsorted(roots, [r for _, r, _ in x]) for x in (queries, members))
+    size = np.array([len(s) for _, _, s in members])
+    owner = np.repeat(np.arange(len(members)), size)
+    values = np.concatenate([s for _, _, s in members])
+    order = np.argsort(values, kind="stable")
+    values, owner = values[order], owner[order]
+    out = []
+    for (i, _, own), r in zip(queries, of_query, strict=True):
+        if (name[of_member] == name[r]).all():
+            continue
+        # the postings of the query's shingles
+        lo, hi = np.searchsorted(values, own), np.searchsorted(values, own, side="right")
+        count = hi - lo
+        at = np.repeat(lo - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
+        both = np.bincount(owner[at], minlength=len(members))
+        hits = np.flatnonzero((100 * both >= percent * (size + len(own) - both)) & (name[of_member] != name[r]))
+        for k in hits:
+            if name[of_member[k]] != name[r]:
+                out.append((i, members[k][0]))
+                name[name == name[of_member[k]]] = name[r]
+    return out
+
+
 def sketches(df: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """doc_id, row (the same for rows with equal doc_id and text), n (size of the set), key (names the set) and sketch; both null for an empty set."""
     source = df.select("doc_id", row_key(text).alias("row"), text_or_empty(text).alias("text__"))
@@ -172,54 +203,93 @@ class _Links:
 
         return self.work.save(both.select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long"))
 
-    def _confirmed(self, pairs: DataFrame) -> DataFrame:
-        shingle, percent = self.shingle, self.percent
-        needed = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-        rows = self.work.save(self.sets.join(needed, "id").select("id", F.col("row").alias("row_")))
+    def whole(self, ids: DataFrame) -> DataFrame:
+        """(id, set) for some ids, saved."""
+        shingle = self.shingle
+        rows = self.work.save(self.sets.join(ids, "id").select("id", F.col("row").alias("row_")))
         own = self.texts.join(rows, F.col("row") == F.col("row_")).select("id", "text").dropDuplicates(["id"])
 
-        def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(x.as_py(), shingle).tobytes() for x in batch.column(1)], pa.binary())], names=["id", "set"])
 
-        def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = self.work.save(own.mapInArrow(run, "id long, set binary"))
+        self.work.drop(rows)
+        return done
+
+    def _confirmed(self, pairs: DataFrame) -> DataFrame:
+        percent = self.percent
+        whole = self.whole(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x, y = ((np.frombuffer(v.as_py(), dtype=np.uint64) for v in batch[c]) for c in ("set_a", "set_b"))
                 yield batch.select(["a", "b"]).filter(pa.array([alike(i, j, percent) for i, j in zip(x, y, strict=True)], pa.bool_()))
 
-        whole = self.work.save(own.mapInArrow(hashed, "id long, set binary"))
-        done = self.work.save(self._both(pairs, whole).select("a", "b", "set_a", "set_b").mapInArrow(compared, "a long, b long"))
+        done = self.work.save(self._both(pairs, whole).select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"))
         self.work.drop(whole)
         self.work.free()
         return done
 
+    def across(self, rest: DataFrame) -> None:
+        """Tries, within each bucket of rest (bucket, id, root), all pairs of different roots."""
+        percent = self.percent
+        own = rest.join(self.sets.select("id", "n"), "id")
+        sizes = own.groupBy("bucket", "root").agg(F.count("*").alias("members"), F.sum("n").alias("n"))
+        plan = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.max_by("n", F.struct("members", "root")).alias("n_main"), F.sum("n").alias("n_all"))
+        cells = lambda n: F.ceil(n / F.lit(CELL)).cast("int")
+        plan = self.work.save(plan.select("bucket", "main", cells(F.col("n_all")).alias("blocks"), cells(F.col("n_all") - F.col("n_main")).alias("chunks")))
+        dealt = rest.join(plan, "bucket")
+        block, chunk = F.pmod(F.xxhash64("id"), "blocks"), F.pmod(F.xxhash64("id", F.lit(1)), "chunks")
+        up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - F.lit(1).cast("long")))
+        members = dealt.select("bucket", up_to("chunks").alias("chunk"), block.alias("block"), F.lit(1).alias("member"), "id", "root")
+        queries = dealt.where("root <> main").select("bucket", chunk.alias("chunk"), up_to("blocks").alias("block"), F.lit(0).alias("member"), "id", "root")
+        rows = members.unionByName(queries).join(self.whole(rest.select("id").distinct()), "id").select("bucket", "chunk", "block", "member", "id", "root", "set")
+        rows = rows.repartition(partitions(rest.sparkSession), "bucket", "chunk", "block").sortWithinPartitions("bucket", "chunk", "block", "member")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            cell, held = None, ([], [])
+
+            def out() -> pa.RecordBatch:
+                links = cell_links(*held, percent) if all(held) else []
+                return pa.RecordBatch.from_arrays([pa.array([x[k] for x in links], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+            for batch in batches:
+                keys = zip(*(batch[c].to_pylist() for c in ("bucket", "chunk", "block")), strict=True)
+                for key, member, i, root, own in zip(keys, *(batch[c].to_pylist() for c in ("member", "id", "root", "set")), strict=True):
+                    if key != cell:
+                        yield out()
+                        cell, held = key, ([], [])
+                    held[member].append((i, root, np.frombuffer(own, dtype=np.uint64)))
+            yield out()
+
+        links = self.work.save(rows.mapInArrow(run, "a long, b long").distinct())
+        self.found = links if self.found is None else self.found.unionByName(links)
+
 
 def linked_sets(sets: DataFrame, texts: DataFrame, work: Scratch, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(node, root): the least id that each linked set reaches. sets: (id, row, n, sketch), saved; texts: (row, text)."""
     bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.substring("sketch", i * (2 * ROWS) + 1, F.lit(2 * ROWS)))
     posted = sets.select("id", F.posexplode(bands).alias("band", "value")).select(F.xxhash64("band", "value").alias("bucket"), "id")
     links = _Links(sets, texts, work, shingle, percent)
-    rest = posted
-    for k in range(2):
-        # of each bucket the least member, which then leaves it: it has met all others
-        least = work.save(rest.groupBy("bucket").agg(F.min("id").alias("least"), F.count("*").alias("members")).where("members > 1").drop("members"))
-        before = rest
-        rest = rest.drop("root") if k else rest
-        met = work.save(rest.join(least, "bucket").where("id <> least"))
-        links.add(met.select(F.col("least").alias("a"), F.col("id").alias("b")))
-        rest = _unlinked(met.select("bucket", "id"), components(links.found), work)
-        work.drop(least, met, *([before] if k else []))
-    # what is still in different linked sets of a bucket: all that isn't in its largest one, with all of other ones
-    sizes = rest.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("n", "root")).alias("main"))
-    few = work.save(rest.join(main, "bucket").where("root <> main").select("bucket", F.col("id").alias("a"), F.col("root").alias("root_a")))
-    links.add(few.join(rest, "bucket").where("root <> root_a").select("a", F.col("id").alias("b")))
+    several = work.save(posted.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1"))
+    rest = work.save(posted.join(several, "bucket"))
+    met_most = work.save(rest.groupBy("id").agg(F.sum("members").alias("others")))
+    rest = rest.join(met_most, "id").select("bucket", "id", "others")
+    for _ in range(2):
+        hubs = work.save(rest.groupBy("bucket").agg(F.max_by("id", F.struct("others", "id")).alias("hub")))
+        # the hub then leaves the bucket: it has met all others
+        met = work.save(rest.join(hubs, "bucket").where("id <> hub"))
+        links.add(met.select(F.col("hub").alias("a"), F.col("id").alias("b")))
+        rest = _unlinked(met.select("bucket", "id", "others"), components(links.found), work)
+        work.drop(hubs, met)
+    links.across(rest.select("bucket", "id", "root"))
     return components(links.found)
 
 
 def _unlinked(members: DataFrame, roots: DataFrame, work: Scratch) -> DataFrame:
-    """members (bucket, id) with `root`, of buckets that have more than one."""
-    own = work.save(members.join(roots, F.col("id") == F.col("node"), "left").select("bucket", "id", F.coalesce("root", "id").alias("root")))
+    """members (bucket, id, others) with `root`, of buckets that have more than one."""
+    own = work.save(members.join(roots, F.col("id") == F.col("node"), "left").select(*members.columns, F.coalesce("root", "id").alias("root")))
     mixed = own.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
     out = work.save(own.join(work.save(mixed), "bucket"))
     work.drop(own)

@@ -2,6 +2,7 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.llm import setsketch
@@ -126,3 +127,35 @@ def test_fewer_words_are_one_shingle():
 def test_column_names_may_clash(spark):
     df = spark.createDataFrame([(1, "a b c d e f")], "doc_id long, text string").withColumns({c: F.lit(0) for c in ("id", "key", "sketch", "n", "root", "node", "band")})
     assert got(df) == [(1, 3, 1, True)]
+
+
+@pytest.mark.parametrize("cell", [1 << 19, 600])
+def test_spread_group(spark, cell, monkeypatch):
+    """Copies of one text with few to many edits: some are linked over others only, some with none; cells of all and of a few members."""
+    monkeypatch.setattr(setsketch, "CELL", cell)
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(4000)}" for _ in range(100)]
+    rows = [(n, " ".join(edited(rng, base, rng.choice([0.005, 0.02, 0.04, 0.06])))) for n in range(150)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(df) == expected(rows)
+
+
+def test_cell_links_span_what_is_linked():
+    rng = np.random.default_rng(4)
+    base = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[: 60 - int(k)], rng.integers(0, 1 << 63, int(k), dtype=np.uint64)])) for k in rng.integers(0, 14, 40)]
+    items = [(n, n % 25, s) for n, s in enumerate(sets)]
+    links = setsketch.cell_links(items[:20], items[10:])
+    assert all(setsketch.alike(sets[a], sets[b]) and a % 25 != b % 25 for a, b in links) and len(links) < 25
+    root = list(range(25))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        root[find(a % 25)] = find(b % 25)
+    for a in range(20):
+        for b in range(10, 40):
+            assert not setsketch.alike(sets[a], sets[b]) or find(a % 25) == find(b % 25)
