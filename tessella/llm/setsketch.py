@@ -6,7 +6,7 @@ spaced scale, truncated to 16 bits. Registers of a union are the maxima of regis
 with a probability of about the Jaccard index, so they are locality-sensitive.
 
 Bands of four registers each are posted. Sets with an index of 0.8 or more share none of the `BANDS` bands with a probability of
-(1 - 0.8 ** 4) ** 48 = 1e-11 at most. In two rounds the members of a band's bucket meet one of them only, that which shares buckets with
+(1 - 0.8 ** 4) ** 48 = 1e-11 at most. First the members of a band's bucket meet one of them only, that which shares buckets with
 most others, a pair a member. Pairs are dropped if sizes alone rule them out, or if the registers' joint likelihood (how many are
 greater, less and equal, given both sizes) is lower by `DOUBT` at the threshold than at its best, which a pair at the threshold
 meets with a probability of about 1e-11; all others are confirmed on their whole sets. Buckets whose members are then linked
@@ -168,12 +168,11 @@ def sketches(df: DataFrame, text: str = "text", shingle: int = SHINGLE) -> DataF
 
 
 class _Links:
-    """Tries pairs of sets (by their ids) and gathers what is linked; no pair is tried twice."""
+    """Tries pairs of sets (by their ids) and gathers what is linked."""
 
     def __init__(self, sets: DataFrame, texts: DataFrame, work: Scratch, shingle: int, percent: int) -> None:
         self.sets, self.texts, self.work, self.shingle, self.percent = sets, texts, work, shingle, percent
-        self.tried: DataFrame | None = None
-        self.found: DataFrame | None = None
+        self.found: DataFrame
 
     def _both(self, pairs: DataFrame, of: DataFrame) -> DataFrame:
         """pairs with the other columns of `of` (id, …) for a and for b, as <name>_a and <name>_b."""
@@ -183,13 +182,8 @@ class _Links:
 
     def add(self, pairs: DataFrame) -> None:
         """Tries pairs (a, b)."""
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if self.tried is not None:
-            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-        pairs = self.work.save(pairs)
-        self.tried = pairs if self.tried is None else self.tried.unionByName(pairs)
-        links = self._confirmed(self._likely(pairs))
-        self.found = links if self.found is None else self.found.unionByName(links)
+        pairs = self.work.save(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        self.found = self._confirmed(self._likely(pairs))
 
     def _likely(self, pairs: DataFrame) -> DataFrame:
         percent = self.percent
@@ -206,6 +200,7 @@ class _Links:
     def whole(self, ids: DataFrame) -> DataFrame:
         """(id, set) for some ids, saved."""
         shingle = self.shingle
+        self.work.free()
         rows = self.work.save(self.sets.join(ids, "id").select("id", F.col("row").alias("row_")))
         own = self.texts.join(rows, F.col("row") == F.col("row_")).select("id", "text").dropDuplicates(["id"])
 
@@ -228,7 +223,6 @@ class _Links:
 
         done = self.work.save(self._both(pairs, whole).select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"))
         self.work.drop(whole)
-        self.work.free()
         return done
 
     def across(self, rest: DataFrame) -> None:
@@ -264,7 +258,7 @@ class _Links:
             yield out()
 
         links = self.work.save(rows.mapInArrow(run, "a long, b long").distinct())
-        self.found = links if self.found is None else self.found.unionByName(links)
+        self.found = self.found.unionByName(links)
 
 
 def linked_sets(sets: DataFrame, texts: DataFrame, work: Scratch, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -276,19 +270,18 @@ def linked_sets(sets: DataFrame, texts: DataFrame, work: Scratch, shingle: int =
     rest = work.save(posted.join(several, "bucket"))
     met_most = work.save(rest.groupBy("id").agg(F.sum("members").alias("others")))
     rest = rest.join(met_most, "id").select("bucket", "id", "others")
-    for _ in range(2):
-        hubs = work.save(rest.groupBy("bucket").agg(F.max_by("id", F.struct("others", "id")).alias("hub")))
-        # the hub then leaves the bucket: it has met all others
-        met = work.save(rest.join(hubs, "bucket").where("id <> hub"))
-        links.add(met.select(F.col("hub").alias("a"), F.col("id").alias("b")))
-        rest = _unlinked(met.select("bucket", "id", "others"), components(links.found), work)
-        work.drop(hubs, met)
-    links.across(rest.select("bucket", "id", "root"))
+    hubs = work.save(rest.groupBy("bucket").agg(F.max_by("id", F.struct("others", "id")).alias("hub")))
+    # the hub then leaves the bucket: it has met all others
+    met = work.save(rest.join(hubs, "bucket").where("id <> hub").select("bucket", "id", "hub"))
+    links.add(met.select(F.col("hub").alias("a"), F.col("id").alias("b")))
+    rest = _unlinked(met.select("bucket", "id"), components(links.found), work)
+    work.drop(several, met_most, hubs, met)
+    links.across(rest)
     return components(links.found)
 
 
 def _unlinked(members: DataFrame, roots: DataFrame, work: Scratch) -> DataFrame:
-    """members (bucket, id, others) with `root`, of buckets that have more than one."""
+    """members (bucket, id) with `root`, of buckets that have more than one."""
     own = work.save(members.join(roots, F.col("id") == F.col("node"), "left").select(*members.columns, F.coalesce("root", "id").alias("root")))
     mixed = own.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
     out = work.save(own.join(work.save(mixed), "bucket"))
