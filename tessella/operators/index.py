@@ -1,12 +1,12 @@
 """The index as immutable tables: what changed, what went, and replacement of all chunks of a path.
 
 Tables: files (path, …, size_bytes, mtime_ns, content_hash, chunk_count) and chunks (path, chunk_index, chunk_text,
-token_count[, embedding]). A writer derives a new snapshot and swaps folders; nothing is changed in place.
+token_count[, embedding]). Functions here derive new tables from old ones; `tessella.operators.logindex` keeps them in storage.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.functions.scalar import content_hash, extension, token_count
@@ -80,43 +80,6 @@ def latest_by_key(writes: DataFrame, *keys: str, order: str = "updated_at") -> D
     return best.select(*keys, "x.value", f"x.{order}").where("value is not null")
 
 
-def _snapshot_paths(spark: SparkSession, path: str) -> tuple:
-    jvm = spark._jvm
-    at, new, old = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.new", f"{path}.old"))
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at, new, old
-
-
-def recover_snapshot(spark: SparkSession, path: str) -> bool:
-    """Finishes what a swap that died between its renames left: the new snapshot if it was written whole, else the old one. Says whether there is a snapshot."""
-    fs, at, new, old = _snapshot_paths(spark, path)
-    if not fs.exists(at):
-        if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(new, "_SUCCESS")):
-            fs.rename(new, at)
-        elif fs.exists(old):
-            fs.rename(old, at)
-    return fs.exists(at)
-
-
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame | None:
-    """The snapshot, after a look for an unfinished swap; None where nothing was written yet."""
-    return spark.read.parquet(path) if recover_snapshot(spark, path) else None
-
-
-def swap_snapshot(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Writes a new snapshot beside the old one and then renames, so that a plan may read the folder it replaces.
-
-    A writer that dies at any point loses nothing: the old folder goes only when the new one is in place, and
-    `recover_snapshot`, which runs before each swap and read, finishes or undoes what was begun."""
-    recover_snapshot(spark, path)
-    fs, at, new, old = _snapshot_paths(spark, path)
-    df.write.mode("overwrite").parquet(f"{path}.new")
-    if fs.exists(at):
-        fs.delete(old, True)
-        fs.rename(at, old)
-    fs.rename(new, at)
-    fs.delete(old, True)
-
-
 def counted_chunks(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("token_count", token_count("chunk_text"))
 

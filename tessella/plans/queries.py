@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from tessella.functions import chunk, embed, ignore, scalar
 from tessella.operators import capacity, detect, filters, index, search, stats
+from tessella.operators.logindex import LogIndex
+from tessella.session import shared_folder
 from tessella.sources import system
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -493,6 +495,22 @@ def upsert_replace(t):
     return index.upsert(_old(t), _now(t)).select("path", "content_hash")
 
 
+@query(
+    f"WITH n AS ({NOW_SQL}), o AS ({OLD_SQL}), u AS (SELECT path, content_hash, size_bytes FROM o WHERE path NOT IN (SELECT path FROM n) UNION ALL SELECT path, content_hash, size_bytes FROM n) "
+    "SELECT * FROM u WHERE path NOT IN (SELECT 'doc' || doc_id FROM documents WHERE doc_id % 6 = 1)"
+)
+def log_index(t):
+    """An index written, added to, removed from, compacted, added to again and read."""
+    spark = t("documents").sparkSession
+    at = LogIndex(spark, shared_folder(spark, "log-index"), buckets=int(spark.conf.get("spark.sql.shuffle.partitions")))
+    at.upsert(_old(t).select("path", "content_hash", "size_bytes"))
+    at.upsert(_now(t).select("path", "content_hash", "size_bytes").where("pmod(hash(path), 2) = 0"))
+    at.compact()
+    at.upsert(_now(t).select("path", "content_hash", "size_bytes").where("pmod(hash(path), 2) = 1"))
+    at.remove(t("documents").where("doc_id % 6 = 1").select(F.expr("concat('doc', doc_id) path")))
+    return at.read()
+
+
 @query(f"WITH n AS ({NOW_SQL} AND doc_id % 2 = 0), o AS ({OLD_SQL}) SELECT path, size_bytes FROM o WHERE path NOT IN (SELECT path FROM n)")
 def remove_files(t):
     return index.remove(_old(t), _now(t).where("cast(substring(path, 4) as long) % 2 = 0")).select("path", "size_bytes")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from tessella.operators.index import read_snapshot, swap_snapshot, upsert
+from tessella.operators.logindex import LogIndex
 
 
 def debounce(events: DataFrame, ts: str = "ts", path: str = "path", kind: str = "kind", quiet: str = "1500 milliseconds", late: str = "10 seconds") -> DataFrame:
@@ -65,15 +65,21 @@ def restart_limiter(attempts: DataFrame, by: str, ts_us: str, id_: str, most: in
     return attempts.groupBy(by).applyInPandasWithState(step, f"{by} {kinds[by]}, {id_} {kinds[id_]}, allowed boolean", "held array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
-def keep_index(new_rows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, version: str | None = None):
-    """A query that replaces, batch by batch, the rows of the paths that came. With `version`, a column that tells versions of a path apart, only the rows of the greatest one in a batch count."""
+def keep_index(new_rows: DataFrame, path: str, checkpoint: str, trigger: dict | None = None, version: str | None = None, deleted: str | None = None, most: int = 8):
+    """A query that replaces, batch by batch, the rows of the paths that came, in the log-structured index at `path`.
 
-    def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
+    With `version`, a column that tells versions of a path apart, only the rows of the greatest one in a batch count. With `deleted`,
+    a boolean column, paths whose counting rows are all marked go from the index. Each batch writes only its buckets; those of more
+    than `most` segments are compacted now and then. A batch that is run again after a failure is recognised and left out."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        index, own = LogIndex(batch.sparkSession, path), batch.drop(*([deleted] if deleted else []))
         if version:
             last = batch.groupBy("path").agg(F.max(version).alias("__last"))
-            batch = batch.join(last, "path").where(F.col(version).eqNullSafe(F.col("__last"))).select(*batch.columns)
-        before = read_snapshot(spark, path)
-        swap_snapshot(spark, batch if before is None else upsert(before, batch), path)
+            batch = batch.join(last, "path").where(F.col(version).eqNullSafe(F.col("__last")))
+        live = batch.where(~F.col(deleted)) if deleted else batch
+        index.upsert(live.select(*own.columns), batch.select("path"), batch=(checkpoint, number))
+        if number % most == most - 1:
+            index.compact(most)
 
     return new_rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()

@@ -71,13 +71,6 @@ def test_change_detection(spark):
     assert {r.path for r in index.to_hash(now, old).collect()} == {"b", "c", "d"}
 
 
-def test_snapshot_swap_may_read_itself(spark, tmp_path):
-    at = f"file://{tmp_path}/index"
-    index.swap_snapshot(spark, spark.createDataFrame([("a", 1), ("b", 1)], "path string, v int"), at)
-    index.swap_snapshot(spark, index.upsert(spark.read.parquet(at), spark.createDataFrame([("b", 2), ("b", 3)], "path string, v int")), at)
-    assert sorted((r.path, r.v) for r in spark.read.parquet(at).collect()) == [("a", 1), ("b", 2), ("b", 3)]
-
-
 def test_zip_shorter(spark):
     df = spark.createDataFrame([(["x", "y", "z"], [[1.0], [2.0]])], "c array<string>, e array<array<double>>")
     assert [tuple(x) for x in df.select(index.zip_shorter(F.col("c"), F.col("e")).alias("z")).first().z] == [("x", [1.0]), ("y", [2.0])]
@@ -123,28 +116,6 @@ def test_join_tokens_stops_at_done(spark):
     assert stats.join_tokens(df, ["s"], "i", done=F.col("done")).first().text == "Hello from"
 
 
-def test_a_swap_that_died_loses_nothing(spark, tmp_path):
-    """Between the renames, after them, and while the new snapshot was written."""
-    import shutil
-
-    at, rows = f"{tmp_path}/index", lambda v: spark.createDataFrame([("a", v), ("b", v)], "path string, v int")
-    values = lambda: {r.v for r in index.read_snapshot(spark, at).collect()}
-    assert index.read_snapshot(spark, at) is None
-    index.swap_snapshot(spark, rows(1), at)
-    rows(2).write.parquet(f"{at}.new")
-    shutil.move(at, f"{at}.old")  # died with the old one away and the new one not in place
-    assert values() == {2}
-    index.swap_snapshot(spark, rows(3), at)
-    assert values() == {3}
-    rows(4).write.parquet(f"{at}.new")
-    (tmp_path / "index.new" / "_SUCCESS").unlink()  # died while writing
-    assert values() == {3}
-    shutil.move(at, f"{at}.old")
-    assert values() == {3}
-    index.swap_snapshot(spark, index.upsert(index.read_snapshot(spark, at), spark.createDataFrame([("b", 9)], "path string, v int")), at)
-    assert values() == {3, 9}
-
-
 def test_folds_go_through_keys_of_any_size(spark):
     """One key with most rows, nulls among values; the same as a loop."""
     rows = [("hot", i, float(i * 7919 % 101) if i % 50 else None) for i in range(25_000)] + [(None, 1, 5.0), ("x", 2, 1.0)]

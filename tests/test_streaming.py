@@ -3,6 +3,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from tessella.operators import detect
+from tessella.operators.logindex import LogIndex
 from tessella.streaming import detectors
 
 T0 = dt.datetime(2024, 1, 1)
@@ -67,7 +68,14 @@ def test_index_follows_stream(spark, tmp_path):
     df = spark.createDataFrame([("p", "old", 0), ("q", "q", 0), ("p", "new", 1)], "path string, chunk_text string, part int")
     out = f"file://{tmp_path}/idx"
     detectors.keep_index(as_stream(spark, df, tmp_path, "in6"), out, f"{tmp_path}/cp").awaitTermination()
-    assert sorted(map(tuple, spark.read.parquet(out).collect())) == [("p", "new"), ("q", "q")]
+    assert sorted(map(tuple, LogIndex(spark, out).read().collect())) == [("p", "new"), ("q", "q")]
+
+
+def test_deletions_reach_the_index(spark, tmp_path):
+    df = spark.createDataFrame([("p", "1", False, 1, 0), ("q", "q", False, 1, 0), ("r", "r", False, 1, 0), ("p", None, True, 2, 1), ("q", None, True, 2, 1), ("q", "again", False, 3, 1)], "path string, chunk_text string, gone boolean, at int, part int")
+    out = f"file://{tmp_path}/idx2"
+    detectors.keep_index(as_stream(spark, df, tmp_path, "in8"), out, f"{tmp_path}/cp8", version="at", deleted="gone").awaitTermination()
+    assert sorted(map(tuple, LogIndex(spark, out).read().select("path", "chunk_text").collect())) == [("q", "again"), ("r", "r")]
 
 
 def test_monitor_swallows_and_counts_errors(spark, tmp_path):
