@@ -78,13 +78,15 @@ def fuse(lists: list[DataFrame], id_: str = "id", k: int = 60) -> DataFrame:
     return both.groupBy(id_).agg(F.sum("share").alias("score"))
 
 
-def hybrid_search(docs: DataFrame, vectors: DataFrame, query_text: str, query_vector: list[float], top_k: int = 10, as_of: Column | None = None, rrf_k: int = 60) -> DataFrame:
+def hybrid_search(docs: DataFrame, vectors: DataFrame, query_text: str, query_vector: list[float], top_k: int = 10, as_of: Column | None = None, rrf_k: int = 60, index=None) -> DataFrame:
     """The top_k rows of (id, text, path[, modified_at]) for a query, with (id, embedding) beside them.
 
     Candidates are the best 2 top_k by vector and by phrase. Those whose path holds words of the query are ranked by that,
-    equal ones in the order of the candidates (vector list, then the phrase list's own); recency multiplies at the end."""
+    equal ones in the order of the candidates (vector list, then the phrase list's own); recency multiplies at the end.
+    With `index`, a `PhraseIndex` of the documents, the phrase is looked up in its postings and no texts are scanned for it."""
     vec = nearest(vectors.select("id", "embedding"), query_vector, 2 * top_k).select("id", F.col("rank").alias("vec_rank"))
-    fts = phrase_bm25(docs.select("id", "text"), query_text, 2 * top_k).select("id", F.col("rank").alias("fts_rank"))
+    by_phrase = index.search(query_text, 2 * top_k) if index is not None else phrase_bm25(docs.select("id", "text"), query_text, 2 * top_k)
+    fts = by_phrase.select("id", F.col("rank").alias("fts_rank"))
     found = vec.join(fts, "id", "full_outer")
     found = found.withColumn("place", F.coalesce("vec_rank", F.lit(2 * top_k) + F.col("fts_rank")))
     # at most 4 top_k rows

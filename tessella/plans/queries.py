@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tessella.functions import chunk, embed, ignore, scalar
 from tessella.operators import capacity, detect, filters, index, search, stats
 from tessella.operators.logindex import LogIndex
+from tessella.operators.phraseindex import PhraseIndex
 from tessella.session import shared_folder
 from tessella.sources import system
 
@@ -108,6 +109,33 @@ def phrase_bm25(t):
     return search.phrase_bm25(t("documents").select(F.col("doc_id").alias("id"), "text"), PHRASE, 20).drop("text")
 
 
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_index(t) -> PhraseIndex:
+    """The index of the documents' words, built once for each application and table."""
+    docs = t("documents")
+    spark = docs.sparkSession
+    key, n = (spark.sparkContext.applicationId, docs.inputFiles()[0] if docs.inputFiles() else ""), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if key not in _STORED:
+        at = shared_folder(spark, "phrases")
+        PhraseIndex(spark, at, n).add(docs.select(F.col("doc_id").alias("id"), "text"))
+        _STORED[key] = at
+    return PhraseIndex(spark, _STORED[key], n)
+
+
+@query(f"WITH {BM.replace('lower(text)', 'strip_accents(lower(text))')} SELECT id, tf, n_tokens, bm25, r::INTEGER AS rank FROM fr")
+def phrase_bm25_stored(t):
+    return stored_index(t).search(PHRASE, 20)
+
+
+@query(ORACLE_SQL["hybrid_search"].replace("lower(text)", "strip_accents(lower(text))"))
+def hybrid_search_stored(t):
+    docs, vectors = t("documents").select(F.col("doc_id").alias("id"), "text", F.expr(DOC_PATH).alias("path")), t("embeddings")
+    found = search.hybrid_search(docs, vectors.select(F.col("vec_id").alias("id"), "embedding"), PHRASE, query_vector(vectors), index=stored_index(t))
+    return found.select("id", "path", F.round("score", 12).alias("score"), "result_rank")
+
+
 @query(
     f"WITH {Q}, {VEC}, l AS (SELECT vec_id id, row_number() OVER (ORDER BY label, vec_id) r FROM embeddings ORDER BY label, vec_id LIMIT 20) "
     "SELECT id, round(sum(1.0::DOUBLE / (60 + r)), 12) AS score FROM (SELECT id, r FROM vr UNION ALL SELECT id, r FROM l) GROUP BY id"
