@@ -1,13 +1,16 @@
 """Detectors over ordered rows: rates, baselines, spikes, trends, runs, set changes, limiters.
 
-Each works within a key (`by`) and orders by time, then id, so results don't depend on the order of rows. Folds (`ewma`,
-`baselines`, `restart_limiter`) go through rows that Spark has sorted by key and order (sorts spill), batch by batch, and
-carry one small state a key, so a key may have any number of rows; a streaming form is in `tessella.streaming`.
+Each works within a key (`by`) and orders by time, then id, so results don't depend on the order of rows. Baselines (`ewma`,
+`baselines`, `spikes`) are parallel scans and rates have a halo of rows about each stretch of time, so a key that holds most rows is
+spread over all tasks. `restart_limiter` folds rows that Spark has sorted by key and order (sorts spill), batch by batch, and
+carries one small state a key; a streaming form is in `tessella.streaming`.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -15,6 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
+from tessella.session import shared_folder
+
 #: Ports that may listen without alert.
 EXPECTED_PORTS = [22, 53, 80, 443, 631, 5353, 8080]
 ALPHA_RATE, ALPHA_RESOURCE = 0.1, 0.2
@@ -43,15 +48,107 @@ def _fold(df: DataFrame, by: list[str], order: list[str], item: str, step: Calla
     return source.mapInArrow(run, schema)
 
 
+def _parts(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """df dealt by range of (by, order) and saved, so that a key's rows lie in any number of parts, one after the other: column `__part`."""
+    spark = df.sparkSession
+    at = shared_folder(spark, "parts")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    df.repartitionByRange(n, *by, *order).withColumn("__part", F.spark_partition_id()).write.parquet(at)
+    return spark.read.parquet(at)
+
+
+def _same(by: list[str], prefix: str) -> Column:
+    return reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in by])
+
+
 def baselines(df: DataFrame, value: str, alpha: float, by: list[str], order: list[str]) -> DataFrame:
-    """Each row with the baseline before it (0 for the first) and after it; a baseline of 0 counts as unset, a null value leaves it as it is."""
+    """Each row with the baseline before it (0 for the first) and after it; a baseline of 0 counts as unset, a null value leaves it as it is.
+
+    A parallel scan, so that one key may fill all tasks: a value moves the baseline b to alpha * value + (1 - alpha) * b, so a part of a
+    key moves it to p * b + q, or to its own fold where b is unset. The parts' maps are folded in order, a row each, and in a second pass
+    each part goes on from the baseline that it starts with. A set baseline can only become unset again where values of both signs
+    cancel out; keys that have both are folded row by row in one task each."""
+    rows = _parts(df.select(*by, *order, F.col(value).cast("double").alias(value)), by, order)
+    both = rows.groupBy(*by).agg(((F.min(value) < 0) & (F.max(value) > 0)).alias("__both")).where("__both").select(*[F.col(c).alias(f"__{c}") for c in by])
+    if both.limit(1).count():
+        odd = rows.join(both, _same(by, "__"), "left_semi").drop("__part")
+        return _scanned(rows.join(both, _same(by, "__"), "left_anti"), value, alpha, by, order).unionByName(_folded(odd, value, alpha, by, order))
+    return _scanned(rows, value, alpha, by, order)
+
 
+def _step(alpha: float, before: float, v: float | None) -> float:
+    return before if v is None else v if before == 0 else alpha * v + (1 - alpha) * before
+
+
+def _folded(df: DataFrame, value: str, alpha: float, by: list[str], order: list[str]) -> DataFrame:
     def step(before: float, v: float | None) -> tuple:
-        after = before if v is None else v if before == 0 else alpha * v + (1 - alpha) * before
+        after = _step(alpha, before, v)
         return after, (before, after)
 
-    two = {"before": ("double", pa.float64()), "after": ("double", pa.float64())}
-    return _fold(df.withColumn(value, F.col(value).cast("double")), by, order, value, step, float, two)
+    return _fold(df, by, order, value, step, float, {"before": ("double", pa.float64()), "after": ("double", pa.float64())})
+
+
+def _scanned(rows: DataFrame, value: str, alpha: float, by: list[str], order: list[str]) -> DataFrame:
+    key, n = [*by, "__part"], len(by) + 1
+    dealt = rows.repartition(*[F.col(c) for c in key])
+
+    def runs(batches: Iterator[pa.RecordBatch], start: Callable) -> Iterator[tuple]:
+        """(batch, row from, row to, whether a new part begins) for each stretch of one part."""
+        last = start
+        for batch in batches:
+            keys = list(zip(*[batch.column(i).to_pylist() for i in range(n)], strict=True))
+            cuts = [0, *[i for i in range(1, len(keys)) if keys[i] != keys[i - 1]], len(keys)] if keys else []
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                yield batch, lo, hi, keys[lo] != last
+                last = keys[lo]
+
+    def maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def out() -> pa.RecordBatch:
+            columns = list(zip(*held, strict=True)) or [[]] * (n + 3)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=parts.names)
+
+        kinds = None
+        for batch, lo, hi, new in runs(batches, None):
+            kinds = [batch.schema.field(i).type for i in range(n)] + [pa.float64()] * 3
+            if new:
+                if len(held) == 1024:
+                    yield out()
+                    held = []
+                held.append((*[batch.column(i)[lo].as_py() for i in range(n)], 1.0, 0.0, 0.0))
+            p, q, own = held[-1][n:]
+            for v in batch.column(batch.num_columns - 1)[lo:hi].to_pylist():
+                own = _step(alpha, own, v)
+                if v is not None:
+                    p, q = p * (1 - alpha), alpha * v + (1 - alpha) * q
+            held[-1] = (*held[-1][:n], p, q, own)
+        if held:
+            yield out()
+
+    parts = dealt.select(*key).schema.add("p", "double").add("q", "double").add("own", "double")
+    source = dealt.sortWithinPartitions(*key, *order).select(*key, *order, value)
+    moved = source.mapInArrow(maps, parts).withColumn("map", F.struct("p", "q", "own"))
+
+    def compose(before: float, m: dict) -> tuple:
+        return m["own"] if before == 0 else m["p"] * before + m["q"], (before,)
+
+    starts = _fold(moved, by, ["__part"], "map", compose, float, {"start": ("double", pa.float64())}).select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__part").alias("__of"), "start")
+    whole = rows.join(starts, _same(by, "__") & (F.col("__part") == F.col("__of"))).select(*key, *order, "start", value)
+    whole = whole.repartition(*[F.col(c) for c in key]).sortWithinPartitions(*key, *order)
+    schema = whole.select(*by, *order, value).schema.add("before", "double").add("after", "double")
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        b = 0.0
+        for batch, lo, hi, new in runs(batches, None):
+            if new:
+                b = batch.column(batch.num_columns - 2)[lo].as_py()
+            each = list(accumulate(batch.column(batch.num_columns - 1)[lo:hi].to_pylist(), lambda x, v: _step(alpha, x, v), initial=b))
+            own = [c.slice(lo, hi - lo) for i, c in enumerate(batch.columns) if i not in (n - 1, batch.num_columns - 2)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(each[:-1], pa.float64()), pa.array(each[1:], pa.float64())], names=schema.names)
+            b = each[-1]
+
+    return whole.mapInArrow(fill, schema)
 
 
 def ewma(df: DataFrame, value: str, alpha: float, by: list[str], order: list[str]) -> DataFrame:

@@ -1,6 +1,8 @@
 import datetime as dt
 import random
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions.embed import HashingEmbedder, embed
@@ -125,3 +127,37 @@ def test_folds_go_through_keys_of_any_size(spark):
         base = base if v is None else v if base == 0 else 0.1 * v + 0.9 * base
     got = {r.k: (r.n, r.ewma) for r in detect.ewma(df, "v", 0.1, ["k"], ["ts"]).collect()}
     assert got["hot"] == (25_000, base) and got[None] == (1, 5.0) and got["x"] == (1, 1.0)
+
+
+def _loop(values, alpha):
+    b, out = 0.0, []
+    for v in values:
+        before, b = b, b if v is None else v if b == 0 else alpha * v + (1 - alpha) * b
+        out.append((before, b))
+    return out
+
+
+def test_scan_equals_a_loop(spark):
+    """Keys of one row to most rows, leading zeros and nulls, all nulls, and values of both signs that cancel out."""
+    rng = random.Random(2)
+    series = {"hot": [rng.choice([None, 0.0, rng.random() * 100]) for _ in range(3000)], "zeros": [0.0, None, 0.0, 0.0, 5.0, 0.0, 7.0], "nulls": [None] * 5, None: [3.0], "cancel": [4.0, -4.0, 8.0, -8.0, 6.0, 2.0] * 30, "less": [-1.0, -2.0, None, -3.0]}
+    rows = [(k, i, v) for k, vs in series.items() for i, v in enumerate(vs)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, i long, v double")
+    for alpha in (0.1, 0.5):
+        got = {(r.k, r.i): (r.before, r.after) for r in detect.baselines(df, "v", alpha, ["k"], ["i"]).collect()}
+        assert len(got) == len(rows)
+        for k, vs in series.items():
+            for i, (before, after) in enumerate(_loop(vs, alpha)):
+                assert got[k, i] == pytest.approx((before, after), rel=1e-12, abs=0)
+
+
+def test_scan_spreads_a_hot_key(spark):
+    """The rows of one key are in several parts, and no stage of the scan deals them by the key alone."""
+    df = spark.range(20_000).select(F.lit("hot").alias("k"), F.col("id").alias("i"), (F.col("id") % 97).cast("double").alias("v"))
+    parts = detect._parts(df, ["k"], ["i"])
+    sizes = [r["count"] for r in parts.groupBy("__part").count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 5000
+    plan = detect.baselines(df, "v", 0.1, ["k"], ["i"])._jdf.queryExecution().executedPlan().toString()
+    dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
+    assert any("__part" in d for d in dealt)
