@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tessella.operators.parts import prefix_sum
+
 #: Memory that models take, in MB.
 MODEL_MB = {
     "phi3:mini": 2400,
@@ -39,8 +41,7 @@ def idle(slots: DataFrame, as_of: Column, seconds: float = 300, used: str = "las
 
 def to_evict(slots: DataFrame, needed: int, by: list[str] | None = None, used: str = "last_used", mb: str = "vram_mb", id_: str = "model_id") -> DataFrame:
     """The least recently used slots that free `needed` MB, of each host in `by`."""
-    before = W.partitionBy(*(by or [])).orderBy(used, id_).rowsBetween(W.unboundedPreceding, -1)
-    return slots.withColumn("freed_before", F.coalesce(F.sum(mb).over(before), F.lit(0))).where(F.col("freed_before") < needed)
+    return prefix_sum(slots, by or [], [used, id_], F.col(mb), "freed_before").where(F.col("freed_before") < needed)
 
 
 def plan(hosts: DataFrame, slots: DataFrame, needed: Column, max_pct: float = 90, host: str = "host") -> DataFrame:
@@ -49,9 +50,8 @@ def plan(hosts: DataFrame, slots: DataFrame, needed: Column, max_pct: float = 90
     fits = F.col("used_mb") + needed <= F.col("total_mb") * max_pct / 100
     short = F.when(fits, F.lit(0)).otherwise(F.col("used_mb") + needed - limit)
     want = hosts.withColumns({"shortfall": short.cast("long")})
-    before = W.partitionBy(host).orderBy("last_used", "model_id").rowsBetween(W.unboundedPreceding, -1)
-    ranked = slots.withColumn("__before", F.coalesce(F.sum("vram_mb").over(before), F.lit(0)))
-    freed = want.join(ranked, host, "left").groupBy(host, "total_mb", "used_mb", "shortfall").agg(F.coalesce(F.sum(F.when(F.col("__before") < F.col("shortfall"), F.col("vram_mb"))), F.lit(0)).alias("can_free"))
+    ranked = prefix_sum(slots, [host], ["last_used", "model_id"], F.col("vram_mb"), "freed_before")
+    freed = want.join(ranked, host, "left").groupBy(host, "total_mb", "used_mb", "shortfall").agg(F.coalesce(F.sum(F.when(F.col("freed_before") < F.col("shortfall"), F.col("vram_mb"))), F.lit(0)).alias("can_free"))
     outcome = F.when(F.col("shortfall") <= 0, F.lit("fits")).when(F.col("can_free") < F.col("shortfall"), F.lit("insufficient")).otherwise(F.lit("evict"))
     return freed.withColumn("outcome", outcome)
 

@@ -9,7 +9,6 @@ carries one small state a key; a streaming form is in `tessella.streaming`.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 from itertools import accumulate
 
 import pyarrow as pa
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
-from tessella.session import shared_folder
+from tessella.operators.parts import in_parts, prefix_sum, same
 
 #: Ports that may listen without alert.
 EXPECTED_PORTS = [22, 53, 80, 443, 631, 5353, 8080]
@@ -48,19 +47,6 @@ def _fold(df: DataFrame, by: list[str], order: list[str], item: str, step: Calla
     return source.mapInArrow(run, schema)
 
 
-def _parts(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
-    """df dealt by range of (by, order) and saved, so that a key's rows lie in any number of parts, one after the other: column `__part`."""
-    spark = df.sparkSession
-    at = shared_folder(spark, "parts")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    df.repartitionByRange(n, *by, *order).withColumn("__part", F.spark_partition_id()).write.parquet(at)
-    return spark.read.parquet(at)
-
-
-def _same(by: list[str], prefix: str) -> Column:
-    return reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"{prefix}{c}")) for c in by])
-
-
 def baselines(df: DataFrame, value: str, alpha: float, by: list[str], order: list[str]) -> DataFrame:
     """Each row with the baseline before it (0 for the first) and after it; a baseline of 0 counts as unset, a null value leaves it as it is.
 
@@ -68,11 +54,11 @@ def baselines(df: DataFrame, value: str, alpha: float, by: list[str], order: lis
     key moves it to p * b + q, or to its own fold where b is unset. The parts' maps are folded in order, a row each, and in a second pass
     each part goes on from the baseline that it starts with. A set baseline can only become unset again where values of both signs
     cancel out; keys that have both are folded row by row in one task each."""
-    rows = _parts(df.select(*by, *order, F.col(value).cast("double").alias(value)), by, order)
+    rows = in_parts(df.select(*by, *order, F.col(value).cast("double").alias(value)), by, order)
     both = rows.groupBy(*by).agg(((F.min(value) < 0) & (F.max(value) > 0)).alias("__both")).where("__both").select(*[F.col(c).alias(f"__{c}") for c in by])
     if both.limit(1).count():
-        odd = rows.join(both, _same(by, "__"), "left_semi").drop("__part")
-        return _scanned(rows.join(both, _same(by, "__"), "left_anti"), value, alpha, by, order).unionByName(_folded(odd, value, alpha, by, order))
+        odd = rows.join(both, same(by, "__"), "left_semi").drop("__part")
+        return _scanned(rows.join(both, same(by, "__"), "left_anti"), value, alpha, by, order).unionByName(_folded(odd, value, alpha, by, order))
     return _scanned(rows, value, alpha, by, order)
 
 
@@ -134,7 +120,7 @@ def _scanned(rows: DataFrame, value: str, alpha: float, by: list[str], order: li
         return m["own"] if before == 0 else m["p"] * before + m["q"], (before,)
 
     starts = _fold(moved, by, ["__part"], "map", compose, float, {"start": ("double", pa.float64())}).select(*[F.col(c).alias(f"__{c}") for c in by], F.col("__part").alias("__of"), "start")
-    whole = rows.join(starts, _same(by, "__") & (F.col("__part") == F.col("__of"))).select(*key, *order, "start", value)
+    whole = rows.join(starts, same(by, "__") & (F.col("__part") == F.col("__of"))).select(*key, *order, "start", value)
     whole = whole.repartition(*[F.col(c) for c in key]).sortWithinPartitions(*key, *order)
     schema = whole.select(*by, *order, value).schema.add("before", "double").add("after", "double")
 
@@ -163,21 +149,31 @@ def spikes(df: DataFrame, value: str, by: list[str], order: list[str], threshold
     return rows.withColumn("multiplier", F.col(value) / F.col("before")).drop("after")
 
 
-def rate_per_minute(df: DataFrame, ts: str, by: list[str], seconds: int = 300, most: int = 1000) -> DataFrame:
+def rate_per_minute(df: DataFrame, ts: str, by: list[str], seconds: int = 300, most: int = 1000, stretch: int = 2) -> DataFrame:
     """Each row with the rate over the window that ends with it: rows strictly newer than `seconds` ago, the newest `most` at most; 0 below two rows.
 
-    Each row also stands a second time where it leaves the window; sums that only grow then give each window's count, and the
-    next row to leave its oldest member, so the work doesn't depend on how many rows a window holds."""
+    Time is cut into stretches of `stretch` windows, and each has the rows of the window before it as a halo, so that a key is as many
+    groups as it has stretches. There, each row also stands a second time where it leaves the window; sums that only grow then give each
+    window's count, and the next row to leave its oldest member, so the work doesn't depend on how many rows a window holds."""
     span_us = seconds * 1_000_000
+    width = span_us * stretch
     rows = df.withColumn("__at", F.unix_micros(F.col(ts).cast("timestamp")))
-    rows = rows.withColumn("__newest", F.lag("__at", most - 1).over(W.partitionBy(*by).orderBy("__at"))).withColumn("__come", F.lit(1))
-    gone = rows.select(*by, (F.col("__at") + span_us).alias("__at"), F.lit(-1).alias("__come"))
+    # also right before 1970
+    rows = rows.withColumn("__own", F.expr(f"(__at - pmod(__at, {width})) div {width}"))
+    # the last window of a stretch is the halo of the next one
+    late = F.pmod(F.col("__at"), F.lit(width)) >= width - span_us
+    rows = rows.withColumn("__cell", F.explode(F.when(late, F.array("__own", F.col("__own") + 1)).otherwise(F.array("__own"))))
+    key = [*by, "__cell"]
+    order = W.partitionBy(*key).orderBy("__at")
+    # rows of the same time count for one another, so what goes back from the last of them holds for all
+    rows = rows.withColumn("__newest", F.lag("__at", most - 1).over(order)).withColumn("__newest", F.max("__newest").over(order.rangeBetween(0, 0))).withColumn("__come", F.lit(1))
+    gone = rows.select(*key, (F.col("__at") + span_us).alias("__at"), F.lit(-1).alias("__come"))
     both = rows.unionByName(gone, allowMissingColumns=True)
-    so_far = W.partitionBy(*by).orderBy("__at").rangeBetween(W.unboundedPreceding, W.currentRow)
-    later = W.partitionBy(*by).orderBy(F.desc("__at")).rangeBetween(W.unboundedPreceding, -1)
+    so_far = W.partitionBy(*key).orderBy("__at").rangeBetween(W.unboundedPreceding, W.currentRow)
+    later = W.partitionBy(*key).orderBy(F.desc("__at")).rangeBetween(W.unboundedPreceding, -1)
     leaves = F.last(F.when(F.col("__come") < 0, F.col("__at") - span_us), ignorenulls=True)
     both = both.withColumns({"__n": F.sum("__come").over(so_far), "__oldest": leaves.over(later)})
-    done = both.where("__come > 0").withColumns({"__n": F.least("__n", F.lit(most)), "__from": F.greatest("__oldest", "__newest")})
+    done = both.where("__come > 0 AND __cell = __own").withColumns({"__n": F.least("__n", F.lit(most)), "__from": F.greatest("__oldest", "__newest")})
     span = (F.col("__at") - F.col("__from")) / F.lit(60e6)
     rate = F.when((F.col("__n") < 2) | (span == 0), F.lit(0.0)).otherwise(F.col("__n") / span)
     return done.withColumn("rate", rate).select(*df.columns, "rate")
@@ -258,9 +254,11 @@ def service_action(state: Column) -> Column:
 def after(df: DataFrame, failed: str, name: str = "name", order: str = "start_order") -> DataFrame:
     """The failed one and those started after it, with the order to stop them in (last first) and to start them in."""
     at = df.where(F.col(name) == failed).agg(F.min(order).alias("__from"))
-    # one row, made by an aggregation; without the failed one no place is after it
+    # one row each, made by aggregations; without the failed one no place is after it
     rest = df.crossJoin(F.broadcast(at)).where(F.col(order) >= F.col("__from")).drop("__from")
-    return rest.withColumns({"stop_place": F.row_number().over(W.orderBy(F.desc(order))), "start_place": F.row_number().over(W.orderBy(order))})
+    placed = prefix_sum(rest, [], [order], F.lit(1), "__before")
+    total = placed.agg(F.count("*").alias("__all"))
+    return placed.crossJoin(F.broadcast(total)).withColumns({"stop_place": (F.col("__all") - F.col("__before")).cast("int"), "start_place": (F.col("__before") + 1).cast("int")}).drop("__before", "__all")
 
 
 def alert(tool: str, action: Column, description: Column, **params: Column) -> Column:

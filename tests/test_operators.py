@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions.embed import HashingEmbedder, embed
-from tessella.operators import capacity, detect, index, search, stats
+from tessella.operators import capacity, detect, index, parts, search, stats
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -155,9 +155,43 @@ def test_scan_equals_a_loop(spark):
 def test_scan_spreads_a_hot_key(spark):
     """The rows of one key are in several parts, and no stage of the scan deals them by the key alone."""
     df = spark.range(20_000).select(F.lit("hot").alias("k"), F.col("id").alias("i"), (F.col("id") % 97).cast("double").alias("v"))
-    parts = detect._parts(df, ["k"], ["i"])
-    sizes = [r["count"] for r in parts.groupBy("__part").count().collect()]
+    cut = parts.in_parts(df, ["k"], ["i"])
+    sizes = [r["count"] for r in cut.groupBy("__part").count().collect()]
     assert len(sizes) == 8 and max(sizes) < 5000
     plan = detect.baselines(df, "v", 0.1, ["k"], ["i"])._jdf.queryExecution().executedPlan().toString()
     dealt = re.findall(r"hashpartitioning\(([^)]*)\)", plan)
     assert any("__part" in d for d in dealt)
+
+
+@pytest.mark.parametrize("stretch", [1, 2, 7])
+def test_rates_have_a_halo(spark, stretch):
+    """Windows across the borders of stretches, rows at the edge of a window, equal times, dense and sparse keys, times before 1970."""
+    rng = random.Random(stretch)
+    rows = [(k, i, int(1e6 * rng.choice([rng.randint(-900, 900), rng.uniform(-900, 900)]))) for k, n in (("dense", 400), ("thin", 20), (None, 2)) for i in range(n)]
+    df = spark.createDataFrame(rows, "k string, id int, us long").withColumn("ts", F.timestamp_micros("us"))
+    got = {(r.k, r.id): r.rate for r in detect.rate_per_minute(df, "ts", ["k"], 60, 15, stretch).collect()}
+    assert len(got) == len(rows)
+    for k, i, t in rows:
+        own = sorted(u for q, _, u in rows if q == k and t - 60_000_000 < u <= t)[-15:]
+        expected = 0.0 if len(own) < 2 or own[0] == t else len(own) / ((t - own[0]) / 60e6)
+        assert got[k, i] == pytest.approx(expected, rel=1e-12)
+
+
+def test_prefix_sums_are_spread(spark):
+    rng = random.Random(3)
+    rows = [(rng.choice(["hot", "hot", "hot", "b", None]), rng.randrange(50), i, rng.randrange(100)) for i in range(1000)]
+    df = spark.createDataFrame(rows, "k string, t int, id int, v int")
+    for by in ([], ["k"]):
+        got = {r.id: r.s for r in parts.prefix_sum(df, by, ["t", "id"], F.col("v"), "s").collect()}
+        for k, t, i, _ in rows:
+            assert got[i] == sum(v for q, u, j, v in rows if (not by or q == k) and (u, j) < (t, i))
+    cut = parts.in_parts(df, [], ["t", "id"])
+    assert cut.select("__part").distinct().count() == 8
+
+
+def test_evicts_over_all_slots(spark):
+    df = spark.createDataFrame([(f"m{i:03d}", i // 3, 10) for i in range(300)], "model_id string, last_used int, vram_mb int")
+    assert sorted(r.model_id for r in capacity.to_evict(df, 95).collect()) == [f"m{i:03d}" for i in range(10)]
+    agents = spark.createDataFrame([(f"a{i}", i * 2) for i in range(100)], "name string, start_order int")
+    got = {r.name: (r.stop_place, r.start_place) for r in detect.after(agents, "a90").collect()}
+    assert got == {f"a{i}": (100 - i, i - 89) for i in range(90, 100)} and detect.after(agents, "none").count() == 0
