@@ -115,20 +115,18 @@ def _blocks(df: DataFrame, text: str, lang: str, most: int, work: Scratch) -> Da
 
 
 def _frequent(counts: DataFrame, by: list[str], least: int, work: Scratch) -> tuple[DataFrame, DataFrame]:
-    """From counts (by, block, at, n) of the blocks: the frequent keys (by, f, id), and the blocks' rows (by, block, at) of those, both saved."""
-    # a row for each block that has the key
-    rows = counts.withColumn("f", F.sum("n").over(W.partitionBy(*by))).where(F.col("f") >= least)
-    rows = work.save(rows)
-    return work.save(rows.groupBy(*by).agg(F.first("f").alias("f")).withColumn("id", F.monotonically_increasing_id())), rows
-
-
-def _named(rows: DataFrame, frequent: DataFrame, by: list[str]) -> DataFrame:
-    """(block, names): for each block its frequent keys with their ids."""
-    own = frequent.select(*[F.col(c).alias(f"{c}_") for c in by], "id")
-    on = [F.col(c) == F.col(f"{c}_") for c in by]
-    both = rows.join(own, on)
+    """From counts (by, block, n, …) of the blocks: the frequent keys (by, f, id), and the blocks' rows of those with their `id`, saved."""
+    # a row for each block that has the key; the least number of these rows is the key's id
+    own = W.partitionBy(*by)
+    rows = counts.withColumn("id", F.monotonically_increasing_id()).withColumns({"f": F.sum("n").over(own), "id": F.min("id").over(own)})
+    rows = work.save(rows.where(F.col("f") >= least))
+    return rows.groupBy(*by).agg(F.first("f").alias("f"), F.first("id").alias("id")), rows
+
+
+def _named(rows: DataFrame) -> DataFrame:
+    """(of, names): for each block its frequent keys with their ids."""
     fields = [c for c in ("p", "w", "at") if c in rows.columns]
-    return both.groupBy("block").agg(F.collect_list(F.struct(*fields, "id")).alias("names")).withColumnRenamed("block", "of")
+    return rows.groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct(*fields, "id")).alias("names"))
 
 
 def _numpy(x: pa.Scalar, kind: type) -> np.ndarray:
@@ -216,7 +214,8 @@ def frequent_phrases(df: DataFrame, text: str = "text", lang: str = "lang", leas
     counts = listed.select("lang", F.col("x.words").alias("word"), "block", "at", F.col("x.sizes").cast("long").alias("n"))
     totals = blocks.select("lang", F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     words, rows = _frequent(counts, ["lang", "word"], least, work)
-    state = _words(blocks, _named(rows, words, ["lang", "word"]), work)
+    words = work.save(words)
+    state = _words(blocks, _named(rows), work)
     level = words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f", "id")
     found, totals = level, work.save(totals)
     work.drop(blocks, rows)
@@ -228,7 +227,7 @@ def frequent_phrases(df: DataFrame, text: str = "text", lang: str = "lang", leas
         level = work.save(level.select("lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), F.lit(k + 1).alias("words"), "f", "id"))
         found = found.unionByName(level)
         if k + 1 < longest:
-            before, state = state, _longer(state, _named(rows, more, ["p", "w"]), k, work)
+            before, state = state, _longer(state, _named(rows), k, work)
             work.drop(before)
             work.free()
         work.drop(rows)
