@@ -31,6 +31,10 @@ from tessella.llm.common import table, unused
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+#: Drawn texts whose keys are broadcast; more are joined as Spark sees fit.
+FEW = 100_000
+
+
 def letters_of(text: str) -> str:
     """Lower-cased runs of letters, with single spaces around each; empty without any."""
     words = LETTERS.findall(text.lower())
@@ -112,22 +116,23 @@ def parser(samples: tuple[tuple[str, str], ...]) -> Parser:
     return Parser(dict(samples))
 
 
-def training_sample(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = 120, chars: int = 80_000, langs: int = 64) -> dict[str, str]:
-    """Labelled text of each language, of at most so many rows and characters."""
+def training_sample(labelled: DataFrame, text: str = "text", lang: str = "lang", rows: int = 120, chars: int = 80_000) -> dict[str, str]:
+    """Labelled text of each language: different whole texts in the order of their hashes, `rows` of them and `chars` characters at most.
+
+    Texts longer than `chars` come last, and a language that has no others is learned from one of them. Every language is learned."""
     own = labelled.select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")).where("text is not null and lang is not null")
-    own = own.where(F.char_length("text") <= chars).withColumn("h", F.xxhash64("text", F.lit(8)))
-    counts = own.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(langs).collect()
-    if not counts:
+    own = own.withColumn("h", F.xxhash64("text", F.lit(8)))
+    keys = own.groupBy("lang", "h").agg(F.max(F.char_length("text")).alias("n"))
+    # ranked within each task first, so that a task sends `rows` of each language at most
+    order = W.partitionBy("lang").orderBy(F.col("n") > chars, "h")
+    keys = keys.withColumn("place", F.row_number().over(order)).where(F.col("place") <= rows)
+    keys = keys.withColumn("sum", F.sum("n").over(order)).where((F.col("sum") <= chars) | (F.col("place") == 1))
+    # `rows` of each language at most
+    drawn = [(r.lang, r.h) for r in keys.select("lang", "h").collect()]
+    if not drawn:
         return {}
-    # a hash below a share of all hashes first, so that only about twice the wanted rows are ranked
-    span = 1 << 62
-    share = {r.lang: min(span, int(2 * rows / r["count"] * span)) for r in counts}
-    drawn = own.where(F.shiftrightunsigned("h", 2) < F.element_at(F.create_map(*[F.lit(x) for kv in share.items() for x in kv]), F.col("lang")))
-    keys = drawn.groupBy("lang", "h").agg(F.max(F.char_length("text")).alias("n"))
-    order = W.partitionBy("lang").orderBy("h")
-    keys = keys.withColumns({"place": F.row_number().over(order), "sum": F.sum("n").over(order)}).where((F.col("place") <= rows) & ((F.col("sum") <= chars) | (F.col("place") == 1)))
-    # at most rows x langs keys
-    some = own.join(F.broadcast(keys.select("lang", "h")), ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    side = labelled.sparkSession.createDataFrame(drawn, "lang string, h long")
+    some = own.join(F.broadcast(side) if len(drawn) <= FEW else side, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     out: dict[str, list[str]] = {}
     for r in sorted(some.collect(), key=lambda r: (r.lang, r.h)):
         out.setdefault(r.lang, []).append(letters_of(r.text).strip())

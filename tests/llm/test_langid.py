@@ -53,7 +53,6 @@ def test_sample_takes_whole_texts(spark):
     assert 800 < len(got["en"]) <= 2_000
     whole = {langid.letters_of(t).strip() for _, t, g in rows if g == "en"}
     assert all(part.strip() in {w.removeprefix("text number").strip() for w in whole} for part in got["en"].split("text number") if part.strip())
-    assert set(langid.training_sample(docs, langs=1)) == {"en"}
 
 
 def test_phrases_cross_words():
@@ -81,3 +80,16 @@ def test_result_equals_brute_force():
 def test_ties_go_by_name():
     langs, scores = langid.Parser({"b": " x y ", "a": " x y "}).predict(["x", None, "1"])
     assert langs == ["a", "und", "und"] and scores == [0.5, 0.0, 0.0]
+
+
+def test_no_language_is_lost(spark):
+    """A language of few different texts among very many rows, one of long texts only, and more languages than a hundred."""
+    from pyspark.sql import functions as F
+
+    copies = spark.range(60_000).select(F.concat(F.lit("zq xj wq kx "), (F.col("id") % 5).cast("string"), F.lit(" qqz jjx")).alias("text"), F.lit("xx").alias("lang"))
+    rows = [(f"the house and the tree number {i} of the street", "en") for i in range(300)] + [("vorba lunga " * 9000, "ro")]
+    rows += [(f"{chr(97 + i % 26)}{chr(97 + i // 26)}o " * 20, f"l{i}") for i in range(120)]
+    sample = langid.training_sample(copies.unionByName(spark.createDataFrame(rows, "text string, lang string")))
+    assert {"xx", "en", "ro"} <= set(sample) and len(sample) == 123
+    assert sample["ro"].split() == ["vorba", "lunga"] * 9000 and len(sample["en"]) <= 80_000
+    assert langid.Parser({k: sample[k] for k in ("xx", "en", "ro")}).predict(["zq xj wq kx", "the street", "lunga vorba"])[0] == ["xx", "en", "ro"]
