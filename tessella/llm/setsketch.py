@@ -238,7 +238,9 @@ class _Links:
         up_to = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - F.lit(1).cast("long")))
         members = dealt.select("bucket", up_to("chunks").alias("chunk"), block.alias("block"), F.lit(1).alias("member"), "id", "root")
         queries = dealt.where("root <> main").select("bucket", chunk.alias("chunk"), up_to("blocks").alias("block"), F.lit(0).alias("member"), "id", "root")
-        rows = members.unionByName(queries).join(self.whole(rest.select("id").distinct()), "id").select("bucket", "chunk", "block", "member", "id", "root", "set")
+        whole = self.whole(rest.select("id").distinct())
+        self.work.free()  # the texts' shuffle files, before the cells' are written
+        rows = members.unionByName(queries).join(whole, "id").select("bucket", "chunk", "block", "member", "id", "root", "set")
         rows = rows.repartition(partitions(rest.sparkSession), "bucket", "chunk", "block").sortWithinPartitions("bucket", "chunk", "block", "member")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
