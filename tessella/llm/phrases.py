@@ -116,11 +116,19 @@ def _blocks(df: DataFrame, text: str, lang: str, most: int, work: Scratch) -> Da
 
 def _frequent(counts: DataFrame, by: list[str], least: int, work: Scratch) -> tuple[DataFrame, DataFrame]:
     """From counts (by, block, n, …) of the blocks: the frequent keys (by, f, id), and the blocks' rows of those with their `id`, saved."""
-    # a row for each block that has the key; the least number of these rows is the key's id
+    # a row for each block that has the key
     own = W.partitionBy(*by)
-    rows = counts.withColumn("id", F.monotonically_increasing_id()).withColumns({"f": F.sum("n").over(own), "id": F.min("id").over(own)})
-    rows = work.save(rows.where(F.col("f") >= least))
-    return rows.groupBy(*by).agg(F.first("f").alias("f"), F.first("id").alias("id")), rows
+    if by == ["lang", "word"]:
+        # the least number of a word's rows is its id
+        rows = counts.withColumn("id", F.monotonically_increasing_id()).withColumns({"f": F.sum("n").over(own), "id": F.min("id").over(own)})
+        rows = work.save(rows.where(F.col("f") >= least))
+        return rows.groupBy(*by).agg(F.first("f").alias("f"), F.first("id").alias("id")), rows
+    # far more pairs are counted than kept, so they get no number before that
+    some = work.save(counts.withColumn("f", F.sum("n").over(own)).where(F.col("f") >= least))
+    frequent = work.save(some.groupBy(*by).agg(F.first("f").alias("f")).withColumn("id", F.monotonically_increasing_id()))
+    rows = work.save(some.join(frequent.drop("f"), by))
+    work.drop(some)
+    return frequent, rows
 
 
 def _named(rows: DataFrame) -> DataFrame:
