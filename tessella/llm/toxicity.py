@@ -226,13 +226,14 @@ def fit(texts: list[str], toxic: list[int], rounds: int = 40, rate: float = 0.4,
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, text: str = "text", toxic_rows: int = 900, clean_rows: int = 1500) -> tuple[list[str], list[int]]:
-    """About so many labelled rows of each kind at most, by a hash of doc_id. Labelled rows are those given; only their doc_ids are sent to the scan of the texts."""
+    """About so many labelled rows of each kind at most, by a hash of doc_id, and of each doc_id one: the least of its texts. Labelled rows are those given; only their doc_ids are sent to the scan of the texts."""
     one = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     count = {int(r[0] > 0): r[1] for r in one.groupBy(F.col("toxic").alias("t")).count().collect()}
     share = lambda kind, most: min(1 << 30, int(most / max(1, count.get(kind, 0)) * (1 << 30)))
     drawn = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30)) < F.when(F.col("toxic") > 0, share(1, toxic_rows)).otherwise(share(0, clean_rows))
     some = one.where(drawn)
-    rows = docs.select("doc_id", F.col(text).alias("text")).where("text is not null").join(F.broadcast(some), "doc_id").collect()
+    found = docs.select("doc_id", F.col(text).alias("text")).where("text is not null").join(F.broadcast(some), "doc_id")
+    rows = found.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")).collect()
     rows = sorted({(r.text, int(r.toxic > 0)) for r in rows})
     return [r[0] for r in rows], [r[1] for r in rows]
 

@@ -78,6 +78,12 @@ def test_only_permitted_rows_are_learned_from(spark):
     assert set(got) <= {texts[i] for i in range(0, 60, 2)} and sum(kinds) == sum(toxic[::2])
 
 
+def test_one_text_of_each_doc_id_is_learned_from(spark):
+    docs = spark.createDataFrame([(1, f"text {k:03d}") for k in range(500)] + [(2, "other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0)], "doc_id long, toxic int")
+    assert toxicity.training_sample(docs, labels) == (["other", "text 000"], [0, 1])
+
+
 def test_odd_rows(spark, odd, nothing):
     field = toxicity.fit(*corpus(120))
     got = {r.doc_id: r for r in toxicity.score(odd, field).collect()}
