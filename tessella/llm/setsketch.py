@@ -12,8 +12,9 @@ greater, less and equal, given both sizes) is lower by `DOUBT` at the threshold
 meets with a probability of about 1e-11; all others are confirmed on their whole sets. Buckets whose members are then linked
 with one another, over whatever way, are done. Of each other one, all members outside of its largest linked set are queries against
 the members of other linked sets: both are dealt into cells of bounded size, whole sets are compared within a cell, and a cell
-gives one link at most for each linked set that it joins. So no pair that is not linked already goes untried, nothing is capped, and
-what is written grows with the members, not with their pairs.
+gives one link at most for each linked set that it joins. So no pair that is not linked already goes untried and nothing is capped.
+A member is written once for each `CELL` shingles that its bucket has outside of its largest linked set: a bucket of many sets that
+share a band but aren't linked costs rows by its square over `CELL`, one whose members are mostly linked costs rows by its members.
 
 Defined results: ASCII letters count without case; with fewer words than a shingle has, the whole sequence is the shingle; a null or
 empty text, and one without words, has an empty set and is linked with nothing, not even with another one; repeated shingles
