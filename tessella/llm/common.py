@@ -53,6 +53,14 @@ class Scratch:
             path = self.spark._jvm.org.apache.hadoop.fs.Path(df._tessella_at)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
+    def keep(self, *tables: DataFrame) -> None:
+        """Deletes all tables that were saved here but these."""
+        kept = {df._tessella_at for df in tables}
+        for at in [f"{self.root}/{k + 1}" for k in range(self.n)]:
+            if at not in kept:
+                path = self.spark._jvm.org.apache.hadoop.fs.Path(at)
+                path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
     def free(self) -> None:
         """Lets Spark delete the shuffle files of jobs whose results are saved; else they stay until the driver happens to collect garbage."""
         gc.collect()

@@ -217,7 +217,9 @@ def _looked_up(parts: DataFrame, places: DataFrame, **more) -> DataFrame:
 def extract(seen: DataFrame) -> DataFrame:
     """Of rows with __row and __m: __row and `added`, the spans that patterns add, as far as there are any."""
     spark = seen.sparkSession
-    work, parts = Scratch(spark, "contexts"), segments(seen)
+    work = Scratch(spark, "contexts")
+    # every round reads them, several times
+    parts = work.save(segments(seen))
     head = lambda i: F.when(_label(i) != "", _label(i)).otherwise(F.get("c", i - 1))
     at = F.filter(_indexes(), lambda i: F.get("c", i).contains("#") & F.get("w", i).rlike(MASK))
     one = lambda i: F.struct(_kind(F.get("w", i)).alias("kind"), F.regexp_extract(F.get("w", i), f"[{CODES}]+", 0).alias("value"), patterns_at(i).alias("ps"))
@@ -257,6 +259,7 @@ def extract(seen: DataFrame) -> DataFrame:
             break
         values = scores
     if accepted is None:
+        work.keep()
         return seen.select("__row", F.array().cast(SPANS).alias("added")).limit(0)
     hits, scores = accepted
     best = hits.join(scores, ["value", "kind"]).groupBy("__row", "seg", "i").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
@@ -271,7 +274,9 @@ def extract(seen: DataFrame) -> DataFrame:
         return F.struct(x["kind"].alias("kind"), start.alias("s"), (start + F.length(_value(item["m"]))).alias("e"))
 
     spans = found.select("__row", F.explode(F.transform("xs", span)).alias("x"))
-    return work.save(spans.groupBy("__row").agg(F.sort_array(F.collect_set("x")).alias("added")))
+    added = work.save(spans.groupBy("__row").agg(F.sort_array(F.collect_set("x")).alias("added")))
+    work.keep(added)
+    return added
 
 
 def find(df: DataFrame, text: str = "text") -> DataFrame:
