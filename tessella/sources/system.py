@@ -28,11 +28,14 @@ def core_dumps(texts: DataFrame, text: str = "value") -> DataFrame:
 
 
 def journal(lines: DataFrame, line: str = "value", unit: Column | None = None) -> DataFrame:
-    """Journal entries from JSON lines: unit, message, priority and timestamp."""
+    """Journal entries from JSON lines: unit, message, priority and timestamp. A message of bytes is read as UTF-8, with marks for what isn't."""
     j = lambda name: F.get_json_object(line, f"$.{name}")
+    raw = F.from_json(j("MESSAGE"), "array<int>")
+    text = F.make_valid_utf8(F.unhex(F.array_join(F.transform(raw, lambda b: F.lpad(F.hex(b), 2, "0")), "")).cast("string"))
+    message = F.when(j("MESSAGE").rlike(r"^\[[0-9, ]*\]$") & raw.isNotNull() & F.get_json_object(line, "$.MESSAGE[0]").isNotNull(), text).otherwise(j("MESSAGE"))
     rows = lines.select(
         F.coalesce(j("_SYSTEMD_UNIT"), F.lit("unknown")).alias("unit"),
-        F.coalesce(j("MESSAGE"), F.lit("")).alias("message"),
+        F.coalesce(message, F.lit("")).alias("message"),
         F.coalesce(j("PRIORITY").try_cast("int"), F.lit(6)).alias("priority"),
         F.coalesce(j("__REALTIME_TIMESTAMP"), F.lit("")).alias("timestamp"),
     )
