@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions import chunk, embed, ignore, scalar
+from tessella.functions import chunk, embed, ignore, scalar, validate
 from tessella.operators import capacity, detect, filters, index, search, stats
 from tessella.operators.logindex import LogIndex
 from tessella.operators.phraseindex import PhraseIndex
@@ -355,6 +355,43 @@ def chunk_json_nested(t):
     return _exploded(t("events").select(F.col("event_id").alias("doc_id"), nested.alias("j")), chunk.json_chunks(F.col("j")))
 
 
+@query(
+    "WITH w AS (SELECT doc_id, regexp_extract_all(text, '[A-Za-z0-9]+') w FROM documents), l AS (SELECT doc_id, len(w) n, list_transform(CASE WHEN len(w) > 50 THEN w[1:10] ELSE w END, lambda x, i: 'words[' || (i - 1) || ']: ' || x) ls FROM w WHERE len(w) > 0) "
+    "SELECT doc_id, 0 AS chunk_index, md5(CASE WHEN n > 50 THEN 'words: [' || n || ' items]' || chr(10) ELSE '' END || array_to_string(ls, chr(10)) || CASE WHEN n > 50 THEN chr(10) || '... and ' || (n - 10) || ' more items' ELSE '' END) AS chunk_md5 FROM l"
+)
+def chunk_json_lists(t):
+    """The words of a document as a list: of more than 50 items the first ten and how many there are."""
+    listed = F.to_json(F.struct(F.expr("regexp_extract_all(text, '[A-Za-z0-9]+', 0)").alias("words")))
+    return _exploded(t("documents").select("doc_id", listed.alias("j")), chunk.json_chunks(F.col("j")))
+
+
+@query(f"SELECT event_id AS doc_id, 0 AS chunk_index, md5('{'.'.join('a' * 11)}: {{' || chr(39) || 'a' || chr(39) || ': ' || chr(39) || event_type || chr(39) || '}}') AS chunk_md5 FROM events")
+def chunk_json_deep(t):
+    """Twelve objects within one another: below ten levels the text of what is left."""
+    deep = F.concat(F.lit('{"a":' * 12 + '"'), F.col("event_type"), F.lit('"' + "}" * 12))
+    return _exploded(t("events").select(F.col("event_id").alias("doc_id"), deep.alias("j")), chunk.json_chunks(F.col("j")))
+
+
+CALL_SCHEMA = {
+    "type": "object",
+    "properties": {
+        "user": {"type": "object", "required": ["id", "name"], "properties": {"id": {"type": "integer", "minimum": 10}}},
+        "events": {"type": "array", "items": {"type": "object", "properties": {"type": {"enum": ["click", "view"]}, "value": {"type": "number", "maximum": 300}}}},
+    },
+}
+
+
+@query(
+    "SELECT event_id, array_to_string(list_filter([CASE WHEN user_id % 2 <> 0 THEN '$.user.name: required' END, CASE WHEN user_id < 10 THEN '$.user.id: below 10' END, "
+    "CASE WHEN event_type NOT IN ('click', 'view') THEN '$.events[0].type: not in enum' END, CASE WHEN value > 300 THEN '$.events[0].value: above 300' END], lambda x: x IS NOT NULL), '; ') AS errors FROM events"
+)
+def nested_schema(t):
+    """Events as nested documents against a schema."""
+    user = F.struct(F.col("user_id").alias("id"), F.expr("CASE WHEN user_id % 2 = 0 THEN event_type END").alias("name"))
+    doc = F.to_json(F.struct(user.alias("user"), F.array(F.struct(F.col("event_type").alias("type"), "value")).alias("events")))
+    return t("events").select("event_id", F.array_join(validate.json_errors(doc, CALL_SCHEMA), "; ").alias("errors"))
+
+
 @query("SELECT event_id AS doc_id, 0 AS chunk_index, md5('- ' || event_type || ':' || chr(10) || '[' || user_id || chr(10) || 'tail') AS chunk_md5 FROM events")
 def chunk_yaml(t):
     """Text that no YAML reader takes: sections by what starts a line."""
