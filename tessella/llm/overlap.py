@@ -78,7 +78,7 @@ def near_members(sizes: np.ndarray, marks: list[bytes], likeness: float = LIKENE
         for lo in range(0, len(own), step):
             some = own[lo : lo + step]
             a, b = sizes[some, None], sizes[other]
-            differ = np.bitwise_count(rows[lo : lo + step, None, :] ^ rows[None, :, :]).sum(axis=2, dtype=np.int64)
+            differ = np.bitwise_count(rows[lo : lo + len(some), None, :] ^ rows[None, :, :]).sum(axis=2, dtype=np.int64)
             near = (differ <= share * (a + b) + EPS) & (np.minimum(a, b) >= likeness * np.maximum(a, b) - EPS)
             for hits in near:
                 # the sets of all near ones become one

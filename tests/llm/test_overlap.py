@@ -93,6 +93,20 @@ def test_near_members_lose_no_link():
     assert not any(k in of for k in range(72, len(texts)))
 
 
+def test_near_members_of_two_widths():
+    """Two sets with parities of the smaller width and one of the larger are compared as they are, not as three of either."""
+    rng = np.random.default_rng(8)
+    whole = np.unique(rng.integers(0, 1 << 63, 70).astype(np.uint64))
+    sets = [whole[:60], whole[:62], whole]
+    marks = [overlap.parity(s) for s in sets]
+    assert [len(m) for m in marks] == [8, 8, 16]
+    assert [x.tolist() for x in overlap.near_members(np.array([len(s) for s in sets]), marks)] == [[0, 1, 2]]
+    # a set of the larger width doesn't lend its row to a smaller one that is far from the rest
+    other = np.unique(rng.integers(0, 1 << 63, 55).astype(np.uint64))
+    sets = [other, whole, whole[:68]]
+    assert [x.tolist() for x in overlap.near_members(np.array([len(s) for s in sets]), [overlap.parity(s) for s in sets])] == [[1, 2]]
+
+
 def test_small_sets_are_linked(spark):
     short = "stab kmpa qjdb hawm onff ukzx lmfp eani"
     docs = spark.createDataFrame([(1, short), (2, f"{short} rbtp"), (3, "stab kmpa qjdb hawm onff other words here now")], "doc_id long, text string")
