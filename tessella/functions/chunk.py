@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.functions.scalar import strip, suffix, token_count, words
+from tessella.functions.scalar import let, strip, suffix, token_count, words
 
 HEADING = r"(?m)^(#{1,6})\s+(.+)$"
 PAGE = r"\n{3,}|---\s*\n|===\s*\n|\f"
@@ -28,16 +28,20 @@ def _check(size: int, overlap: int) -> None:
 
 def _windows(w: Column, size: int, overlap: int) -> Column:
     """Windows over an array of words, the last one as long as words last."""
-    n, step = F.size(w), size - overlap
-    last = F.ceil((n - size) / float(step)).cast("int") * step
-    return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step)), lambda s: F.array_join(F.slice(w, s + 1, F.lit(size)), " "))
+    step = size - overlap
+
+    def cut(w: Column) -> Column:
+        last = F.ceil((F.size(w) - size) / float(step)).cast("int") * step
+        return F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(step)), lambda s: F.array_join(F.slice(w, s + 1, F.lit(size)), " "))
+
+    return let(w, cut)
 
 
 def fixed(text: Column, size: int = 512, overlap: int = 50) -> Column:
     """A short text whole and stripped, a longer one as windows of words."""
     _check(size, overlap)
-    w, t = words(text), strip(text)
-    return F.when(t == "", F.array().cast("array<string>")).when(F.size(w) <= size, F.array(t)).otherwise(_windows(w, size, overlap))
+    t = strip(text)
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(let(words(text), lambda w: F.when(F.size(w) <= size, F.array(t)).otherwise(_windows(w, size, overlap))))
 
 
 def _present(parts: Column) -> Column:

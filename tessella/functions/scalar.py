@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ def _c(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once; what stands in a lambda as an expression is worked out anew for each item."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def strip(text: Column | str) -> Column:
     return F.regexp_replace(_c(text), r"(?U)^\s+|\s+$", "")
 

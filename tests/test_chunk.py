@@ -19,6 +19,13 @@ def test_windows(spark):
     assert [g.split() for g in got] == [words[0:20], words[15:35], words[30:50]]
 
 
+@pytest.mark.parametrize("build", [chunk.fixed, chunk.prose, chunk.markdown])
+def test_words_are_split_once_for_all_windows(spark, build):
+    df = spark.createDataFrame([("x",)], "text string").select(build(F.col("text"), 20, 5).alias("c"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "slice(" in plan and "slice(filter(split(" not in plan
+
+
 def test_overlap_must_be_smaller(spark):
     with pytest.raises(ValueError):
         chunk.fixed(F.lit("x"), 5, 5)
