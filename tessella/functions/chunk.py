@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -152,9 +153,11 @@ def _yaml_lines(text: str) -> list[str]:
     try:
         import yaml
 
-        data = yaml.safe_load(text)
-        if isinstance(data, dict):
-            return flatten_value(data)
+        # only a mapping counts: a text whose first node (behind the starts of stream and document) is none isn't read on
+        if any(isinstance(e, yaml.MappingStartEvent) for e in islice(yaml.parse(text, yaml.SafeLoader), 2, 3)):
+            data = yaml.safe_load(text)
+            if isinstance(data, dict):
+                return flatten_value(data)
     except Exception:  # not YAML, or no reader for it: sections by what starts a line
         pass
     parts, out = [], []

@@ -26,6 +26,18 @@ def test_words_are_split_once_for_all_windows(spark, build):
     assert "slice(" in plan and "slice(filter(split(" not in plan
 
 
+def test_yaml_is_read_whole_only_if_it_is_a_mapping(monkeypatch):
+    yaml = pytest.importorskip("yaml")
+    read, load = [], yaml.safe_load
+    monkeypatch.setattr(yaml, "safe_load", lambda t: read.append(t) or load(t))
+    assert chunk._yaml_lines("- a:\n[1\ntail") == ["- a:", "[1", "tail"]
+    assert chunk._yaml_lines("just words") == ["just words"] and chunk._yaml_lines("") == [] and chunk._yaml_lines("# note") == ["# note"]
+    assert chunk._yaml_lines("!!map [a]") == ["!!map [a]"]
+    assert read == []
+    assert chunk._yaml_lines("# note\n---\na: 1\nb: [x, y]") == ["a: 1", "b[0]: x", "b[1]: y"]
+    assert chunk._yaml_lines("{a: 1}") == ["a: 1"] and chunk._yaml_lines("a: [1\nb") == ["a: [1", "b"] and len(read) == 3
+
+
 def test_overlap_must_be_smaller(spark):
     with pytest.raises(ValueError):
         chunk.fixed(F.lit("x"), 5, 5)
