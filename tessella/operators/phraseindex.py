@@ -18,6 +18,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.scalar import let
 from tessella.operators.logindex import LogIndex
 from tessella.operators.search import B, DIGITS, K1, ranked
 
@@ -43,11 +44,26 @@ def terms(text: Column) -> Column:
     return F.regexp_extract_all(folded(text), F.lit(r"([\p{L}\p{N}]+)"), F.lit(1))
 
 
+def _lists(w: Column) -> Column:
+    """Of an array of terms, {term, positions} of each different one: equal terms stand together once they are sorted."""
+    placed = F.sort_array(F.transform(w, lambda x, i: F.struct(x.alias("term"), i.alias("position"))))
+
+    def runs(s: Column) -> Column:
+        heads = F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1)["term"] != x["term"]), i)), lambda i: i.isNotNull())
+
+        def one(heads: Column) -> Column:
+            n = lambda b, k: F.coalesce(F.get(heads, k + 1), F.size(s)) - b
+            return F.transform(heads, lambda b, k: F.struct(F.get(s, b)["term"].alias("term"), F.transform(F.slice(s, b + 1, n(b, k)), lambda x: x["position"]).alias("positions")))
+
+        return let(heads, one)
+
+    return let(placed, runs)
+
+
 def positional(docs: DataFrame, id_: str = "id", text: str = "text") -> DataFrame:
-    """(term, id, n_tokens, positions) of documents, positions from 0 and ascending."""
+    """(term, id, n_tokens, positions) of documents, positions from 0 and ascending. A document's lists are made where its text is read, without a shuffle."""
     words = docs.select(F.col(id_).alias("id"), terms(F.col(text)).alias("w"))
-    flat = words.select("id", F.size("w").alias("n_tokens"), F.posexplode("w").alias("position", "term"))
-    return flat.groupBy("term", "id", "n_tokens").agg(F.sort_array(F.collect_list("position")).alias("positions"))
+    return words.select("id", F.size("w").alias("n_tokens"), F.inline(_lists(F.col("w")))).select("term", "id", "n_tokens", "positions")
 
 
 class PhraseIndex:

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella.operators import search
-from tessella.operators.phraseindex import PhraseIndex, folded
+from tessella.operators.phraseindex import PhraseIndex, folded, positional
 
 
 @pytest.fixture
@@ -65,3 +65,10 @@ def test_hybrid_search_over_the_index(spark, index):
     index.add(d)
     a, b = (search.hybrid_search(d, v, "python database", [0.9, 0.1], **more).select("id", "score", "result_rank").collect() for more in ({}, {"index": index}))
     assert a == b and len(a) == 3
+
+
+def test_lists_of_positions_need_no_shuffle(spark):
+    df = positional(docs(spark, (1, "b a b  B, c"), (2, ""), (3, None), (4, "x")))
+    assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    rows = sorted((r.id, r.term, r.n_tokens, r.positions) for r in df.collect())
+    assert rows == [(1, "a", 5, [1]), (1, "b", 5, [0, 2, 3]), (1, "c", 5, [4]), (4, "x", 1, [0])]
