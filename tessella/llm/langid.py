@@ -41,8 +41,12 @@ def letters_of(text: str) -> str:
     return f" {' '.join(words)} " if words else ""
 
 
-def suffix_automaton(text: str) -> list[dict[str, int]]:
-    """Transitions of the automaton that accepts the substrings of a text; state 0 is the start."""
+#: A state of an automaton: the states that characters lead to.
+State = dict[str, "State"]
+
+
+def suffix_automaton(text: str) -> State:
+    """The start of the automaton that accepts the substrings of a text."""
     step: list[dict[str, int]] = [{}]
     link, length, last = [-1], [0], 0
     for c in text:
@@ -68,12 +72,16 @@ def suffix_automaton(text: str) -> list[dict[str, int]]:
                     p = link[p]
                 link[q] = link[cur] = twin
         last = cur
-    return step
+    # states in place of their numbers, which spares parsing a look-up for each character
+    for state in step:
+        for c, to in state.items():
+            state[c] = step[to]
+    return step[0]
 
 
-def phrases(text: str, step: list[dict[str, int]]) -> int:
+def phrases(text: str, root: State) -> int:
     """Longest matches, one after another, that a text takes; a letter that never occurs is a phrase of its own."""
-    n, at = 0, (root := step[0])
+    n, at = 0, root
     for c in text:
         to = at.get(c)
         if to is None:
@@ -81,16 +89,15 @@ def phrases(text: str, step: list[dict[str, int]]) -> int:
             to = root.get(c)
             if to is None:
                 n += 1
-                at = root
-                continue
-        at = step[to]
+                to = root
+        at = to
     return n + (at is not root)
 
 
 class Parser:
     def __init__(self, samples: dict[str, str]) -> None:
         self.langs = sorted(samples)
-        self.steps = [suffix_automaton(samples[x]) for x in self.langs]
+        self.roots = [suffix_automaton(samples[x]) for x in self.langs]
         self.bits = np.array([np.log2(2 + len(samples[x])) for x in self.langs])
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -101,7 +108,7 @@ class Parser:
                 langs.append("und")
                 scores.append(0.0)
                 continue
-            cost = np.array([phrases(own, s) for s in self.steps]) * self.bits
+            cost = np.array([phrases(own, r) for r in self.roots]) * self.bits
             order = np.argsort(cost, kind="stable")
             best = float(cost[order[0]])
             other = float(cost[order[1]]) if len(order) > 1 else 0.0

@@ -93,3 +93,11 @@ def test_no_language_is_lost(spark):
     assert {"xx", "en", "ro"} <= set(sample) and len(sample) == 123
     assert sample["ro"].split() == ["vorba", "lunga"] * 9000 and len(sample["en"]) <= 80_000
     assert langid.Parser({k: sample[k] for k in ("xx", "en", "ro")}).predict(["zq xj wq kx", "the street", "lunga vorba"])[0] == ["xx", "en", "ro"]
+
+
+def test_states_lead_to_states():
+    """Parsing goes from state to state without a table of numbers in between."""
+    root = at = langid.suffix_automaton(" abc abd ")
+    for c in " ab":
+        at = at[c]
+    assert set(at) == {"c", "d"} and set(root) == set(" abcd")
