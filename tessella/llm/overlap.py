@@ -10,6 +10,10 @@ is the parity of its shingles. Two parities differ only where an odd number of t
 falls, so they differ in no more bits than the sets in shingles, and sets that are alike enough differ in few. Within what is left of a
 list, sets are compared by counting shared shingles, and texts already linked are not compared again.
 
+The byte-position index of `tessella.llm.simhash` comes first: pairs that it links by fingerprints of the same shingles are confirmed on
+their whole sets, and these links are kept. It vouches for two bits only, and alike sets may differ in more, so the join above is the
+exact way for the rest: it compares the lists that hold sets which the index hasn't brought together.
+
 Defined results: ASCII letters count without case; a text without words has one shingle of its own, so that all such
 texts are alike; with fewer words than a shingle has, the whole sequence is the shingle; repeated shingles count once.
 """
@@ -26,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.llm.common import Scratch, partitions, row_key, text_or_empty
-from tessella.llm.simhash import LOWER, components
+from tessella.llm.simhash import LOWER, components, fingerprint_links, majority
 
 #: Words of a shingle, and the least Jaccard index of a link.
 SHINGLE, LIKENESS = 5, 0.8
@@ -42,12 +46,17 @@ AT_ONCE = 1 << 20
 EPS = 1e-9
 
 
-def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
-    """The set of hashed shingles of a text, ascending."""
+def hashed(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """The hashes of a text's shingles, repeats included."""
     words = text.encode().translate(LOWER).split()
     h = xxhash.xxh3_64_digest
     each = b"".join([h(b" ".join(words[i : i + shingle]), 42) for i in range(max(1, len(words) - shingle + 1))])
-    return np.unique(np.frombuffer(each, dtype=np.uint64))
+    return np.frombuffer(each, dtype=np.uint64)
+
+
+def shingles(text: str, shingle: int = SHINGLE) -> np.ndarray:
+    """The set of hashed shingles of a text, ascending."""
+    return np.unique(hashed(text, shingle))
 
 
 def parity(own: np.ndarray) -> bytes:
@@ -162,6 +171,43 @@ def _frequent(texts: DataFrame, n: int, shingle: int) -> tuple[np.ndarray, np.nd
     return x[order], c[order]
 
 
+def indexed_pairs(firsts: DataFrame, work: Scratch, likeness: float) -> DataFrame:
+    """Pairs of sets (row_a, key_a, size_a, row_b, key_b, size_b) that the byte-position index links and sizes allow, a few for each set, saved."""
+    own = firsts.select("fp", F.struct(F.col("first.row").alias("row"), "key", "size").alias("set"))
+    # sets with one fingerprint meet the least of them, and that meets those of fingerprints near by
+    heads = work.save(own.groupBy("fp").agg(F.min_by("set", "set.key").alias("head")))
+    same = own.join(heads, "fp").where("set.key <> head.key").select(F.col("set").alias("a"), F.col("head").alias("b"))
+    near = fingerprint_links(heads.select("fp"))
+    for side in ("a", "b"):
+        near = near.join(heads.select(F.col("fp").alias(side), F.col("head").alias(f"head_{side}")), side)
+    both = same.unionByName(near.select(F.col("head_a").alias("a"), F.col("head_b").alias("b")))
+    both = both.select(*[F.col(f"{side}.{c}").alias(f"{c}_{side}") for side in ("a", "b") for c in ("row", "key", "size")])
+    out = work.save(both.where(F.least("size_a", "size_b") >= likeness * F.greatest("size_a", "size_b") - EPS))
+    work.drop(heads)
+    return out
+
+
+def confirmed(pairs: DataFrame, texts: DataFrame, shingle: int, likeness: float) -> DataFrame:
+    """Links (a, b) between keys, of pairs as from `indexed_pairs`, by their whole sets."""
+    for side in ("a", "b"):
+        pairs = pairs.join(texts.select(F.col("row").alias(f"row_{side}"), F.col("text").alias(f"text_{side}")), f"row_{side}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # pairs with the same second text mostly follow one another
+        before, other = None, None
+        for batch in batches:
+            ok = []
+            for x, y, total in zip(*(batch[c].to_pylist() for c in ("text_a", "text_b", "total")), strict=True):
+                if y != before:
+                    before, other = y, shingles(y, shingle)
+                both = len(np.intersect1d(shingles(x, shingle), other, assume_unique=True))
+                ok.append(both >= likeness * (total - both) - EPS)
+            yield batch.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    both = pairs.select(F.col("key_a").alias("a"), F.col("key_b").alias("b"), (F.col("size_a") + F.col("size_b")).alias("total"), "text_a", "text_b")
+    return both.mapInArrow(run, "a binary, b binary")
+
+
 def links(marks: DataFrame, texts: DataFrame, firsts: DataFrame, work: Scratch, shingle: int, likeness: float) -> DataFrame:
     """Links (a, b) between keys of alike sets; they span the linked sets."""
     spark = marks.sparkSession
@@ -218,11 +264,18 @@ def links(marks: DataFrame, texts: DataFrame, firsts: DataFrame, work: Scratch,
     near = work.save(dealt.mapInArrow(prune, "unit long, short long").distinct())
     work.drop(found)
     work.free()
-    near_rows = work.save(near.join(firsts.select("short", F.col("first.row").alias("row")), "short").select("unit", "row"))
+    near_rows = work.save(near.join(firsts.select("short", "key", F.col("first.row").alias("row")), "short").select("unit", "row", "key"))
     work.drop(near)
-    needed = work.save(texts.join(near_rows.select("row").distinct(), "row", "left_semi").select("row", "text").dropDuplicates(["row"]))
+    pairs = indexed_pairs(firsts, work, likeness)
+    rows_ = near_rows.select("row").unionByName(pairs.select(F.explode(F.array("row_a", "row_b")).alias("row"))).distinct()
+    needed = work.save(texts.join(rows_, "row", "left_semi").select("row", "text").dropDuplicates(["row"]))
+    work.free()
+    first = work.save(confirmed(pairs, needed, shingle, likeness))
+    work.drop(pairs)
+    open_ = unlinked(near_rows, components(first), work)
+    work.drop(near_rows)
     work.free()
-    dealt = near_rows.join(needed, "row").select("unit", "text").repartition(partitions(spark), "unit").sortWithinPartitions("unit")
+    dealt = open_.join(needed, "row").select("unit", "text").repartition(partitions(spark), "unit").sortWithinPartitions("unit")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, keys, sets = None, [], []
@@ -241,35 +294,46 @@ def links(marks: DataFrame, texts: DataFrame, firsts: DataFrame, work: Scratch,
                 keys.append(xxhash.xxh3_128_digest(sets[-1].tobytes()))
         yield out()
 
-    done = work.save(dealt.mapInArrow(compare, "a binary, b binary").distinct())
-    work.drop(needed, near_rows)
+    done = work.save(dealt.mapInArrow(compare, "a binary, b binary").unionByName(first).distinct())
+    work.drop(needed, open_, first)
     work.free()
     return done
 
 
+def unlinked(rows: DataFrame, roots: DataFrame, work: Scratch) -> DataFrame:
+    """rows (unit, row, key) of units that hold more than one linked set, saved."""
+    own = work.save(rows.join(roots, F.col("key") == F.col("node"), "left").select("unit", "row", F.coalesce("root", "key").alias("root")))
+    several = own.groupBy("unit").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("unit")
+    out = work.save(own.join(work.save(several), "unit").select("unit", "row"))
+    work.drop(own)
+    return out
+
+
 def one_of_each_group(df: DataFrame, text: str = "text", shingle: int = SHINGLE, likeness: float = LIKENESS) -> DataFrame:
     """Of each group that links of at least this likeness connect, the row of the smallest doc_id (of equal ones one, by a hash of the text)."""
     work = Scratch(df.sparkSession, "overlap")
     texts = df.select("doc_id", row_key(text).alias("row"), F.xxhash64(text_or_empty(text)).alias("of"), text_or_empty(text).alias("text"))
     frequent, counts = _frequent(texts, df.count(), shingle)
     kept = texts.select("doc_id", "row", "text")
-    schema = kept.select("doc_id", "row").schema.add("key", "binary").add("short", "long").add("size", "integer").add("parity", "binary").add("prefix", T.ArrayType(T.LongType()))
+    schema = kept.select("doc_id", "row").schema.add("key", "binary").add("short", "long").add("size", "integer").add("parity", "binary").add("prefix", T.ArrayType(T.LongType())).add("fp", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, size, parities, first = [], [], [], []
+            key, size, parities, first, fps = [], [], [], [], []
             for x in batch.column(2):
-                own = shingles(x.as_py(), shingle)
+                each = hashed(x.as_py(), shingle)
+                own = np.unique(each)
+                fps.append(majority(each))
                 key.append(xxhash.xxh3_128_digest(own.tobytes()))
                 size.append(len(own))
                 parities.append(parity(own))
                 first.append(prefix(own, frequent, counts, likeness).view(np.int64))
             short = np.frombuffer(b"".join(key), dtype=np.int64)[::2]
-            columns = [pa.array(key, pa.binary()), pa.array(short), pa.array(size, pa.int32()), pa.array(parities, pa.binary()), pa.array(first, pa.list_(pa.int64()))]
+            columns = [pa.array(key, pa.binary()), pa.array(short), pa.array(size, pa.int32()), pa.array(parities, pa.binary()), pa.array(first, pa.list_(pa.int64())), pa.array(np.array(fps, dtype=np.uint64).view(np.int64))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=schema.names)
 
     marks = work.save(kept.mapInArrow(run, schema))
-    firsts = work.save(marks.groupBy("key", "short", "size", "parity").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("first")))
+    firsts = work.save(marks.groupBy("key", "short", "size", "parity").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")).alias("first"), F.min("fp").alias("fp")))
     found = links(marks, texts, firsts, work, shingle, likeness)
     work.drop(marks)
     roots = components(found)

@@ -34,6 +34,13 @@ from tessella.llm.common import Scratch, partitions, row_key, table, text_or_emp
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
+def majority(each: np.ndarray) -> int:
+    """The number whose bits most of some hashes (big-endian) have."""
+    bits = np.unpackbits(each.view(np.uint8).reshape(-1, 8), axis=1)
+    ones = bits.sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * ones > len(each)).tobytes(), "big")
+
+
 def fingerprint(text: str, shingle: int = 3) -> int:
     """The SimHash of a text, as an unsigned number."""
     words = text.encode().translate(LOWER).split()
@@ -46,9 +53,7 @@ def fingerprint(text: str, shingle: int = 3) -> int:
         each = [h(b"%b %b %b" % x, 42) for x in zip(words, words[1:], words[2:])]
     else:
         each = [h(b" ".join(words[i : i + shingle]), 42) for i in range(len(words) - shingle + 1)]
-    bits = np.unpackbits(np.array(each, dtype=">u8").view(np.uint8).reshape(-1, 8), axis=1)
-    ones = bits.sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > len(each)).tobytes(), "big")
+    return majority(np.array(each, dtype=">u8"))
 
 
 def fingerprints(df: DataFrame, text: str = "text", shingle: int = 3) -> DataFrame:
@@ -205,9 +210,9 @@ def near_duplicates(df: DataFrame, text: str = "text", shingle: int = 3) -> Data
 def one_of_each_group(df: DataFrame, text: str = "text", shingle: int = 3, likeness: float | None = None) -> DataFrame:
     """Of each component of near-duplicates, the row of the smallest doc_id (of equal ones one, by a hash of the text).
 
-    Links are those of `near_duplicates`, or with `likeness` a Jaccard index of shingles of at least that much: such texts
-    differ in more bits than positional bytes can vouch for, so `tessella.llm.overlap` finds them by the shingles themselves
-    and uses fingerprints only to tell apart texts that share a passage."""
+    Links are those of `near_duplicates`, or with `likeness` a Jaccard index of shingles of at least that much. In
+    `tessella.llm.overlap` the byte-position index then proposes links, which whole sets confirm; such texts may differ in more bits
+    than positional bytes can vouch for, so the shingles themselves give those that are left."""
     if likeness is not None:
         from tessella.llm import overlap
 

@@ -135,3 +135,31 @@ def test_odd_rows(spark, odd, nothing):
     assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, 1, 3, 6, 7, 8]
     assert overlap.one_of_each_group(nothing).count() == 0
     assert overlap.one_of_each_group(odd.withColumn("text", F.lit(None).cast("string"))).count() == 1
+
+
+def test_index_gives_links_and_whole_sets_confirm_them(spark, monkeypatch):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    one = rng.choices(words, k=600)
+    passage = rng.choices(words, k=7)
+    # 0 and 1 differ in a word; 2 and 3 repeat a passage, so that their fingerprints are the same, but not their sets
+    texts = [" ".join(one), " ".join([*one[:-1], "other"]), *(" ".join(passage * 300 + rng.choices(words, k=20)) for _ in range(2))]
+    counts = {}
+
+    def counted(name):
+        own = getattr(overlap, name)
+
+        def run(*args):
+            out = own(*args)
+            counts[name] = out.count()
+            return out
+
+        monkeypatch.setattr(overlap, name, run)
+
+    for name in ("indexed_pairs", "confirmed", "unlinked"):
+        counted(name)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = overlap.one_of_each_group(docs)
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 2, 3]
+    # the index has both pairs, whole sets confirm one, and what the index has linked is not compared again
+    assert counts == {"indexed_pairs": 2, "confirmed": 1, "unlinked": 0}
