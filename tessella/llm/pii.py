@@ -167,13 +167,19 @@ def base_spans(kind: str) -> Column:
 
 
 def segments(seen: DataFrame) -> DataFrame:
-    """Of rows with __row and __m: __row, seg, at (where the segment begins), part (its text), w (its words) and c (these as contexts: lower-cased, seeds as #)."""
+    """Of rows with __row and __m: __row, seg, at (where the segment begins), part (its text), c (its words as contexts: lower-cased, seeds as #) and w (its words, null where that is the same)."""
     parts = F.regexp_extract_all("__m", F.lit(rf"(?s)(.{{1,{SEGMENT}}}[^\x20\x09-\x0D]*+)"), F.lit(1))
     whole = F.when(F.length("__m") <= SEGMENT, F.array("__m")).otherwise(parts)
     cut_ = seen.where("__m <> ''").select("__row", whole.alias("__s")).select("__row", "__s", F.posexplode("__s").alias("seg", "part"))
     at = F.aggregate(F.slice("__s", F.lit(1), F.col("seg")), F.lit(0), lambda a, x: a + F.length(x))
     words = lambda t: F.regexp_extract_all(t, F.lit(f"({ITEM})"), F.lit(1))
-    return cut_.select("__row", "seg", at.alias("at"), "part", words(F.col("part")).alias("w"), words(F.lower(F.regexp_replace("part", f"{MASK}++", "#"))).alias("c"))
+    out = cut_.select("__row", "seg", at.alias("at"), "part", words(F.col("part")).alias("w"), words(F.lower(F.regexp_replace("part", f"{MASK}++", "#"))).alias("c"))
+    return out.withColumn("w", F.zip_with("w", "c", lambda w, c: F.nullif(w, c)))
+
+
+def _word(i: Column) -> Column:
+    """Word i of a segment as it is written."""
+    return F.coalesce(F.get("w", i), F.get("c", i))
 
 
 def _indexes() -> Column:
@@ -218,19 +224,19 @@ def extract(seen: DataFrame) -> DataFrame:
     """Of rows with __row and __m: __row and `added`, the spans that patterns add, as far as there are any."""
     spark = seen.sparkSession
     work = Scratch(spark, "contexts")
-    # every round reads them, several times
-    parts = work.save(segments(seen))
+    # every round reads them, several times; the text itself is read again at the end only, and then from `seen`
+    parts = work.save(segments(seen).withColumn("seeds", F.col("part").rlike(MASK)).drop("part", "at"))
     head = lambda i: F.when(_label(i) != "", _label(i)).otherwise(F.get("c", i - 1))
-    at = F.filter(_indexes(), lambda i: F.get("c", i).contains("#") & F.get("w", i).rlike(MASK))
-    one = lambda i: F.struct(_kind(F.get("w", i)).alias("kind"), F.regexp_extract(F.get("w", i), f"[{CODES}]+", 0).alias("value"), patterns_at(i).alias("ps"))
-    found = parts.where(F.col("part").rlike(MASK)).select(F.explode(F.transform(at, one)).alias("x")).select("x.kind", "x.value", F.explode("x.ps").alias("pattern"))
+    at = F.filter(_indexes(), lambda i: F.get("c", i).contains("#") & _word(i).rlike(MASK))
+    one = lambda i: F.struct(_kind(_word(i)).alias("kind"), F.regexp_extract(_word(i), f"[{CODES}]+", 0).alias("value"), patterns_at(i).alias("ps"))
+    found = parts.where("seeds").select(F.explode(F.transform(at, one)).alias("x")).select("x.kind", "x.value", F.explode("x.ps").alias("pattern"))
     seeds = found.where("pattern is not null").groupBy("pattern", "kind").agg(F.count("*").cast("double").alias("mass"), F.countDistinct("value").alias("support"))
     seeds = work.save(seeds)
     known, values, accepted = spark.range(0).select(F.lit("").alias("pattern"), F.col("id").alias("n")), None, None
     for k in range(ROUNDS):
         mass = seeds
         if values is not None:
-            candidates = F.transform(F.filter(_indexes(), lambda i: _plain(F.get("w", i))), lambda i: F.struct(i.alias("i"), _value(F.get("w", i)).alias("value")))
+            candidates = F.transform(F.filter(_indexes(), lambda i: _plain(_word(i))), lambda i: F.struct(i.alias("i"), _value(_word(i)).alias("value")))
             places = parts.select("__row", "seg", F.explode(candidates).alias("x")).select("__row", "seg", "x.*").join(values, "value")
             edges = _looked_up(parts, places, ps=patterns_at).select("value", "kind", "score", F.explode("ps").alias("pattern")).where("pattern is not null")
             mass = mass.unionByName(edges.groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.countDistinct("value").alias("support")))
@@ -246,10 +252,10 @@ def extract(seen: DataFrame) -> DataFrame:
         sure = work.save(sure)
         if sure.isEmpty():
             break
-        around = F.transform(F.filter(_indexes(), lambda i: _plain(F.get("w", i))), lambda i: F.struct(i.alias("i"), patterns_at(i).alias("ps")))
+        around = F.transform(F.filter(_indexes(), lambda i: _plain(_word(i))), lambda i: F.struct(i.alias("i"), patterns_at(i).alias("ps")))
         hits = parts.select("__row", "seg", F.explode(around).alias("x")).select("__row", "seg", "x.i", F.explode("x.ps").alias("pattern")).join(sure, "pattern")
         hits = hits.groupBy("__row", "seg", "i", "kind").agg(F.max("confidence").alias("confidence"))
-        hits = work.save(_looked_up(parts, hits, value=lambda i: _value(F.get("w", i)), head=head).where("value <> ''"))
+        hits = work.save(_looked_up(parts, hits, value=lambda i: _value(_word(i)), head=head).where("value <> ''"))
         doubt = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9))))
         scores = hits.groupBy("value", "kind", "head").agg(F.max("confidence").alias("confidence")).groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score"))
         enough = F.when(F.col("value").rlike(MARK), CONFIDENT).otherwise(PLAIN)
@@ -264,7 +270,8 @@ def extract(seen: DataFrame) -> DataFrame:
     hits, scores = accepted
     best = hits.join(scores, ["value", "kind"]).groupBy("__row", "seg", "i").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
     # places are counted only in the segments that hold a span
-    found = parts.select("__row", "seg", "at", "part").join(best.groupBy("__row", "seg").agg(F.collect_set(F.struct("i", "kind")).alias("xs")), ["__row", "seg"])
+    lists = work.save(best.groupBy("__row", "seg").agg(F.collect_set(F.struct("i", "kind")).alias("xs")))
+    found = segments(seen.join(lists.select("__row").distinct(), "__row", "left_semi")).select("__row", "seg", "at", "part").join(lists, ["__row", "seg"])
     found = found.withColumn("__cut", cut(F.col("part"), ITEM)).withColumn("__items", matches("__cut"))
 
     def span(x: Column) -> Column:

@@ -162,3 +162,12 @@ def test_many_spans_in_one_text(spark):
     began = time.time()
     row = pii.redact(spark.createDataFrame([(1, big)], "doc_id long, text string")).first()
     assert row.text == " ".join([f"{'é' * 90} [EMAIL]"] * 100_000) and time.time() - began < 120
+
+
+def test_segments_hold_a_text_once(spark):
+    """Words are kept beside their lower-cased form only where they differ from it."""
+    rows = [(1, "plain words stay as they are, Names don't; mail ann@x.org or call 030 1234 5678.")]
+    seen = pii.with_base_spans(spark.createDataFrame(rows, "doc_id long, text string")).withColumn("__row", F.lit(b"1"))
+    got = pii.segments(seen).select("w", "c", F.transform(pii._indexes(), pii._word).alias("words")).first()
+    assert [w for w in got.w if w is not None] == [w for w, c in zip(got.words, got.c, strict=True) if w != c] and len([w for w in got.w if w]) == 2
+    assert got.words[0] == "plain" and got.words[6] == "Names" and "#" in got.c[9]
