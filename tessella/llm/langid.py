@@ -33,6 +33,8 @@ LETTERS = re.compile(r"[^\W\d_]+")
 
 #: Drawn texts whose keys are broadcast; more are joined as Spark sees fit.
 FEW = 100_000
+#: Letters after which languages are compared while a text is parsed.
+STEP = 256
 
 
 def letters_of(text: str) -> str:
@@ -79,9 +81,9 @@ def suffix_automaton(text: str) -> State:
     return step[0]
 
 
-def phrases(text: str, root: State) -> int:
-    """Longest matches, one after another, that a text takes; a letter that never occurs is a phrase of its own."""
-    n, at = 0, root
+def walk(text: str, at: State, root: State) -> tuple[int, State]:
+    """From a state on: how many phrases end in a text before its last one does, and the state behind it; a letter that never occurs is a phrase of its own."""
+    n = 0
     for c in text:
         to = at.get(c)
         if to is None:
@@ -91,6 +93,12 @@ def phrases(text: str, root: State) -> int:
                 n += 1
                 to = root
         at = to
+    return n, at
+
+
+def phrases(text: str, root: State) -> int:
+    """Longest matches, one after another, that a text takes."""
+    n, at = walk(text, root, root)
     return n + (at is not root)
 
 
@@ -100,20 +108,43 @@ class Parser:
         self.roots = [suffix_automaton(samples[x]) for x in self.langs]
         self.bits = np.array([np.log2(2 + len(samples[x])) for x in self.langs])
 
+    def costs(self, texts: list[str]) -> np.ndarray:
+        """What each text (row) costs each language. The two least are exact; a language is left once it costs more than two others."""
+        out = np.zeros((len(texts), len(self.langs)))
+        # one language after another, so that what is read of its automaton stays at hand
+        begun = [[walk(t[:STEP], root, root) for t in texts] for root in self.roots]
+        first = np.array([[n for n, _ in x] for x in begun], dtype=float).reshape(len(self.langs), -1).T * self.bits
+        hopeful = np.zeros(out.shape, dtype=bool)
+        np.put_along_axis(hopeful, np.argsort(first, axis=1, kind="stable")[:, :2], True, axis=1)
+        for k, root in enumerate(self.roots):
+            for i in np.flatnonzero(hopeful[:, k]):
+                n, at = begun[k][i]
+                more, at = walk(texts[i][STEP:], at, root)
+                out[i, k] = (n + more + (at is not root)) * self.bits[k]
+        most = out.max(axis=1, initial=0)
+        for k, root in enumerate(self.roots):
+            for i in np.flatnonzero(~hopeful[:, k]):
+                n, at = begun[k][i]
+                for lo in range(STEP, len(texts[i]), STEP):
+                    if n * self.bits[k] > most[i]:
+                        break
+                    more, at = walk(texts[i][lo : lo + STEP], at, root)
+                    n += more
+                out[i, k] = (n + (at is not root)) * self.bits[k]
+        return out
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        langs, scores = [], []
-        for t in texts:
-            own = letters_of(t) if t and self.langs else ""
-            if not own:
-                langs.append("und")
-                scores.append(0.0)
-                continue
-            cost = np.array([phrases(own, r) for r in self.roots]) * self.bits
+        langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+        own = [letters_of(t) if t and self.langs else "" for t in texts]
+        read = [i for i, t in enumerate(own) if t]
+        if not read:
+            return langs, scores
+        for i, cost in zip(read, self.costs([own[i] for i in read]), strict=True):
             order = np.argsort(cost, kind="stable")
             best = float(cost[order[0]])
             other = float(cost[order[1]]) if len(order) > 1 else 0.0
-            langs.append(self.langs[order[0]])
-            scores.append(other / (best + other) if other else 1.0)
+            langs[i] = self.langs[order[0]]
+            scores[i] = other / (best + other) if other else 1.0
         return langs, scores
 
 

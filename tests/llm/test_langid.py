@@ -101,3 +101,18 @@ def test_states_lead_to_states():
     for c in " ab":
         at = at[c]
     assert set(at) == {"c", "d"} and set(root) == set(" abcd")
+
+
+def test_hopeless_languages_are_left(monkeypatch):
+    rng = random.Random(8)
+    alphabets = ["abcdefg ", "fghijkl ", "klmnopq ", "pqrstuv ", "abcdefghijklmnopqrstuv "]
+    samples = {f"l{k}": f" {''.join(rng.choices(a, k=2000))} " for k, a in enumerate(alphabets)}
+    parser = langid.Parser(samples)
+    texts = [langid.letters_of("".join(rng.choices(alphabets[k % 5] + alphabets[(k + 1) % 5], k=rng.choice([3, 250, 260, 3000])))) or " a " for k in range(60)]
+    want = np.array([[langid.phrases(t, r) for r in parser.roots] for t in texts]) * parser.bits
+    read, walk = [], langid.walk
+    monkeypatch.setattr(langid, "walk", lambda t, *a: read.append(len(t)) or walk(t, *a))
+    got = parser.costs(texts)
+    assert np.array_equal(np.sort(got, axis=1)[:, :2], np.sort(want, axis=1)[:, :2]) and (got <= want).all()
+    assert np.array_equal(got.argmin(axis=1), want.argmin(axis=1))
+    assert sum(read) < 0.95 * 5 * sum(map(len, texts))
