@@ -122,13 +122,13 @@ def _frequent(counts: DataFrame, by: list[str], least: int, work: Scratch) -> tu
         # the least number of a word's rows is its id
         rows = counts.withColumn("id", F.monotonically_increasing_id()).withColumns({"f": F.sum("n").over(own), "id": F.min("id").over(own)})
         rows = work.save(rows.where(F.col("f") >= least))
+        work.free()
         return rows.groupBy(*by).agg(F.first("f").alias("f"), F.first("id").alias("id")), rows
-    # far more pairs are counted than kept, so they get no number before that
-    some = work.save(counts.withColumn("f", F.sum("n").over(own)).where(F.col("f") >= least))
-    frequent = work.save(some.groupBy(*by).agg(F.first("f").alias("f")).withColumn("id", F.monotonically_increasing_id()))
-    rows = work.save(some.join(frequent.drop("f"), by))
-    work.drop(some)
-    return frequent, rows
+    # far more pairs are counted than kept, so they get no number before that; rows of a pair are together already and need no join
+    some = counts.withColumn("f", F.sum("n").over(own)).where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id())
+    rows = work.save(some.withColumn("id", F.min("id").over(own)))
+    work.free()
+    return work.save(rows.groupBy(*by).agg(F.first("f").alias("f"), F.first("id").alias("id"))), rows
 
 
 def _named(rows: DataFrame) -> DataFrame:
@@ -227,6 +227,7 @@ def frequent_phrases(df: DataFrame, text: str = "text", lang: str = "lang", leas
     level = words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f", "id")
     found, totals = level, work.save(totals)
     work.drop(blocks, rows)
+    work.free()
     last = words.select(F.col("id").alias("w_"), "word")
     for k in range(1, longest):
         more, rows = _frequent(_counts(state, k), ["p", "w"], least, work)

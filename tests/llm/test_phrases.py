@@ -88,3 +88,14 @@ def test_lists_and_joins():
     assert ids.tolist() == [5, 4, 5] and at.tolist() == [2, 7, 9]
     assert [x.tolist() for x in phrases.meet(np.array([1, 4, 6]), np.array([0, 4, 5, 6]))] == [[1, 2], [1, 3]]
     assert phrases.meet(np.array([1]), np.array([], dtype=np.int64))[0].tolist() == []
+
+
+def test_pairs_are_numbered_without_a_join(spark, monkeypatch):
+    plans, save = [], phrases.Scratch.save
+    monkeypatch.setattr(phrases.Scratch, "save", lambda self, df: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or save(self, df))
+    counts = spark.createDataFrame([(p, w, b, 30) for p in range(3) for w in range(4) for b in range(p + w)], "p long, w long, block long, n long")
+    frequent, rows = phrases._frequent(counts, ["p", "w"], 100, phrases.Scratch(spark, "pairs"))
+    ids = {(r.p, r.w): (r.f, r.id) for r in frequent.collect()}
+    assert {k: v[0] for k, v in ids.items()} == {(p, w): 30 * (p + w) for p in range(3) for w in range(4) if p + w > 3}
+    assert len({v[1] for v in ids.values()}) == len(ids) and all(ids[r.p, r.w][1] == r.id for r in rows.collect()) and rows.count() == sum(p + w for p, w in ids)
+    assert plans and not any("Join" in p for p in plans)
