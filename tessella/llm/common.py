@@ -76,6 +76,20 @@ def row_key(text: str = "text") -> Column:
     return F.unhex(F.md5(F.concat_ws("\0", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), text_or_empty(text))))
 
 
+#: Bits of the filter that tells, before a shuffle, which rows a join needs.
+FILTER = 1 << 25
+
+
+def may_have(df: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows of df whose key is in wanted (one column), and a few others: as large a share as wanted has of `FILTER`. Broadcasts `FILTER` bits at most, whatever the input."""
+    slot = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER)) + 1
+    own = wanted.select(slot(wanted.columns[0]).alias("slot__"))
+    bits = own.groupBy(F.bitmap_bucket_number("slot__").alias("bucket__")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("slot__")).alias("bits__"))
+    some = df.withColumn("slot__", slot(key)).join(F.broadcast(bits), F.bitmap_bucket_number("slot__") == F.col("bucket__"))
+    some = some.where("(cast(conv(hex(substring(bits__, cast(bitmap_bit_position(slot__) div 8 as int) + 1, 1)), 16, 10) as int) & shiftleft(1, cast(bitmap_bit_position(slot__) % 8 as int))) <> 0")
+    return some.select(*df.columns)
+
+
 def literal_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
     """A small table from the driver's values, without Python workers: its rows stand in the plan as one JSON text."""
     names = [x.split()[0] for x in schema.split(", ")]

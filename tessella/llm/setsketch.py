@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import Scratch, partitions, row_key, table, text_or_empty
+from tessella.llm.common import Scratch, may_have, partitions, row_key, table, text_or_empty
 from tessella.llm.simhash import LOWER, components
 
 #: Words of a shingle, and the least Jaccard index of a link in percent.
@@ -203,7 +203,9 @@ class _Links:
         shingle = self.shingle
         self.work.free()
         rows = self.work.save(self.sets.join(ids, "id").select("id", F.col("row").alias("row_")))
-        own = self.texts.join(rows, F.col("row") == F.col("row_")).select("id", "text").dropDuplicates(["id"])
+        # few texts are asked for, and only those are shuffled; once, as a row names one set
+        some = may_have(self.texts, "row", rows.select("row_"))
+        own = some.join(rows, F.col("row") == F.col("row_")).dropDuplicates(["row"]).select("id", "text")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -229,6 +231,9 @@ class _Links:
     def across(self, rest: DataFrame) -> None:
         """Tries, within each bucket of rest (bucket, id, root), all pairs of different roots."""
         percent = self.percent
+        # sets that share several bands share buckets with the same members: one of those does
+        same = rest.groupBy("bucket").agg(F.count("*").alias("members"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y"))
+        rest = self.work.save(rest.join(same.groupBy("members", "x", "y").agg(F.min("bucket").alias("bucket")).select("bucket"), "bucket"))
         own = rest.join(self.sets.select("id", "n"), "id")
         sizes = own.groupBy("bucket", "root").agg(F.count("*").alias("members"), F.sum("n").alias("n"))
         plan = sizes.groupBy("bucket").agg(F.max_by("root", F.struct("members", "root")).alias("main"), F.max_by("n", F.struct("members", "root")).alias("n_main"), F.sum("n").alias("n_all"))

@@ -159,3 +159,34 @@ def test_cell_links_span_what_is_linked():
     for a in range(20):
         for b in range(10, 40):
             assert not setsketch.alike(sets[a], sets[b]) or find(a % 25) == find(b % 25)
+
+
+def test_only_texts_that_are_asked_for_are_shuffled(spark, monkeypatch):
+    """Of 3,000 texts the join gets those of the sets asked for, and hardly any others."""
+    from tessella.llm.common import Scratch, may_have, row_key
+
+    seen = []
+    monkeypatch.setattr(setsketch, "may_have", lambda *a: seen.append(may_have(*a).count()) or may_have(*a))
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.format_string("text %d of many words", F.col("id")).alias("text"))
+    df = df.unionByName(df.where("doc_id < 10"))  # repeated rows share a set
+    work = Scratch(spark, "texts")
+    texts = work.save(df.select(row_key().alias("row"), "text"))
+    sets = work.save(texts.dropDuplicates(["row"]).select("row", F.split("text", " ")[1].cast("long").alias("id")))
+    wanted = spark.createDataFrame([(i,) for i in range(0, 900, 7)], "id long")
+    found = setsketch._Links(sets, texts, work, 4, 80).whole(wanted).collect()
+    assert sorted((r.id, bytes(r.set)) for r in found) == [(i, setsketch.shingles(f"text {i} of many words").tobytes()) for i in range(0, 900, 7)]
+    assert 131 <= seen[0] <= 140
+
+
+def test_buckets_of_the_same_members_are_tried_once(spark, monkeypatch):
+    plans, save = [], setsketch.Scratch.save
+    monkeypatch.setattr(setsketch.Scratch, "save", lambda self, df: plans.append(save(self, df)) or plans[-1])
+    work = setsketch.Scratch(spark, "buckets")
+    sets = work.save(spark.createDataFrame([(i, bytes([i]), 4) for i in range(1, 6)], "id long, row binary, n long"))
+    texts = work.save(spark.createDataFrame([(bytes([i]), f"a b c d e f{i}") for i in range(1, 6)], "row binary, text string"))
+    rest = spark.createDataFrame([(b, i, i) for b, ids in ((1, (1, 2)), (2, (1, 2)), (3, (1, 2, 3)), (4, (4, 5))) for i in ids], "bucket long, id long, root long")
+    links = setsketch._Links(sets, texts, work, 4, 80)
+    links.found = spark.createDataFrame([], "a long, b long")
+    links.across(rest)
+    kept = next(p for p in plans if p.columns == ["bucket", "id", "root"])
+    assert sorted((r.bucket, r.id) for r in kept.collect()) == [(1, 1), (1, 2), (3, 1), (3, 2), (3, 3), (4, 4), (4, 5)]
