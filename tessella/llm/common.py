@@ -39,9 +39,16 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str) -> None:
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, by: str | None = None) -> DataFrame:
+        """The table, written and read again; with `by` in as many buckets of that column as shuffles have partitions, so that joins on it leave the table where it is."""
         self.n += 1
         at = f"{self.root}/{self.n}"
+        if by:
+            name = f"{self.root.rsplit('/', 1)[-1].replace('-', '_')}_{self.n}"
+            df.write.option("compression", "zstd").option("path", at).bucketBy(partitions(self.spark), by).saveAsTable(name)
+            out = self.spark.table(name)
+            out._tessella_at, out._tessella_table = at, name
+            return out
         df.write.option("compression", "zstd").parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._tessella_at = at
@@ -50,6 +57,8 @@ class Scratch:
     def drop(self, *tables: DataFrame) -> None:
         """Deletes tables that no later plan reads."""
         for df in tables:
+            if name := getattr(df, "_tessella_table", None):
+                self.spark.sql(f"DROP TABLE IF EXISTS {name}")
             path = self.spark._jvm.org.apache.hadoop.fs.Path(df._tessella_at)
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tessella.llm.common import Scratch, table, text_or_empty
+from tessella.llm.common import Scratch, partitions, table, text_or_empty
 from tessella.llm.simhash import LOWER
 
 #: Words of the longest phrase, least frequency, rows of a language.
@@ -111,30 +111,29 @@ def _blocks(df: DataFrame, text: str, lang: str, most: int, work: Scratch) -> Da
             yield out(own)
 
     made = source.mapInArrow(run, "lang string, words array<string>, sizes array<int>, steps array<int>")
-    return work.save(made.withColumn("block", F.monotonically_increasing_id()))
+    return work.save(made.withColumn("block", F.monotonically_increasing_id()), by="block")
+
+
+def _parts(spark: SparkSession) -> int:
+    """Into how many parts keys are dealt by their hash, to be counted and numbered."""
+    return 2 * partitions(spark)
 
 
 def _frequent(counts: DataFrame, by: list[str], least: int, work: Scratch) -> tuple[DataFrame, DataFrame]:
     """From counts (by, block, n, …) of the blocks: the frequent keys (by, f, id), and the blocks' rows of those with their `id`, saved."""
-    # a row for each block that has the key
-    own = W.partitionBy(*by)
-    if by == ["lang", "word"]:
-        # the least number of a word's rows is its id
-        rows = counts.withColumn("id", F.monotonically_increasing_id()).withColumns({"f": F.sum("n").over(own), "id": F.min("id").over(own)})
-        rows = work.save(rows.where(F.col("f") >= least))
-        work.free()
-        return rows.groupBy(*by).agg(F.first("f").alias("f"), F.first("id").alias("id")), rows
-    # far more pairs are counted than kept, so they get no number before that; rows of a pair are together already and need no join
-    some = counts.withColumn("f", F.sum("n").over(own)).where(F.col("f") >= least).withColumn("id", F.monotonically_increasing_id())
-    rows = work.save(some.withColumn("id", F.min("id").over(own)))
+    # a row for each block that has the key; rows of a key are together and need no join; numbers of few digits, which pack well
+    n = _parts(counts.sparkSession)
+    rows = counts.withColumn("part", F.pmod(F.xxhash64(*by), F.lit(n))).repartition("part")
+    rows = rows.withColumn("f", F.sum("n").over(W.partitionBy("part", *by))).where(F.col("f") >= least)
+    rows = rows.withColumn("id", (F.dense_rank().over(W.partitionBy("part").orderBy(*by)) - 1).cast("long") * n + F.col("part"))
+    rows = work.save(rows.drop("part"))
     work.free()
     return work.save(rows.groupBy(*by).agg(F.first("f").alias("f"), F.first("id").alias("id"))), rows
 
 
-def _named(rows: DataFrame) -> DataFrame:
-    """(of, names): for each block its frequent keys with their ids."""
-    fields = [c for c in ("p", "w", "at") if c in rows.columns]
-    return rows.groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct(*fields, "id")).alias("names"))
+def _named(rows: DataFrame, *fields: str) -> DataFrame:
+    """(of, names): for each block its rows' fields, which name its frequent keys."""
+    return rows.groupBy(F.col("block").alias("of")).agg(F.collect_list(F.struct(*fields)).alias("names"))
 
 
 def _numpy(x: pa.Scalar, kind: type) -> np.ndarray:
@@ -155,7 +154,7 @@ def _words(blocks: DataFrame, names: DataFrame, work: Scratch) -> DataFrame:
                 lists = packed(each[each >= 0], np.cumsum(steps)[each >= 0])
                 yield _row(batch["block"][i], batch["lang"][i], lists, None)
 
-    return work.save(both.mapInArrow(run, f"block long, lang string, {LISTS}, w_ids array<long>, w_sizes array<int>, w_steps array<int>"))
+    return work.save(both.mapInArrow(run, f"block long, lang string, {LISTS}, w_ids array<long>, w_sizes array<int>, w_steps array<int>"), by="block")
 
 
 def _row(block: pa.Scalar, lang: pa.Scalar, phrases: tuple, words: tuple | None) -> pa.RecordBatch:
@@ -170,8 +169,31 @@ def _lists(batch: pa.RecordBatch, i: int) -> tuple[tuple, tuple]:
     return phrases, tuple(_numpy(batch[c][i], np.int64) for c in ("w_ids", "w_sizes", "w_steps")) if batch["w_ids"][i].is_valid else phrases
 
 
-def _counts(state: DataFrame, k: int) -> DataFrame:
-    """(p, w, block, n): how often each phrase of k words goes on to each word, in each block."""
+def pack(*columns: np.ndarray) -> bytes:
+    """Columns of integers, compressed: all lowest bytes stand together, then the next ones, so that the many zeros take next to nothing."""
+    return pa.compress(b"".join(c.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes() for c in columns), codec="zstd", asbytes=True)
+
+
+def unpack(data: bytes, n: int, columns: int = 3) -> list[np.ndarray]:
+    """The columns of n integers that were packed."""
+    planes = np.frombuffer(pa.decompress(data, 8 * n * columns, codec="zstd", asbytes=True), np.uint8).reshape(columns, 8, n)
+    return [np.ascontiguousarray(c.T).view("<i8").ravel() for c in planes]
+
+
+def starts(*columns: np.ndarray) -> np.ndarray:
+    """Where runs of equal rows begin."""
+    return np.flatnonzero(np.concatenate([[True], np.any([c[1:] != c[:-1] for c in columns], axis=0)])) if len(columns[0]) else np.empty(0, np.int64)
+
+
+def part_of(p: np.ndarray, w: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each pair, by its hash, so that a very common word's pairs are in all parts."""
+    h = p.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ w.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ h >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return ((h >> np.uint64(32)) % np.uint64(parts)).astype(np.int64)
+
+
+def _counts(state: DataFrame, k: int, parts: int) -> DataFrame:
+    """(part, block, size, pairs): how often each phrase of k words goes on to each word, for each block and part of the pairs (p, w, n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,39 +201,87 @@ def _counts(state: DataFrame, k: int) -> DataFrame:
                 p, w, _ = extended(*_lists(batch, i), k)
                 order = np.lexsort((w, p))
                 p, w = p[order], w[order]
-                first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (w[1:] != w[:-1])])) if len(p) else np.empty(0, np.int64)
+                first = starts(p, w)
                 n = np.diff(first, append=len(p))
-                block = np.full(len(first), batch["block"][i].as_py(), dtype=np.int64)
-                for lo in range(0, len(first), 1 << 17):
-                    part = slice(lo, lo + (1 << 17))
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (p[first[part]], w[first[part]], block[part], n[part])], names=["p", "w", "block", "n"])
+                p, w = p[first], w[first]
+                part = part_of(p, w, parts)
+                order = np.argsort(part, kind="stable")
+                p, w, n, part = p[order], w[order], n[order], part[order]
+                lo = starts(part)
+                hi = np.append(lo, len(part))[1:]
+                pairs = [pack(np.diff(p[a:b], prepend=0), w[a:b], n[a:b]) for a, b in zip(lo, hi, strict=True)]
+                block = np.full(len(lo), batch["block"][i].as_py(), dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(part[lo]), pa.array(block), pa.array(hi - lo), pa.array(pairs, pa.binary())], names=["part", "block", "size", "pairs"])
+
+    return state.drop("lang").mapInArrow(run, "part long, block long, size long, pairs binary")
+
+
+def _frequent_pairs(counts: DataFrame, least: int, parts: int, work: Scratch) -> tuple[DataFrame, DataFrame]:
+    """From `_counts`: the frequent pairs (p, w, f, id), and for each block and part those of the block (block, size, pairs), as (p, w, id); saved."""
+
+    def run(group: pa.Table) -> pa.Table:
+        part, sizes = group["part"][0].as_py(), group["size"].to_numpy()
+        steps, w, n = (np.concatenate(c) for c in zip(*(unpack(x.as_py(), m) for x, m in zip(group["pairs"], sizes, strict=True)), strict=True))
+        ends = np.cumsum(sizes)
+        p = np.concatenate([np.cumsum(steps[b - m : b]) for b, m in zip(ends, sizes, strict=True)])
+        order = np.lexsort((w, p))
+        first = starts(p[order], w[order])
+        f = np.add.reduceat(n[order], first)
+        ids = np.where(f >= least, (np.cumsum(f >= least) - 1) * parts + part, -1)
+        name = np.empty(len(p), np.int64)
+        name[order] = np.repeat(ids, np.diff(first, append=len(p)))
+        rows = []
+        for block, b, m in zip(group["block"].to_pylist(), ends, sizes, strict=True):
+            some = np.flatnonzero(name[b - m : b] >= 0) + b - m
+            if len(some):
+                rows.append({"block": block, "size": len(some), "pairs": pack(np.diff(p[some], prepend=0), w[some], np.diff(name[some], prepend=0))})
+        if rows:
+            some = order[first[f >= least]]
+            rows.append({"p": p[some], "w": w[some], "f": f[f >= least], "id": name[some]})
+        long = pa.list_(pa.int64())
+        return pa.Table.from_pylist(rows, pa.schema([("block", pa.int64()), ("size", pa.int64()), ("pairs", pa.binary()), ("p", long), ("w", long), ("f", long), ("id", long)]))
+
+    some = counts.groupBy("part").applyInArrow(run, "block long, size long, pairs binary, p array<long>, w array<long>, f array<long>, id array<long>")
+    some = work.save(some)
+    work.free()
+    return some.where("block is null").select(F.inline(F.arrays_zip("p", "w", "f", "id"))), some
+
 
-    return state.drop("lang").mapInArrow(run, "p long, w long, block long, n long")
+def places(own: tuple[np.ndarray, np.ndarray], pairs: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The place of each pair among `own`, different pairs in any order, or -1."""
+    key, other = np.zeros(len(own[0]), np.int64), np.zeros(len(pairs[0]), np.int64)
+    if not len(key):
+        return other - 1
+    ok = True
+    for x, y in zip(own, pairs, strict=True):
+        known, code = np.unique(x, return_inverse=True)
+        j = np.minimum(np.searchsorted(known, y), len(known) - 1)
+        ok = ok & (known[j] == y)
+        key, other = key * len(known) + code, other * len(known) + j
+    order = np.argsort(key)
+    j = order[np.minimum(np.searchsorted(key, other, sorter=order), len(key) - 1)]
+    return np.where(ok & (key[j] == other), j, -1)
 
 
 def _longer(state: DataFrame, names: DataFrame, k: int, work: Scratch) -> DataFrame:
     """Blocks with the lists of frequent phrases of k + 1 words, and postings of the words that these may go on to."""
-    both = state.join(names, F.col("block") == F.col("of")).drop("of").select(*state.columns, F.col("names.p").alias("p"), F.col("names.w").alias("w"), F.col("names.id").alias("name"))
+    both = state.join(names, F.col("block") == F.col("of")).drop("of").select(*state.columns, F.col("names.size").alias("size"), F.col("names.pairs").alias("pairs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
                 phrases, words = _lists(batch, i)
                 p, w, at = extended(phrases, words, k)
-                own = np.array(list(zip(_numpy(batch["p"][i], np.int64), _numpy(batch["w"][i], np.int64), strict=True)), dtype=[("p", np.int64), ("w", np.int64)])
-                order = np.argsort(own)
-                own, name = own[order], _numpy(batch["name"][i], np.int64)[order]
-                pair = np.empty(len(p), dtype=own.dtype)
-                pair["p"], pair["w"] = p, w
-                j = np.minimum(np.searchsorted(own, pair), len(own) - 1)
-                ok = own[j] == pair
-                at, ids = at[ok], name[j[ok]]
+                own = [unpack(x, m) for x, m in zip(batch["pairs"][i].as_py(), batch["size"][i].as_py(), strict=True)]
+                own_p, own_w, name = (np.concatenate(c) for c in zip(*((np.cumsum(a), b, np.cumsum(c)) for a, b, c in own), strict=True))
+                j = places((own_p, own_w), (p, w))
+                at, ids = at[j >= 0], name[j[j >= 0]]
                 word_ids, word_at = flat(*words)
                 # words stand one after a phrase's end, or can't be met
                 keep, _ = meet(word_at - k - 1, at)
                 yield _row(batch["block"][i], batch["lang"][i], packed(ids, at), packed(word_ids[keep], word_at[keep]))
 
-    return work.save(both.mapInArrow(run, state.schema))
+    return work.save(both.mapInArrow(run, state.schema), by="block")
 
 
 def frequent_phrases(df: DataFrame, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, block: int = BLOCK, work: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
@@ -222,21 +292,20 @@ def frequent_phrases(df: DataFrame, text: str = "text", lang: str = "lang", leas
     counts = listed.select("lang", F.col("x.words").alias("word"), "block", "at", F.col("x.sizes").cast("long").alias("n"))
     totals = blocks.select("lang", F.aggregate("sizes", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("lang").agg(F.sum("n").alias("n"))
     words, rows = _frequent(counts, ["lang", "word"], least, work)
-    words = work.save(words)
-    state = _words(blocks, _named(rows), work)
+    state = _words(blocks, _named(rows, "at", "id"), work)
     level = words.select("lang", F.col("word").alias("phrase"), F.lit(1).alias("words"), "f", "id")
     found, totals = level, work.save(totals)
     work.drop(blocks, rows)
     work.free()
-    last = words.select(F.col("id").alias("w_"), "word")
+    last, parts = words.select(F.col("id").alias("w_"), "word"), _parts(df.sparkSession)
     for k in range(1, longest):
-        more, rows = _frequent(_counts(state, k), ["p", "w"], least, work)
+        more, rows = _frequent_pairs(_counts(state, k, parts), least, parts, work)
         head = level.select(F.col("id").alias("p_"), "lang", "phrase")
         level = more.join(head, F.col("p") == F.col("p_")).join(last, F.col("w") == F.col("w_"))
         level = work.save(level.select("lang", F.concat_ws(" ", "phrase", "word").alias("phrase"), F.lit(k + 1).alias("words"), "f", "id"))
         found = found.unionByName(level)
         if k + 1 < longest:
-            before, state = state, _longer(state, _named(rows), k, work)
+            before, state = state, _longer(state, _named(rows.where("block is not null"), "size", "pairs"), k, work)
             work.drop(before)
             work.free()
         work.drop(rows)

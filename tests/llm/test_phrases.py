@@ -99,3 +99,57 @@ def test_pairs_are_numbered_without_a_join(spark, monkeypatch):
     assert {k: v[0] for k, v in ids.items()} == {(p, w): 30 * (p + w) for p in range(3) for w in range(4) if p + w > 3}
     assert len({v[1] for v in ids.values()}) == len(ids) and all(ids[r.p, r.w][1] == r.id for r in rows.collect()) and rows.count() == sum(p + w for p, w in ids)
     assert plans and not any("Join" in p for p in plans)
+
+
+def test_lists_of_blocks_stay_where_they_are(spark, monkeypatch):
+    """Names come to the blocks: no step deals out the blocks' lists, not even where names are too many to be broadcast."""
+    plans, save = [], phrases.Scratch.save
+    monkeypatch.setattr(phrases.Scratch, "save", lambda self, df, **kw: plans.append((df.columns, df._jdf.queryExecution().executedPlan().toString())) or save(self, df, **kw))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = [("en", "new york stock exchange rules all")] * 30 + [(None, "a b a b a b a")] * 20
+        assert got(spark.createDataFrame(rows, "lang string, text string").repartition(3), least=10) == expected(rows, 10, 5, 2000)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    steps = [p for columns, p in plans if "w_steps" in columns]
+    # the one exchange is that of the names
+    assert len(steps) == 4 and all("Join" in p and p.count("Exchange hashpartitioning") == 1 for p in steps)
+
+
+def test_packed_pairs():
+    rng = np.random.default_rng(1)
+    columns = [rng.integers(-(2**40), 2**40, 500), np.zeros(500, np.int64), np.arange(500)]
+    assert [x.tolist() for x in phrases.unpack(phrases.pack(*columns), 500)] == [x.tolist() for x in columns]
+    # a pair that occurs once in a block takes a few bytes, not a row of four numbers
+    p, w = np.sort(rng.integers(0, 20_000, 5_000)), rng.integers(0, 20_000, 5_000)
+    assert len(phrases.pack(np.diff(p, prepend=0), w, np.ones(5_000, np.int64))) < 4 * 5_000
+    # a very common word's pairs are in all parts alike
+    parts = np.bincount(phrases.part_of(np.full(20_000, 7), np.arange(20_000), 40), minlength=40)
+    assert parts.min() > 350 and parts.max() < 650
+    own = (np.array([5, 1, 5]), np.array([2, 9, 1]))
+    assert phrases.places(own, (np.array([1, 5, 5, 1, 8, 5]), np.array([9, 1, 2, 2, 9, 3]))).tolist() == [1, 2, 0, -1, -1, -1]
+    assert phrases.places((own[0][:0], own[1][:0]), own).tolist() == [-1, -1, -1]
+
+
+def test_frequent_pairs_of_all_blocks(spark):
+    """Frequencies are summed over blocks; a pair has one number, and each block that has it is told."""
+    rng = random.Random(5)
+    n = {(b, p, w): rng.randint(1, 40) for b in range(6) for p in range(12) for w in range(12) if rng.random() < 0.6}
+    cells = defaultdict(list)
+    for (b, p, w), x in sorted(n.items()):
+        cells[int(phrases.part_of(np.array([p]), np.array([w]), 5)[0]), b].append((p, w, x))
+    rows = [(part, b, len(c), phrases.pack(np.diff([x[0] for x in c], prepend=0), *(np.array([x[i] for x in c]) for i in (1, 2)))) for (part, b), c in cells.items()]
+    counts = spark.createDataFrame(rows, "part long, block long, size long, pairs binary")
+    frequent, named = phrases._frequent_pairs(counts, 80, 5, phrases.Scratch(spark, "pairs"))
+    f = Counter()
+    for (_, p, w), x in n.items():
+        f[p, w] += x
+    ids = {(r.p, r.w): (r.f, r.id) for r in frequent.collect()}
+    assert {k: v[0] for k, v in ids.items()} == {k: v for k, v in f.items() if v >= 80} and 0 < len(ids) < len(f)
+    assert len({v[1] for v in ids.values()}) == len(ids)
+    told = set()
+    for r in named.where("block is not null").collect():
+        p, w, name = phrases.unpack(bytes(r.pairs), r.size)
+        told |= {(r.block, *x) for x in zip(np.cumsum(p).tolist(), w.tolist(), np.cumsum(name).tolist(), strict=True)}
+    assert told == {(b, p, w, ids[p, w][1]) for b, p, w in n if (p, w) in ids}
