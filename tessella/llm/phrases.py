@@ -8,7 +8,8 @@ exact frequency; only phrases that reach the threshold are extended, and only wh
 frequent too. A block's postings keep only positions that the next step can meet.
 
 Nothing is gathered by phrase but a count for each block that has it, so a very common word or phrase is as spread as its
-blocks are, and no task or broadcast holds the frequent phrases.
+blocks are, and no task or broadcast holds the frequent phrases. Blocks are saved in buckets and stay where they are; only counts
+and the names of frequent phrases move: pairs of a phrase and a word are dealt to parts by hash, packed for each block and part.
 
 Defined results: ASCII letters count without case; a null text is empty; texts, pieces and languages without words add nothing; a null
 language counts as `und`; words may hold any characters but separators; an empty table gives an empty result. Only the language and
@@ -309,6 +310,7 @@ def frequent_phrases(df: DataFrame, text: str = "text", lang: str = "lang", leas
             work.drop(before)
             work.free()
         work.drop(rows)
+    work.drop(state)
     return work.save(found.drop("id")), totals
 
 

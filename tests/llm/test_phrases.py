@@ -115,6 +115,7 @@ def test_lists_of_blocks_stay_where_they_are(spark, monkeypatch):
     steps = [p for columns, p in plans if "w_steps" in columns]
     # the one exchange is that of the names
     assert len(steps) == 4 and all("Join" in p and p.count("Exchange hashpartitioning") == 1 for p in steps)
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("phrases_")]
 
 
 def test_packed_pairs():
