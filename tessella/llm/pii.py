@@ -22,6 +22,8 @@ private characters (U+E000 to U+F8FF) of a text are read as U+E002; an empty tab
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,7 +53,12 @@ GROUP = r"\(?[0-9][0-9()/-]*+"
 GROUPS = rf"(?:[\p{{L}}_-]++[=:])?+[+(]*+{GROUP}(?:\x20++{GROUP}(?=[\"')>\],.;:!?]*+(?:[\x20\x09-\x0D]|$)))++"
 #: What counts as a word: groups of digits together, else anything between white space.
 ITEM = rf"(?<![^\x20\x09-\x0D])(?:{GROUPS}|[^\x20\x09-\x0D]++)"
+#: What stands somewhere in a text with groups of digits; texts without it are parted at white space.
+GROUPED = r"[0-9()/-]\x20++\(?[0-9]"
+BLANKS = "\t\n\x0b\x0c\r"
 LABEL = r"^[\p{L}_-]+[=:]"
+#: What a word has that is more than its value.
+WRAPPED = r"[\"'(<\[)>\],.;:!?=]"
 OPEN, CLOSE = r"^[\"'(<\[]+", r"(?<![\"')>\],.;:!?])[\"')>\],.;:!?]++$"
 
 
@@ -157,7 +164,9 @@ def with_base_spans(df: DataFrame, text: str = "text") -> DataFrame:
     t = text_or_empty(text)
     df = df.withColumn("__t", F.when(t.rlike("[\ue000-\uf8ff]"), F.regexp_replace(t, "[\ue000-\uf8ff]", "\ue002")).otherwise(t)).withColumn("__m", F.col("__t"))
     for k in KINDS:
-        df = df.withColumns({f"__p_{k}": _parts(k, F.col("__t")), "__q": _parts(k, F.col("__m"))})
+        df = df.withColumn(f"__p_{k}", _parts(k, F.col("__t")))
+        # a text without masks so far is parted once
+        df = df.withColumn("__q", F.when(F.col("__m") == F.col("__t"), F.col(f"__p_{k}")).otherwise(_parts(k, F.col("__m"))))
         df = df.withColumns({f"__{k}": _counting(k), "__m": _masked(k, F.col("__q"), F.col("__m"))})
     return df.drop("__t", "__q", *[f"__p_{k}" for k in KINDS])
 
@@ -166,14 +175,23 @@ def base_spans(kind: str) -> Column:
     return F.transform(f"__{kind}", lambda x: F.struct(F.lit(kind).alias("kind"), x["s"].alias("s"), x["e"].alias("e")))
 
 
+def words(t: Column) -> Column:
+    """What `ITEM` finds in a text, in order."""
+    flat = t
+    for blank in BLANKS:
+        flat = F.replace(flat, F.lit(blank), F.lit(" "))
+    return F.when(t.rlike(GROUPED), F.regexp_extract_all(t, F.lit(f"({ITEM})"), F.lit(1))).otherwise(F.array_remove(F.split(flat, " "), ""))
+
+
 def segments(seen: DataFrame) -> DataFrame:
     """Of rows with __row and __m: __row, seg, at (where the segment begins), part (its text), c (its words as contexts: lower-cased, seeds as #) and w (its words, null where that is the same)."""
     parts = F.regexp_extract_all("__m", F.lit(rf"(?s)(.{{1,{SEGMENT}}}[^\x20\x09-\x0D]*+)"), F.lit(1))
     whole = F.when(F.length("__m") <= SEGMENT, F.array("__m")).otherwise(parts)
-    cut_ = seen.where("__m <> ''").select("__row", whole.alias("__s")).select("__row", "__s", F.posexplode("__s").alias("seg", "part"))
+    masked = F.col("__seeds") if "__seeds" in seen.columns else F.lit(True)
+    cut_ = seen.where("__m <> ''").select("__row", masked.alias("__seeds"), whole.alias("__s")).select("__row", "__seeds", "__s", F.posexplode("__s").alias("seg", "part"))
     at = F.aggregate(F.slice("__s", F.lit(1), F.col("seg")), F.lit(0), lambda a, x: a + F.length(x))
-    words = lambda t: F.regexp_extract_all(t, F.lit(f"({ITEM})"), F.lit(1))
-    out = cut_.select("__row", "seg", at.alias("at"), "part", words(F.col("part")).alias("w"), words(F.lower(F.regexp_replace("part", f"{MASK}++", "#"))).alias("c"))
+    out = cut_.select("__row", "seg", at.alias("at"), "part", F.lower(F.when(F.col("__seeds"), F.regexp_replace("part", f"{MASK}++", "#")).otherwise(F.col("part"))).alias("__l"))
+    out = out.select("__row", "seg", "at", "part", words(F.col("part")).alias("w"), words(F.col("__l")).alias("c"))
     return out.withColumn("w", F.zip_with("w", "c", lambda w, c: F.nullif(w, c)))
 
 
@@ -220,42 +238,112 @@ def _looked_up(parts: DataFrame, places: DataFrame, **more) -> DataFrame:
     return both.select("__row", "seg", F.explode(F.transform("__xs", one)).alias("__x")).select("__row", "seg", "__x.*")
 
 
+def _last(x: Column) -> Column:
+    """The last run of other characters than spaces in a word; only groups of digits hold spaces."""
+    return F.substring_index(x, " ", -1)
+
+
+def key_of(pattern: str = "pattern") -> Column:
+    """What tells cheaply where a pattern may stand: its label, or the end of the word before, told from the pattern."""
+    rest = F.substring(pattern, 3, 1 << 30)
+    before = F.when(F.col(pattern).startswith("3 "), F.substring_index(rest, " _ ", 1)).otherwise(rest)
+    return F.when(F.col(pattern).startswith("= "), F.col(pattern)).otherwise(_last(before))
+
+
+#: Bits of the filters for keys, patterns and values, in words of 64.
+BITS = 1 << 17
+
+
+def _bit(x: Column) -> Column:
+    return F.hash(x).bitwiseAND(F.lit(BITS - 1))
+
+
+def bits(values: DataFrame) -> DataFrame:
+    """One row with an array of `BITS` bits, of which those of the values (one column) are set: as large whatever the input."""
+    at = values.select(_bit(F.col(values.columns[0])).alias("b"))
+    own = at.groupBy(F.shiftright("b", 6).cast("long").alias("k")).agg(F.bit_or(F.expr("shiftleft(1L, b & 63)")).alias("w"))
+    all_ = values.sparkSession.range(BITS // 64).withColumnRenamed("id", "k").join(own, "k", "left")
+    return all_.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", F.coalesce("w", F.lit(0).cast("long")).alias("w")))), lambda x: x["w"]).alias("bits"))
+
+
+def _may_be(bits: str, x: Column) -> Column:
+    """Whether a value may be among those of the bits; it always is if it's one of them."""
+    b = _bit(x)
+    return F.call_function("bit_get", F.get(bits, F.shiftright(b, 6)), b.bitwiseAND(F.lit(63))) == 1
+
+
+def standing(parts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """__row, seg and pattern wherever one of the wanted patterns (one column) stands around anything in these segments. Few words pass the filter of keys, so that only for these patterns are made."""
+    labels = wanted.agg(F.coalesce(F.max(F.col("pattern").startswith("= ")), F.lit(False)).alias("__labels"))
+    both = bits(wanted.select(key_of().alias("key"))).withColumnRenamed("bits", "__kb").crossJoin(bits(wanted).withColumnRenamed("bits", "__pb")).crossJoin(labels)
+    some = parts.select("__row", "seg", "c").crossJoin(F.broadcast(both))
+    behind = F.array_compact(F.transform("c", lambda x, i: F.when(_may_be("__kb", _last(x)), i + 1)))
+    own = F.array_compact(F.transform("c", lambda x, i: F.when((x.contains("=") | x.contains(":")) & _may_be("__kb", F.concat(F.lit("= "), F.regexp_extract(x, LABEL, 0))), i)))
+    at = F.array_union(F.array_remove(behind, F.size("c")), F.when(F.col("__labels"), own).otherwise(F.array().cast("array<int>")))
+    patterns = F.filter(F.flatten(F.transform(at, patterns_at)), lambda p: _may_be("__pb", p))
+    return some.select("__row", "seg", F.explode(patterns).alias("pattern")).join(wanted, "pattern", "left_semi")
+
+
+def _edges(parts: DataFrame, values: DataFrame) -> DataFrame:
+    """value, kind, score and pattern wherever a pattern stands around one of the values (value, kind, score)."""
+    some = parts.select("__row", "seg", "c", "w").crossJoin(F.broadcast(bits(values.select("value"))))
+    # most words are values as they stand
+    value = lambda i: F.when(_word(i).rlike(WRAPPED), _value(_word(i))).otherwise(_word(i))
+    at = F.filter(_indexes(), lambda i: _may_be("bits", value(i)))
+    one = F.transform(F.filter(at, lambda i: _plain(_word(i))), lambda i: F.struct(_value(_word(i)).alias("value"), patterns_at(i).alias("ps")))
+    edges = some.select(F.explode(one).alias("x")).select("x.*").join(values, "value")
+    return edges.select("value", "kind", "score", F.explode("ps").alias("pattern")).where("pattern is not null")
+
+
+def _counts(places: DataFrame) -> DataFrame:
+    return places.groupBy("pattern").agg(F.count("*").alias("n"))
+
+
+def promising(mass: DataFrame, seeded: DataFrame) -> DataFrame:
+    """The patterns of `mass` that may be confident: those that are so by their occurrences in segments with seeds, which are some of all."""
+    low = _counts(standing(seeded, mass.select("pattern").distinct()))
+    return mass.join(low, "pattern", "left").where(F.col("mass") / (F.coalesce("n", F.lit(0)) + 1) >= CONFIDENT).select("pattern").distinct()
+
+
 def extract(seen: DataFrame) -> DataFrame:
-    """Of rows with __row and __m: __row and `added`, the spans that patterns add, as far as there are any."""
+    """Of rows with __row, __m and __seeds (whether masks are in it): __row and `added`, the spans that patterns add, as far as there are any."""
     spark = seen.sparkSession
     work = Scratch(spark, "contexts")
-    # every round reads them, several times; the text itself is read again at the end only, and then from `seen`
-    parts = work.save(segments(seen).withColumn("seeds", F.col("part").rlike(MASK)).drop("part", "at"))
+    seeded = work.save(segments(seen.where("__seeds")).where(F.col("part").rlike(MASK)).drop("part", "at"))
+    # all other words are looked at only for patterns that may be confident
+    everywhere = segments(seen)
     head = lambda i: F.when(_label(i) != "", _label(i)).otherwise(F.get("c", i - 1))
     at = F.filter(_indexes(), lambda i: F.get("c", i).contains("#") & _word(i).rlike(MASK))
     one = lambda i: F.struct(_kind(_word(i)).alias("kind"), F.regexp_extract(_word(i), f"[{CODES}]+", 0).alias("value"), patterns_at(i).alias("ps"))
-    found = parts.where("seeds").select(F.explode(F.transform(at, one)).alias("x")).select("x.kind", "x.value", F.explode("x.ps").alias("pattern"))
+    found = seeded.select(F.explode(F.transform(at, one)).alias("x")).select("x.kind", "x.value", F.explode("x.ps").alias("pattern"))
     seeds = found.where("pattern is not null").groupBy("pattern", "kind").agg(F.count("*").cast("double").alias("mass"), F.countDistinct("value").alias("support"))
     seeds = work.save(seeds)
-    known, values, accepted = spark.range(0).select(F.lit("").alias("pattern"), F.col("id").alias("n")), None, None
+    known = spark.range(0).select(F.lit("").alias("pattern"), F.col("id").alias("n"))
+    places, values, accepted = [], None, None
     for k in range(ROUNDS):
         mass = seeds
         if values is not None:
-            candidates = F.transform(F.filter(_indexes(), lambda i: _plain(_word(i))), lambda i: F.struct(i.alias("i"), _value(_word(i)).alias("value")))
-            places = parts.select("__row", "seg", F.explode(candidates).alias("x")).select("__row", "seg", "x.*").join(values, "value")
-            edges = _looked_up(parts, places, ps=patterns_at).select("value", "kind", "score", F.explode("ps").alias("pattern")).where("pattern is not null")
-            mass = mass.unionByName(edges.groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.countDistinct("value").alias("support")))
+            mass = mass.unionByName(_edges(everywhere, values).groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.countDistinct("value").alias("support")))
         mass = mass.groupBy("pattern", "kind").agg(F.sum("mass").alias("mass"), F.sum("support").alias("support"))
         mass = work.save(mass.where(F.col("support") >= SUPPORT))
-        # how often patterns with support stand around anything; each is counted once
-        new = work.save(mass.select("pattern").distinct().join(known, "pattern", "left_anti"))
+        # how often patterns with support stand around anything; each is counted once, and only if it may be confident
+        new = work.save(promising(mass.join(known, "pattern", "left_anti"), seeded))
         if not new.isEmpty():
-            everywhere = parts.select(F.explode(F.flatten(F.transform(_indexes(), patterns_at))).alias("pattern"))
-            counts = everywhere.join(new, "pattern", "left_semi").groupBy("pattern").agg(F.count("*").alias("n"))
-            known = work.save(known.unionByName(counts))
+            places.append(work.save(standing(everywhere, new)))
+            known = work.save(known.unionByName(_counts(places[-1])))
         sure = mass.join(known, "pattern").select("pattern", "kind", (F.col("mass") / (F.col("n") + 1)).alias("confidence")).where(F.col("confidence") >= CONFIDENT)
         sure = work.save(sure)
         if sure.isEmpty():
             break
+        # the segments that hold such a pattern
+        own = reduce(DataFrame.unionByName, places).join(sure.select("pattern").distinct(), "pattern", "left_semi")
+        own = work.save(own.select("__row", "seg").distinct())
+        near = segments(seen.join(own.select("__row").distinct(), "__row", "left_semi"))
+        near = work.save(near.join(own, ["__row", "seg"], "left_semi").drop("part", "at"))
         around = F.transform(F.filter(_indexes(), lambda i: _plain(_word(i))), lambda i: F.struct(i.alias("i"), patterns_at(i).alias("ps")))
-        hits = parts.select("__row", "seg", F.explode(around).alias("x")).select("__row", "seg", "x.i", F.explode("x.ps").alias("pattern")).join(sure, "pattern")
+        hits = near.select("__row", "seg", F.explode(around).alias("x")).select("__row", "seg", "x.i", F.explode("x.ps").alias("pattern")).join(sure, "pattern")
         hits = hits.groupBy("__row", "seg", "i", "kind").agg(F.max("confidence").alias("confidence"))
-        hits = work.save(_looked_up(parts, hits, value=lambda i: _value(_word(i)), head=head).where("value <> ''"))
+        hits = work.save(_looked_up(near, hits, value=lambda i: _value(_word(i)), head=head).where("value <> ''"))
         doubt = F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9))))
         scores = hits.groupBy("value", "kind", "head").agg(F.max("confidence").alias("confidence")).groupBy("value", "kind").agg((1 - F.exp(doubt)).alias("score"))
         enough = F.when(F.col("value").rlike(MARK), CONFIDENT).otherwise(PLAIN)
@@ -290,8 +378,9 @@ def find(df: DataFrame, text: str = "text") -> DataFrame:
     """For each row doc_id, __row (its key), the base spans as columns of their kinds, and `added`, the spans that the method adds."""
     work = Scratch(df.sparkSession, "pii")
     found = with_base_spans(df.select("doc_id", text), text)
-    seen = work.save(found.select("doc_id", row_key(text).alias("__row"), "__m", *[base_spans(k).alias(k) for k in KINDS]))
-    return seen.drop("__m").join(extract(seen), "__row", "left").withColumn("added", F.coalesce("added", F.array().cast(SPANS)))
+    seeds = F.greatest(*[F.size(f"__{k}") for k in KINDS]) > 0
+    seen = work.save(found.select("doc_id", row_key(text).alias("__row"), "__m", seeds.alias("__seeds"), *[base_spans(k).alias(k) for k in KINDS]))
+    return seen.drop("__m", "__seeds").join(extract(seen), "__row", "left").withColumn("added", F.coalesce("added", F.array().cast(SPANS)))
 
 
 def span_string(spans: Column) -> Column:

@@ -171,3 +171,43 @@ def test_segments_hold_a_text_once(spark):
     got = pii.segments(seen).select("w", "c", F.transform(pii._indexes(), pii._word).alias("words")).first()
     assert [w for w in got.w if w is not None] == [w for w, c in zip(got.words, got.c, strict=True) if w != c] and len([w for w in got.w if w]) == 2
     assert got.words[0] == "plain" and got.words[6] == "Names" and "#" in got.c[9]
+
+
+def test_words_are_the_items(spark):
+    """Texts parted at white space give what the pattern of items finds."""
+    rng = random.Random(7)
+    bits = ["12", "(030)", "a", "Tel:", "x=", " ", "  ", "\n", "\x0b", "\t", "\r", "\x0c", "é", ",", "/", "-", " ", "\x85", "#", "+"]
+    rows = [(i, "".join(rng.choices(bits, k=rng.randint(0, 12)))) for i in range(1500)] + [(-1, ""), (-2, " "), (-3, " a ")]
+    df = spark.createDataFrame(rows, "id long, t string").select(pii.words(F.col("t")).alias("x"), F.regexp_extract_all("t", F.lit(f"({pii.ITEM})"), F.lit(1)).alias("y"))
+    assert df.where("x <> y or x is null").count() == 0 and df.where("size(x) > 1 and exists(x, v -> v like '% %')").count() > 0
+
+
+def test_patterns_stand_where_words_say(spark, monkeypatch):
+    """Few bits let more words pass, and change no count."""
+    rng = random.Random(8)
+    bits = ["the", "of", "_", "x", "mail:", "tel=5", "12 34", "34", "key=", "=", "a:b", "#"]
+    rows = [(i, "  ".join(rng.choices(bits, k=rng.randint(0, 9)))) for i in range(400)]
+    seen = spark.createDataFrame(rows, "id long, __m string").withColumn("__row", F.col("id").cast("string").cast("binary"))
+    parts = pii.segments(seen)
+    every = parts.select("__row", "seg", F.explode(F.flatten(F.transform(pii._indexes(), pii.patterns_at))).alias("pattern")).where("pattern is not null")
+    expected = sorted((r.pattern, bytes(r["__row"])) for r in every.collect())
+    asked = sorted({p for p, _ in expected})
+    for size, some in ((64, asked), (1 << 17, asked[::3]), (1 << 17, [p for p in asked if p[0] != "="][:5])):
+        monkeypatch.setattr(pii, "BITS", size)
+        got = pii.standing(parts, spark.createDataFrame([(p,) for p in some], "pattern string"))
+        assert sorted((r.pattern, bytes(r["__row"])) for r in got.collect()) == [x for x in expected if x[0] in set(some)]
+
+
+def test_only_segments_with_seeds_are_kept(spark, monkeypatch):
+    """Where no pattern can be confident by the segments with seeds, the words of other texts are neither written nor counted."""
+    rows = [(i, f"see the a{i}@b{i}.org or the house and the tree") for i in range(8)] + [(100 + i, "the house of the tree") for i in range(50)]
+    saved, save = [], pii.Scratch.save
+
+    def noted(self, df, *by):
+        out = save(self, df, *by)
+        saved.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(pii.Scratch, "save", noted)
+    assert pii.find(spark.createDataFrame(rows, "doc_id long, text string")).where("size(added) > 0").count() == 0
+    assert max(n for columns, n in saved if "c" in columns) == 8
