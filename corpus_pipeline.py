@@ -37,8 +37,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, with their count, their digest and that of the text decoded from them."""
-    done = bpe.encode_decode(docs, bpe.tokenizer_path(), ids=True)
-    return done.drop("decoded")
+    return bpe.encode_decode(docs, bpe.tokenizer_path(), ids=True, back=False)
 
 
 STAGES = [

@@ -1,7 +1,7 @@
 """BPE encoding and decoding by batched numpy merge rounds.
 
-The symbols of many words lie in one flat array. A round looks up all adjacent pairs by binary search over the sorted
-pair keys, finds the lowest rank in each word, and merges that pair wherever it occurs in the word, left to right. Words
+The symbols of many words lie in one flat array. A round looks up all adjacent pairs by a hash of the pair
+keys, finds the lowest rank in each word, and merges that pair wherever it occurs in the word, left to right. Words
 that were met before come from a bounded table of the worker.
 
 Results equal those of the public `tokenizers` library for byte-level BPE files with the usual pre-tokenizing pattern,
@@ -52,6 +52,16 @@ class ByteBPE:
         order = np.argsort(key, kind="stable")
         self.keys, self.ranks = key[order], order.astype(np.int64)
         self.merged = np.array([vocab[a + b] for a, b in pairs], dtype=np.int64)
+        # each slot of a hash has the place of its first key and how many follow, since keys lie in the order of their slots
+        self.shift = 64 - (len(pairs).bit_length() + 3)
+        slot = self._slot(self.keys)
+        order = np.argsort(slot, kind="stable")
+        self.keys, self.ranks, slot = self.keys[order], self.ranks[order], slot[order]
+        count = np.bincount(slot, minlength=1 << (64 - self.shift))
+        self.most = int(count.max(initial=1))
+        self.at = np.cumsum(count) - count
+        self.keys = np.append(self.keys, np.full(self.most, -1))
+        self.ranks = np.append(self.ranks, np.full(self.most, len(pairs)))
         value = {c: b for b, c in enumerate(letters)}
         self.bytes = {i: bytes(value[c] for c in t) for t, i in vocab.items()}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -61,17 +71,29 @@ class ByteBPE:
         self.known_ids: dict[str, str] = {}
         self.known_bytes: dict[str, bytes] = {}
 
-    def rounds(self, words: list[bytes]) -> list[np.ndarray]:
-        """The ids of each word."""
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self.shift)).astype(np.int64)
+
+    def rank(self, key: np.ndarray) -> np.ndarray:
+        """The rank of each pair, or the number of ranks where it's none."""
+        at, none = self.at[self._slot(key)], len(self.merged)
+        out = np.where(self.keys[at] == key, self.ranks[at], none)
+        left = np.flatnonzero(out == none)
+        for k in range(1, self.most):
+            hit = left[self.keys[at[left] + k] == key[left]]
+            out[hit] = self.ranks[at[hit] + k]
+        return out
+
+    def rounds(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and where those of each word end."""
         sizes = np.array([len(w) for w in words], dtype=np.int64)
         sym = self.first[np.frombuffer(b"".join(words), dtype=np.uint8)]
         word = np.repeat(np.arange(len(words)), sizes)
         done_ids, done_word = [], []
-        none = len(self.keys)
+        none = len(self.merged)
         while len(sym):
             key = (sym[:-1] << 32) | sym[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), none - 1)
-            rank = np.where((self.keys[at] == key) & (word[:-1] == word[1:]), self.ranks[at], none)
+            rank = np.where(word[:-1] == word[1:], self.rank(key), none)
             rank = np.append(rank, none)
             starts = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             low = np.minimum.reduceat(rank, starts)
@@ -97,10 +119,10 @@ class ByteBPE:
             gone[idx + 1] = True
             sym, word = sym[~gone], word[~gone]
         if not done_ids:
-            return [np.empty(0, np.int64) for _ in words]
+            return np.empty(0, np.int64), np.zeros(len(words), np.int64)
         ids, of = np.concatenate(done_ids), np.concatenate(done_word)
         order = np.argsort(of, kind="stable")
-        return np.split(ids[order], np.cumsum(np.bincount(of, minlength=len(words)))[:-1])
+        return ids[order], np.cumsum(np.bincount(of, minlength=len(words)))
 
     def pieces(self, text: str) -> list[str]:
         """Words and special tokens; a special token comes as it stands, with a NUL before it."""
@@ -123,18 +145,21 @@ class ByteBPE:
         if new := list(set().union(*cut).difference(self.known_ids)):
             special = [w for w in new if w[0] == "\0" and w[1:] in self.special]
             for w in special:
-                self._learn(w, [self.special[w[1:]]])
+                self._learn([w], np.array([self.special[w[1:]]]), np.array([1]))
             plain = list(set(new).difference(special))
             for k in range(0, len(plain), 20_000):
                 some = plain[k : k + 20_000]
-                for w, ids in zip(some, self.rounds([w.encode() for w in some]), strict=True):
-                    self._learn(w, ids.tolist())
+                self._learn(some, *self.rounds([w.encode() for w in some]))
         ids, raw = self.known_ids.__getitem__, self.known_bytes.__getitem__
         return [(",".join(map(ids, words)), b"".join(map(raw, words))) for words in cut]
 
-    def _learn(self, word: str, ids: list[int]) -> None:
-        self.known_ids[word] = ",".join(map(str, ids))
-        self.known_bytes[word] = b"".join(map(self.bytes.__getitem__, ids))
+    def _learn(self, words: list[str], ids: np.ndarray, ends: np.ndarray) -> None:
+        own, start = ids.tolist(), 0
+        names, raw = list(map(str, own)), list(map(self.bytes.__getitem__, own))
+        for word, end in zip(words, ends.tolist(), strict=True):
+            self.known_ids[word] = ",".join(names[start:end])
+            self.known_bytes[word] = b"".join(raw[start:end])
+            start = end
 
     def decode(self, ids: list[int]) -> str:
         """As the library's decode(ids, skip_special_tokens=False)."""
@@ -150,30 +175,32 @@ def _sha(x: bytes) -> str:
     return hashlib.sha256(x).hexdigest()
 
 
-def encode_decode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = False) -> DataFrame:
-    """`keep` columns, n_tokens, ids_sha256 and decoded_sha256 of each row; with `ids`, also token_ids (array) and decoded (text)."""
+def encode_decode(df: DataFrame, path: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), ids: bool = False, back: bool = True) -> DataFrame:
+    """`keep` columns, n_tokens, ids_sha256 and decoded_sha256 of each row; with `ids`, also token_ids (array) and, unless `back` is false, decoded (text)."""
     source = df.select(*keep, text_or_empty(text).alias(unused(df, "text")))
     schema = df.select(*keep).schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
     if ids:
-        schema = schema.add("token_ids", T.ArrayType(T.IntegerType())).add("decoded", "string")
+        schema = schema.add("token_ids", T.ArrayType(T.IntegerType()))
+        schema = schema.add("decoded", "string") if back else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model(path)
         for batch in batches:
             for k in range(0, batch.num_rows, 128):
                 part = batch.slice(k, 128)
-                n, digest, back, lists, whole = [], [], [], [], []
+                n, digest, again, lists, whole = [], [], [], [], []
                 for joined, raw in own.encode(part.column(part.num_columns - 1).to_pylist()):
                     n.append(joined.count(",") + 1 if joined else 0)
                     digest.append(_sha(joined.encode()))
                     decoded = raw.decode("utf-8", errors="replace")
-                    back.append(_sha(decoded.encode()))
+                    again.append(_sha(decoded.encode()))
                     if ids:
-                        lists.append(np.array(joined.split(","), dtype=np.int32) if joined else np.empty(0, np.int32))
+                        lists.append(np.fromstring(joined, dtype=np.int32, sep=",") if joined else np.empty(0, np.int32))
                         whole.append(decoded)
-                more = [pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(back, pa.string())]
+                more = [pa.array(n, pa.int64()), pa.array(digest, pa.string()), pa.array(again, pa.string())]
                 if ids:
-                    more += [pa.array(lists, pa.list_(pa.int32())), pa.array(whole, pa.string())]
+                    more.append(pa.array(lists, pa.list_(pa.int32())))
+                    more += [pa.array(whole, pa.string())] if back else []
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *more], names=schema.names)
 
     return source.mapInArrow(run, schema)

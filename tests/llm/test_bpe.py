@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import numpy as np
 from tokenizers import Tokenizer
 
 from tessella.llm import bpe
@@ -39,3 +40,23 @@ def test_odd_rows(spark, odd, nothing):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == expected(t, texts[r.doc_id])
         assert r.decoded == texts[r.doc_id] and len(r.token_ids) == r.n_tokens
     assert bpe.encode_decode(nothing, bpe.tokenizer_path()).count() == 0
+
+
+def test_ranks_of_pairs():
+    """Each merge has its rank, and no other pair has one."""
+    m = bpe.ByteBPE(bpe.tokenizer_path())
+    known = {int(k): int(r) for k, r in zip(m.keys, m.ranks, strict=True) if k >= 0}
+    assert len(known) == len(m.merged)
+    keys = np.array(list(known), dtype=np.int64)
+    assert (m.rank(keys) == np.array(list(known.values()))).all()
+    rng = np.random.default_rng(1)
+    other = rng.integers(0, 60_000, 50_000) << 32 | rng.integers(0, 60_000, 50_000)
+    assert m.rank(other).tolist() == [known.get(k, len(known)) for k in other.tolist()]
+
+
+def test_ids_without_decoded_text(spark, odd):
+    """The decoded text isn't carried to a caller who drops it; its digest is."""
+    both = bpe.encode_decode(odd, bpe.tokenizer_path(), ids=True)
+    ids = bpe.encode_decode(odd, bpe.tokenizer_path(), ids=True, back=False)
+    assert ids.columns == [c for c in both.columns if c != "decoded"]
+    assert sorted(map(str, ids.collect())) == sorted(map(str, both.drop("decoded").collect()))
